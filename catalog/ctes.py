@@ -30,6 +30,15 @@ def r(expr: str, digits: int = 6) -> str:
     return f"round({expr}, {digits})"
 
 
+def shortest(expr: str, digits: int = 4) -> str:
+    """Round half up on the shortest decimal form of a double.
+
+    ``round`` multiplies first and can push a value below a tie onto it; short
+    decimals divided by 20 hit ties often.
+    """
+    return f"CAST(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(30,{digits})) AS DOUBLE)"
+
+
 def pct(a: str, b: str) -> str:
     return f"CASE WHEN {a} <> 0 THEN (({b}) - ({a})) / ({a}) * 100.0 END"
 
@@ -51,6 +60,13 @@ def _nth(key: str, values) -> str:
     return f"list_extract([{listed}], CAST({key} % {len(values)} AS INTEGER) + 1)"
 
 
+_URL = r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+
+
+def _compact(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
 VIEWS = {
     "bars": f"""
         SELECT symbol, d, (high + low) / 2 AS open, high, low, close FROM (
@@ -152,12 +168,55 @@ VIEWS = {
           ON e.symbol = b.symbol AND CAST(e.t_event AS DATE) <= b.d
         WHERE b.pre_7 IS NOT NULL AND b.post_5 IS NOT NULL""",
     # Events with a heuristic signal that needs no news.
-    "signals": """
+    "signals": f"""
         SELECT symbol, t_event, actual_5d_return_pct, actual_sign, baseline_pre_7d_return_pct,
                baseline_pred_sign,
                CASE WHEN baseline_pre_7d_return_pct > 0 THEN -1
                     WHEN baseline_pre_7d_return_pct < 0 THEN 1 ELSE 0 END AS enhanced_pred_sign,
-               round(least(1.0, 0.15 + abs(baseline_pre_7d_return_pct) / 120.0), 4)
+               {shortest("least(1e0, 15e-2 + abs(baseline_pre_7d_return_pct) / 12e1)")}
                  AS enhanced_confidence
         FROM ev""",
+    "raw_urls": """
+        SELECT page_id, CASE page_id % 3 WHEN 0 THEN url
+          WHEN 1 THEN bare || CASE WHEN contains(bare, '?') THEN '&' ELSE '?' END
+               || 'utm_source=a&q=&FBCLID=b&flag#frag'
+          ELSE replace(replace(url, 'https://', '  HTTPS://WWW.'), 'http://', 'Http://www.') END AS raw_url
+        FROM (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages)""",
+    "clean_urls": f"""
+        SELECT page_id, raw_url, scheme || '://' || host || path
+                 || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url,
+               regexp_replace(host, '^www[.]', '') AS domain
+        FROM (SELECT page_id, raw_url, lower(regexp_extract(u, '{_URL}', 1)) AS scheme,
+                lower(regexp_extract(u, '{_URL}', 2)) AS host, regexp_extract(u, '{_URL}', 3) AS path,
+                array_to_string(list_transform(list_filter(
+                  string_split(regexp_extract(u, '{_URL}', 4), '&'),
+                  lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid|igshid)(=|$)')),
+                  lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') AS q
+              FROM (SELECT *, trim(raw_url) AS u FROM raw_urls))""",
+    "compact_news": f"""
+        SELECT doc_id, doc_ts, source, source_domain, relevance_score, lang, title, body, url,
+               {_compact("title")} AS ctitle, {_compact("body")} AS cbody
+        FROM news""",
+    "doc_facts": f"""
+        SELECT n.doc_id, n.doc_ts, trim(n.title) AS title, n.relevance_score, n.pos, n.neg,
+               CASE WHEN n.pos + n.neg > 0 THEN (n.pos - n.neg) / (n.pos + n.neg) ELSE 0.0 END AS lex,
+               n.pos_hits, n.neg_hits, s.score AS enc
+        FROM (SELECT *, {occurrences("lower(txt)", v.POSITIVE)} AS pos,
+                     {occurrences("lower(txt)", v.NEGATIVE)} AS neg,
+                     {phrase_hits("txt", v.GOOD_PHRASES)} AS pos_hits,
+                     {phrase_hits("txt", v.BAD_PHRASES)} AS neg_hits
+              FROM (SELECT *, title || ' ' || body AS txt FROM news)) n
+        LEFT JOIN encoder_scores s ON s.doc_id = n.doc_id""",
+    "named": f"""
+        SELECT doc_id, alias, max(by_ticker) AS by_ticker FROM (
+          SELECT d.doc_id, a.alias, d.by_ticker
+          FROM (SELECT DISTINCT ticker || '|' || name AS alias, ticker, name FROM entities) a
+          JOIN ({" UNION ALL ".join(
+              f"SELECT doc_id, '{t}' AS term, 1 AS by_ticker FROM news WHERE "
+              + whole_word("(title || ' ' || body)", f"'{t}'") for t in v.TICKERS)}
+            UNION ALL {" UNION ALL ".join(
+              f"SELECT doc_id, '{t}' AS term, 0 AS by_ticker FROM news WHERE "
+              + whole_word("lower(title || ' ' || body)", f"'{t}'") for t in v.NAMES)}) d
+            ON (d.by_ticker = 1 AND d.term = a.ticker) OR (d.by_ticker = 0 AND d.term = a.name))
+        GROUP BY doc_id, alias""",
 }

@@ -235,3 +235,54 @@ def journal(spark, sf) -> DataFrame:
         status.alias("status"),
         pnl.alias("pnl_usd"),
     )
+
+
+def raw_urls(spark, sf) -> DataFrame:
+    """Page addresses, a third each as found, with tracking, and in upper case."""
+    url, kind = F.col("url"), F.pmod("page_id", F.lit(3))
+    bare = F.regexp_replace(url, "#.*$", "")
+    tracked = F.concat(
+        bare,
+        F.when(bare.contains("?"), "&").otherwise("?"),
+        F.lit("utm_source=a&q=&FBCLID=b&flag#frag"),
+    )
+    shouted = F.replace(
+        F.replace(url, F.lit("https://"), F.lit("  HTTPS://WWW.")),
+        F.lit("http://"),
+        F.lit("Http://www."),
+    )
+    return table(spark, sf, "pages").select(
+        "page_id",
+        F.when(kind == 0, url).when(kind == 1, tracked).otherwise(shouted).alias("raw_url"),
+    )
+
+
+def articles(spark, sf) -> DataFrame:
+    """News documents in the shape of fetched web articles."""
+    return news(spark, sf).select(
+        "doc_id",
+        "url",
+        F.concat(F.lit("  "), "title", F.lit("\n")).alias("title"),
+        F.concat("source", F.lit("  reports")).alias("description"),
+        F.col("body").alias("content"),
+        F.col("source"),
+        F.lit(None).cast("string").alias("source_url"),
+        F.col("published_at"),
+        F.col("fetched_at"),
+        F.lit("all").alias("query"),
+        F.lit(1).alias("priority"),
+    )
+
+
+def ticker_articles(spark, sf) -> DataFrame:
+    """News documents in the shape of articles fetched for one ticker each."""
+    n = table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
+    doc = F.col("doc_id").cast("bigint")
+    return articles(spark, sf).withColumns(
+        {
+            "symbol": symbol_of(F.pmod(doc, n)),
+            "tags": F.array(F.lit(" MARKETS "), F.lit("")),
+            "symbols": F.when(F.pmod(doc, F.lit(3)) == 0, F.array(symbol_of(F.pmod(doc, n)))),
+            "polarity": F.pmod(doc, F.lit(21)) / 10.0 - 1.0,
+        }
+    )

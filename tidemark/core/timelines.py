@@ -13,47 +13,37 @@ def total_at(
     changes: DataFrame,
     by: Sequence[str],
     ts: str,
-    change: str = "change",
-    after: str = "after",
     name: str = "total",
 ) -> DataFrame:
-    """Sum of changes in force at each distinct (``by``, ``ts``) of ``probes``.
+    """Sum of changes in force at each distinct (``by``, ``ts``, ``rank``) of ``probes``.
 
-    A change counts from its instant on, or only after it where ``after`` is
-    true. Changes are summed per instant first; a window orders the instants of
-    one day, a second one the days, so no group is ordered as a whole.
+    ``changes`` holds ``change`` and ``rank``; at one instant, rows take effect
+    in the order of ``rank``, and a probe sees what ranks below it. Changes are
+    summed per instant first; a window orders the instants of one day, a second
+    one the days, so no group is ordered as a whole.
     """
     by = list(by)
     keys = by + ["__day"]
-    instants = (
-        changes.groupBy(*by, ts, F.when(F.col(after), 2).otherwise(0).alias("__rank"))
-        .agg(F.sum(change).alias("__delta"))
-    )
-    asked = probes.select(*by, ts).distinct().withColumns(
-        {"__rank": F.lit(1), "__delta": F.lit(0).cast("bigint")}
+    instants = changes.groupBy(*by, ts, "rank").agg(F.sum("change").alias("__delta"))
+    asked = (
+        probes.select(*by, ts, "rank").distinct().withColumn("__delta", F.lit(None).cast("bigint"))
     )
     line = instants.unionByName(asked).withColumn("__day", F.to_date(ts))
     in_day = (
-        Window.partitionBy(*keys).orderBy(ts, "__rank").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys).orderBy(ts, "rank").rowsBetween(Window.unboundedPreceding, 0)
     )
     days_before = (
         Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     )
     days = (
-        instants.groupBy(*by, F.to_date(ts).alias("__day"))
-        .agg(F.sum("__delta").alias("__sum"))
-        .unionByName(
-            asked.select(*by, F.to_date(ts).alias("__day")).distinct().withColumn(
-                "__sum", F.lit(0).cast("bigint")
-            )
-        )
-        .groupBy(*keys)
-        .agg(F.sum("__sum").alias("__sum"))
+        line.groupBy(*keys)
+        .agg(F.coalesce(F.sum("__delta"), F.lit(0)).alias("__sum"))
         .withColumn("__carry", F.coalesce(F.sum("__sum").over(days_before), F.lit(0)))
     )
+    inside = F.coalesce(F.sum("__delta").over(in_day), F.lit(0))
     return (
-        line.withColumn("__inside", F.sum("__delta").over(in_day))
-        .where(F.col("__rank") == 1)
+        line.withColumn("__inside", inside)
+        .where(F.col("__delta").isNull())
         .join(days.select(*keys, "__carry"), keys)
-        .select(*by, ts, (F.col("__inside") + F.col("__carry")).alias(name))
+        .select(*by, ts, "rank", (F.col("__inside") + F.col("__carry")).alias(name))
     )

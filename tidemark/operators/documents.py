@@ -151,7 +151,7 @@ def ticker_relevance_gate(
                         F.coalesce("tags", F.array().cast("array<string>")),
                         F.coalesce("symbols", F.array().cast("array<string>")),
                     ),
-                    F.trim,
+                    lambda x: F.trim(x),
                 ),
                 lambda x: x != "",
             )
@@ -314,33 +314,42 @@ def scores_for(docs: DataFrame, scores: DataFrame, model: str, name: str = "scor
     return docs.join(picked, "doc_id", "left")
 
 
-def mentions(docs: DataFrame, aliases: DataFrame, longest_name: int = 3) -> DataFrame:
+def mentions(
+    docs: DataFrame, aliases: DataFrame, longest_name: int = 3, keep: Sequence[str] = ()
+) -> DataFrame:
     """Distinct (doc_id, alias) pairs, with whether the ticker itself was found.
 
     ``aliases`` holds (alias, ticker, name): the ticker matches whole words in
     their original case, the name whole words of the lower-cased text. Texts are
     cut into words once and matched by equality, so the cost does not grow with
     the number of companies. ``longest_name`` is the longest name in words.
+    ``keep`` names columns of ``docs`` to carry along.
     """
     text = tx.headline_and_body(F.col("title"), F.col("body"))
-    runs = [tx.words(F.lower(F.col("__text")))] + [
-        tx.word_runs(F.lower(F.col("__text")), n) for n in range(2, longest_name + 1)
-    ]
-    base = docs.select("doc_id", text.alias("__text"))
-    by_ticker = (
-        base.select("doc_id", F.explode(tx.words(F.col("__text"))).alias("ticker"))
-        .join(aliases.where(F.col("ticker").isNotNull()).select("alias", "ticker"), "ticker")
-        .select("doc_id", "alias", F.lit(1).alias("by_ticker"))
+    low = F.lower(text)
+    names = F.concat(
+        tx.words(low), *[tx.word_runs(low, n) for n in range(2, longest_name + 1)]
     )
-    by_name = (
-        base.select("doc_id", F.explode(F.concat(*runs)).alias("name"))
-        .join(aliases.where(F.col("name").isNotNull()).select("alias", "name"), "name")
-        .select("doc_id", "alias", F.lit(0).alias("by_ticker"))
+
+    def tagged(found: Column, by_ticker: int) -> Column:
+        return F.transform(
+            found, lambda t: F.struct(t.alias("term"), F.lit(by_ticker).alias("by_ticker"))
+        )
+
+    found = F.explode(F.concat(tagged(tx.words(text), 1), tagged(names, 0)))
+    terms = (
+        aliases.select("alias", F.col("ticker").alias("term"), F.lit(1).alias("by_ticker"))
+        .unionByName(
+            aliases.select("alias", F.col("name").alias("term"), F.lit(0).alias("by_ticker"))
+        )
+        .where(F.col("term").isNotNull())
     )
     return (
-        by_ticker.unionByName(by_name)
+        docs.select("doc_id", *keep, found.alias("__f"))
+        .select("doc_id", *keep, "__f.term", "__f.by_ticker")
+        .join(terms, ["term", "by_ticker"])
         .groupBy("doc_id", "alias")
-        .agg(F.max("by_ticker").alias("by_ticker"))
+        .agg(F.max("by_ticker").alias("by_ticker"), *[F.first(c).alias(c) for c in keep])
     )
 
 

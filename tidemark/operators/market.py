@@ -194,13 +194,13 @@ def _covered_spans(calendar: DataFrame, days: int) -> DataFrame:
         {"opens": F.coalesce(opens, F.lit(True)), "closes": F.coalesce(closes, F.lit(True))}
     )
     starts = marked.where("opens").select(
-        "symbol", F.col("lo").alias("t_event"), F.lit(1).alias("change"), F.lit(False).alias("after")
+        "symbol", F.col("lo").alias("t_event"), F.lit(1).alias("change"), F.lit(0).alias("rank")
     )
     ends = marked.where("closes").select(
         "symbol",
         (F.col("hi") + reach).alias("t_event"),
         F.lit(-1).alias("change"),
-        F.lit(True).alias("after"),
+        F.lit(2).alias("rank"),
     )
     return starts.unionByName(ends)
 
@@ -219,12 +219,12 @@ def neighbor_event_count(
 
     spans = _covered_spans(calendar, days)
     recent = total_at(
-        with_sector.where(F.col("sector").isNotNull()),
+        with_sector.where(F.col("sector").isNotNull()).withColumn("rank", F.lit(1)),
         spans.join(members, "symbol").drop("symbol"),
         ["sector"],
         "t_event",
         name="sector_recent",
-    )
+    ).drop("rank")
     dated = calendar.select(
         "symbol", F.col("t_event").alias("at"), F.lit(1).cast("bigint").alias("n")
     )

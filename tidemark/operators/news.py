@@ -14,32 +14,59 @@ from tidemark.functions import text as tx
 from tidemark.operators.documents import mentions
 
 
+FACTS = ("doc_ts", "headline", "relevance_score", "lex", "pos_hits", "neg_hits")
+
+
 def document_facts(
     docs: DataFrame,
     positive: Sequence[str] = fx.LEXICON_POSITIVE,
     negative: Sequence[str] = fx.LEXICON_NEGATIVE,
     outcome_positive: Sequence[str] = fx.OUTCOME_POSITIVE_PATTERNS,
     outcome_negative: Sequence[str] = fx.OUTCOME_NEGATIVE_PATTERNS,
-    encoder_scores: DataFrame | None = None,
 ) -> DataFrame:
-    """The numbers of each document, read from its text once; no text is kept."""
+    """Documents with the numbers that features need from their text."""
     text = tx.headline_and_body(F.col("title"), F.col("body"))
-    facts = docs.select(
+    return docs.select(
         "doc_id",
         "doc_ts",
-        F.trim("title").alias("title"),
+        "title",
+        "body",
+        F.trim("title").alias("headline"),
         "relevance_score",
         tx.lexicon_score(text, positive, negative).alias("lex"),
         tx.pattern_hits(text, outcome_positive).alias("pos_hits"),
         tx.pattern_hits(text, outcome_negative).alias("neg_hits"),
     )
+
+
+def mentioned_facts(
+    facts: DataFrame,
+    entities: DataFrame,
+    encoder_scores: DataFrame | None = None,
+    longest_name: int = 3,
+) -> DataFrame:
+    """Per (document, alias) the document's numbers; texts are read once, here.
+
+    Only these narrow rows are shuffled. A job that serves several features
+    should store this table.
+    """
+    aliases = keyed_entities(entities).select("alias", "ticker", "name").distinct()
+    named = mentions(facts, aliases, longest_name, keep=FACTS)
     if encoder_scores is None:
-        return facts.withColumn("enc", F.lit(None).cast("double"))
-    return facts.join(
+        return named.withColumn("enc", F.lit(None).cast("double"))
+    return named.join(
         encoder_scores.select("doc_id", F.col("score").alias("enc")), "doc_id", "left"
     )
 
 
+def keyed_entities(entities: DataFrame) -> DataFrame:
+    """Entities with the alias that stands for their terms."""
+    name = F.lower("name")
+    return entities.select(
+        "symbol", "ticker", name.alias("name"), F.concat_ws("|", "ticker", name).alias("alias")
+    )
+
+
 def docs_in_window(events: DataFrame, docs: DataFrame, days: int = 7) -> DataFrame:
     """(event, document) pairs with the document in the closed ``[T - days, T]``."""
     return interval_join(events, docs, fact_ts="doc_ts", days=days)
@@ -49,23 +76,22 @@ def documents_considered(events: DataFrame, docs: DataFrame, days: int = 7) -> D
     """Documents in the window of each event time, as a difference of running totals."""
     reach = F.expr(f"INTERVAL {int(days)} DAYS")
     times = events.select("t_event").distinct()
-    arrivals = docs.select(F.col("doc_ts").alias("at"), F.lit(1).alias("change"))
-    upto = total_at(
-        times.select(F.col("t_event").alias("at")),
-        arrivals.withColumn("after", F.lit(False)),
-        [],
-        "at",
-        name="upto",
-    ).withColumnRenamed("at", "t_event")
-    before = total_at(
-        times.select((F.col("t_event") - reach).alias("at")),
-        arrivals.withColumn("after", F.lit(True)),
+    # At one instant: the window opens before its documents, and closes after them.
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("t_event").alias("at"), F.lit(1).alias("rank")),
+            F.struct((F.col("t_event") - reach).alias("at"), F.lit(-1).alias("rank")),
+        )
+    )
+    totals = total_at(
+        times.select(ends.alias("e")).select("e.*"),
+        docs.select(F.col("doc_ts").alias("at"), F.lit(1).alias("change"), F.lit(0).alias("rank")),
         [],
         "at",
-        name="before",
-    ).select((F.col("at") + reach).alias("t_event"), "before")
-    return upto.join(before, "t_event").select(
-        "t_event", (F.col("upto") - F.col("before")).alias("enhanced_documents_considered")
+    )
+    t_event = F.when(F.col("rank") > 0, F.col("at")).otherwise(F.col("at") + reach)
+    return totals.groupBy(t_event.alias("t_event")).agg(
+        F.sum(F.col("total") * F.col("rank")).alias("enhanced_documents_considered")
     )
 
 
@@ -76,13 +102,13 @@ _SUMS = (
 _MAXIMA = ("lex_top", "enc_top")
 
 
-def mention_facts(facts: DataFrame, named: DataFrame) -> DataFrame:
-    """Per (document, alias): what the document adds to the alias's sums."""
+def _contributions(named: DataFrame) -> DataFrame:
+    """What each (document, alias) adds to the alias's sums."""
 
     def one_if(test: Column) -> Column:
         return F.coalesce(test, F.lit(False)).cast("bigint")
 
-    return facts.join(named, "doc_id").select(
+    return named.select(
         "alias",
         "doc_ts",
         F.lit(1).cast("bigint").alias("n_docs"),
@@ -105,60 +131,49 @@ def mention_facts(facts: DataFrame, named: DataFrame) -> DataFrame:
 def news_features(
     events: DataFrame,
     docs: DataFrame,
-    facts: DataFrame,
+    named: DataFrame,
     entities: DataFrame,
     edges: DataFrame,
     days: int = 7,
-    longest_name: int = 3,
 ) -> DataFrame:
     """Sentiment, phrase and spillover features of each event's window.
 
-    ``entities`` maps symbol to (ticker, name); symbols with equal terms share
-    one alias, so that a mention is counted once per alias. Own and neighbour
-    sums come from one roll-up per (alias, T).
+    ``named`` comes from ``mentioned_facts``; of ``docs`` only the time is read.
+    Symbols with equal terms share one alias, so a mention is counted once per
+    alias. Own and neighbour sums come from one roll-up per (alias, T).
     """
-    keyed = entities.select(
-        "symbol",
-        "ticker",
-        F.lower("name").alias("name"),
-        F.concat_ws("|", "ticker", F.lower("name")).alias("alias"),
-    )
-    aliases = keyed.select("alias", "ticker", "name").distinct()
-    alias_of = keyed.select("symbol", "alias")
+    alias_of = keyed_entities(entities).select("symbol", "alias")
     keys = events.select("symbol", "t_event").distinct()
-
-    own = keys.join(alias_of, "symbol", "left")
-    peers = keys.join(
-        edges.select(F.col("src").alias("symbol"), "dst", "weight"), "symbol"
-    ).join(alias_of.select(F.col("symbol").alias("dst"), F.col("alias").alias("peer")), "dst")
-    asked = own.select("alias", "t_event").unionByName(
-        peers.select(F.col("peer").alias("alias"), "t_event")
+    # One row per event and alias it looks at: its own, then its neighbours'.
+    own_edge = alias_of.select("symbol", F.col("symbol").alias("dst"), "alias").withColumn(
+        "weight", F.lit(None).cast("double")
     )
+    peer_edge = edges.select(F.col("src").alias("symbol"), "dst", "weight").join(
+        alias_of.withColumnRenamed("symbol", "dst"), "dst"
+    )
+    looks = own_edge.unionByName(peer_edge.select("symbol", "dst", "alias", "weight"))
+    asked = keys.join(looks, "symbol")
     sums = interval_rollup(
-        asked.where(F.col("alias").isNotNull()),
-        mention_facts(facts, mentions(docs, aliases, longest_name)),
-        ["alias"],
-        sums=_SUMS,
-        maxima=_MAXIMA,
-        fact_ts="doc_ts",
-        days=days,
+        asked, _contributions(named), ["alias"], sums=_SUMS, maxima=_MAXIMA,
+        fact_ts="doc_ts", days=days,
     )
-    spill = (
-        peers.join(
-            sums.select(F.col("alias").alias("peer"), "t_event", "n_ticker"), ["peer", "t_event"]
-        )
+    own = F.col("symbol") == F.col("dst")
+    picked = (
+        asked.join(sums, ["alias", "t_event"])
         .groupBy("symbol", "t_event")
         .agg(
-            F.sum("n_ticker").alias("spill"),
-            F.sum(F.col("n_ticker") * F.coalesce("weight", F.lit(0.0))).alias("weighted_spill"),
+            *[F.max(F.when(own, F.col(c))).alias(c) for c in (*_SUMS, *_MAXIMA)],
+            F.sum(F.when(~own, F.col("n_ticker")).otherwise(0)).alias("spill"),
+            F.sum(
+                F.when(~own, F.col("n_ticker") * F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
+            ).alias("weighted_spill"),
         )
     )
-    rows = (
-        own.join(sums, ["alias", "t_event"], "left")
-        .join(spill, ["symbol", "t_event"], "left")
-        .join(documents_considered(keys, docs, days), "t_event", "left")
+    return _feature_columns(
+        keys.join(picked, ["symbol", "t_event"], "left").join(
+            documents_considered(keys, docs, days), "t_event", "left"
+        )
     )
-    return _feature_columns(rows)
 
 
 def _feature_columns(rows: DataFrame) -> DataFrame:
@@ -209,59 +224,34 @@ def _feature_columns(rows: DataFrame) -> DataFrame:
 
 
 def top_drivers(
-    events: DataFrame,
-    docs: DataFrame,
-    facts: DataFrame,
-    entities: DataFrame,
-    days: int = 7,
-    k: int = 3,
-    longest_name: int = 3,
+    events: DataFrame, named: DataFrame, entities: DataFrame, days: int = 7, k: int = 3
 ) -> DataFrame:
     """Titles of the ``k`` heaviest documents per event: polarity plus relevance.
 
-    Only the title travels; ranking is salted, and at most ``k`` rows per part
-    of a window reach the final ranking.
+    Ranking is salted: at most ``k`` rows per part of a window reach the final
+    ranking.
     """
-    keyed = entities.select(
-        "symbol",
-        "ticker",
-        F.lower("name").alias("name"),
-        F.concat_ws("|", "ticker", F.lower("name")).alias("alias"),
-    )
-    named = mentions(docs, keyed.select("alias", "ticker", "name").distinct(), longest_name)
+    alias_of = keyed_entities(entities).select("symbol", "alias")
     weight = F.greatest(F.abs("lex"), F.coalesce(F.abs("enc"), F.lit(0.0))) + F.col(
         "relevance_score"
     )
-    weighed = (
-        facts.where(F.col("title") != "")
-        .join(named.select("doc_id", "alias"), "doc_id")
-        .select("alias", "doc_id", "doc_ts", "title", weight.alias("weight"))
-    )
-    asked = (
-        events.select("symbol", "t_event")
-        .distinct()
-        .join(keyed.select("symbol", "alias"), "symbol")
-        .select("alias", "t_event")
-        .distinct()
+    weighed = named.where(F.col("headline") != "").select(
+        "alias", "doc_id", "doc_ts", "headline", weight.alias("weight")
     )
+    keyed = events.select("symbol", "t_event").distinct().join(alias_of, "symbol", "left")
+    asked = keyed.where(F.col("alias").isNotNull()).select("alias", "t_event").distinct()
     pairs = interval_join(asked, weighed, fact_ts="doc_ts", days=days, by=["alias"])
     order = [F.col("weight").desc(), F.col("doc_ts"), F.col("doc_id")]
     ranked = top_by(pairs, ["alias", "t_event"], order, k)
     listed = ranked.groupBy("alias", "t_event").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda s: s["title"]
+            F.array_sort(F.collect_list(F.struct("rank", "headline"))), lambda s: s["headline"]
         ).alias("top_drivers")
     )
-    return (
-        events.select("symbol", "t_event")
-        .distinct()
-        .join(keyed.select("symbol", "alias"), "symbol", "left")
-        .join(listed, ["alias", "t_event"], "left")
-        .select(
-            "symbol",
-            "t_event",
-            F.coalesce("top_drivers", F.array().cast("array<string>")).alias("top_drivers"),
-        )
+    return keyed.join(listed, ["alias", "t_event"], "left").select(
+        "symbol",
+        "t_event",
+        F.coalesce("top_drivers", F.array().cast("array<string>")).alias("top_drivers"),
     )
 
 
