@@ -55,7 +55,8 @@ def _signal_sums(signals: DataFrame, session: str, mode: str) -> DataFrame:
     if mode == "cap":
         part = part * F.coalesce(F.col("weight"), F.lit(0.0))
     return signals.groupBy(session).agg(
-        F.sum(part).alias("agg"),
+        # Added up as decimals: signals that cancel give exactly 0.
+        F.sum(part.cast("decimal(28,10)")).alias("agg"),
         F.sum(F.abs(F.coalesce(F.col("weight"), F.lit(0.0)))).alias("weight_sum"),
         F.count(F.lit(1)).alias("n_events"),
         F.array_sort(F.collect_set("symbol")).alias("symbols"),
@@ -69,7 +70,9 @@ def build_sessions(signals: DataFrame, index_bars: DataFrame, mode: str = "equal
     "cap"); rows with sign 0 are ignored.
     """
     live = signals.where(F.col("sign") != 0)
-    sums = _signal_sums(assign_session(live, index_bars), "session_date", mode)
+    sums = _signal_sums(assign_session(live, index_bars), "session_date", mode).withColumn(
+        "agg", F.col("agg").cast("double")
+    )
     bars = index_bars.where((F.col("open") != 0) & F.col("close").isNotNull()).select(
         F.col("d").alias("session_date"), "open", "close"
     )
@@ -106,7 +109,9 @@ def upcoming_sessions(
     the number of signals instead, without normalising the weights.
     """
     placed = assign_session(signals.where(F.col("sign") != 0), calendar)
-    sums = _signal_sums(placed, "session_date", "cap")
+    sums = _signal_sums(placed, "session_date", "cap").withColumn(
+        "agg", F.col("agg").cast("double")
+    )
     divisor = F.col("n_events").cast("double") if raw else F.col("weight_sum")
     avg = F.coalesce(F.when(divisor > 0, F.abs("agg") / divisor), F.lit(0.0))
     sign = F.signum("agg").cast("int")
@@ -132,7 +137,7 @@ def session_bias(signals: DataFrame, floor: float = fx.OVERLAY_MIN_CONFIDENCE,
     """The one cap-weighted bias of all current signals."""
     sums = _signal_sums(
         signals.where(F.col("sign") != 0).withColumn("__all", F.lit(1)), "__all", "cap"
-    )
+    ).withColumn("agg", F.col("agg").cast("double"))
     divisor = F.col("n_events").cast("double") if raw else F.col("weight_sum")
     avg = F.coalesce(F.when(divisor > 0, F.abs("agg") / divisor), F.lit(0.0))
     sign = F.signum("agg").cast("int")

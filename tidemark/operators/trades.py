@@ -296,9 +296,7 @@ def equity_curve(
     seeded: bool = True,
 ) -> DataFrame:
     """Compounded level and drawdown after each row."""
-    return running_growth(trades, ret, order, chunks, by, seeded).withColumns(
-        {"equity": F.round("equity", 6), "drawdown_pct": F.round("drawdown_pct", 4)}
-    )
+    return running_growth(trades, ret, order, chunks, by, seeded)
 
 
 def best_by(df: DataFrame, value: str, order: str, largest: bool = True) -> DataFrame:
