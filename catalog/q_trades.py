@@ -320,7 +320,7 @@ _PATH_TRADES = f"""
            FROM ({_PATH_TRADES})) s""",
 )
 def path_strategy_metrics(spark, sf):
-    rows = tr.path_trades(trade_paths(spark, sf), signal="signal")
+    rows = tr.path_trades(cut_lineage(trade_paths(spark, sf)), signal="signal")
     order = [F.col("t_event"), F.col("symbol")]
     metrics = tr.strategy_metrics(rows, [], order, [F.to_date("t_event")], path=True)
     # These bars move by hundreds of percent; the growth is shown as a power of ten.
@@ -518,8 +518,8 @@ def filtered_signals(spark, sf):
 @query(
     "session_plans",
     f"""SELECT symbol, d, side AS direction_sign, {shortest('stop')} AS stop_price,
-         {shortest('target')} AS target_price, round(abs(entry - stop) / entry * 100.0, 4) AS stop_pct,
-         round(abs(target - entry) / entry * 100.0, 4) AS target_pct
+         {shortest('target')} AS target_price, {shortest('abs(entry - stop) / entry * 100.0')} AS stop_pct,
+         {shortest('abs(target - entry) / entry * 100.0')} AS target_pct
        FROM (
          SELECT *, CASE WHEN side > 0 THEN least(entry * (1 - sp / 100.0),
                           CASE WHEN pdl <> 0 AND pdl < entry THEN pdl * 0.999e0 END)

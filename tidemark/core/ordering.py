@@ -168,7 +168,6 @@ def exact_median(
     group is collected, and equal values are counted before any shuffle.
     """
     by = list(by)
-    bin_of = F.floor(F.col(value) / F.lit(width))
     values = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("__v"))
@@ -178,9 +177,8 @@ def exact_median(
     whole = Window.partitionBy(*by)
     ranked = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, bin_of.alias("__bin"))
-        .agg(F.count(F.lit(1)).alias("__size"))
+        values.groupBy(*by, "__bin")
+        .agg(F.sum("__n").alias("__size"))
         .withColumn("__start", F.coalesce(F.sum("__size").over(ranked), F.lit(0)))
         .withColumn("__all", F.sum("__size").over(whole))
         .withColumn("__lo", F.floor((F.col("__all") - 1) / 2))
