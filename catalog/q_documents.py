@@ -71,7 +71,7 @@ def matched_terms(spark, sf):
     return v.table(spark, sf, "documents").select("doc_id", F.array_join(hits, ",").alias("terms"))
 
 
-_GATED = f"""
+GATED = f"""
     SELECT doc_id, ctitle, body, ai, market,
            round(len(ai) * 2.0 + len(market) * 1.5, 2) AS relevance_score, url
     FROM (SELECT *, {_matched(v.AI_TERMS, "lower(ctitle || ' ' || body)")} AS ai,
@@ -85,7 +85,7 @@ _GATED = f"""
     f"""SELECT substr(sha256(url), 1, 24) AS doc_id, url, md5(body) AS body_md5,
           CAST(relevance_score AS DOUBLE) AS relevance_score,
           array_to_string(list_sort(list_distinct(list_concat(ai, market))), ',') AS hits
-        FROM ({_GATED}) WHERE len(ai) > 0 AND len(market) > 0 AND relevance_score >= 3.5""",
+        FROM ({GATED}) WHERE len(ai) > 0 AND len(market) > 0 AND relevance_score >= 3.5""",
 )
 def relevance_gate(spark, sf):
     docs = dc.relevance_gate(v.articles(spark, sf), v.AI_TERMS, v.MARKET_TERMS)

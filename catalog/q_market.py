@@ -32,33 +32,28 @@ def baseline_events(spark, sf):
     return labelled(spark, sf)
 
 
-_AS_OF_COLUMNS = ("symbol", "t_event", "d", "close")
-
-
 @query(
     "asof_forward",
-    f"""SELECT e.symbol, e.t_event, b.d, {r('b.close')} AS close
+    """SELECT e.symbol, e.t_event, b.d, b.close
         FROM earnings_shifted e ASOF JOIN bars b
           ON e.symbol = b.symbol AND CAST(e.t_event AS DATE) <= b.d""",
 )
 def asof_forward(spark, sf):
-    joined = asof_join(v.earnings_shifted(spark, sf), v.bars(spark, sf).select("symbol", "d", "close"))
-    return joined.withColumn("close", F.round("close", 6))
+    return asof_join(v.earnings_shifted(spark, sf), v.bars(spark, sf).select("symbol", "d", "close"))
 
 
 @query(
     "asof_backward",
-    f"""SELECT e.symbol, e.t_event, b.d, {r('b.close')} AS close
+    """SELECT e.symbol, e.t_event, b.d, b.close
         FROM earnings_shifted e ASOF JOIN bars b
           ON e.symbol = b.symbol AND CAST(e.t_event AS DATE) >= b.d""",
 )
 def asof_backward(spark, sf):
-    joined = asof_join(
+    return asof_join(
         v.earnings_shifted(spark, sf),
         v.bars(spark, sf).select("symbol", "d", "close"),
         direction="backward",
     )
-    return joined.withColumn("close", F.round("close", 6))
 
 
 @query(
@@ -232,16 +227,14 @@ def daily_volatility(spark, sf):
 
 @query(
     "live_pre_return",
-    f"""SELECT symbol, d AS last_d, {r('close')} AS spot, {r(pct('then_close', 'close'))} AS pre_7d_return_pct
+    f"""SELECT symbol, d AS last_d, close AS spot, {r(pct('then_close', 'close'))} AS pre_7d_return_pct
         FROM (SELECT symbol, d, close, lag(close, 7) OVER (PARTITION BY symbol ORDER BY d) AS then_close
               FROM bars WHERE d BETWEEN DATE '{v.AS_OF}' - INTERVAL 45 DAYS AND DATE '{v.AS_OF}')
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1""",
 )
 def live_pre_return(spark, sf):
     out = mk.live_pre_return(v.bars(spark, sf), v.AS_OF)
-    return out.withColumns(
-        {c: F.round(c, 6) for c in ("spot", "pre_7d_return_pct")}
-    )
+    return out.withColumn("pre_7d_return_pct", F.round("pre_7d_return_pct", 6))
 
 
 _TR = """greatest(abs(high - low), coalesce(abs(high - lag(close) OVER w), 0),
@@ -288,16 +281,17 @@ def structure_by_bar(spark, sf):
 
 @query(
     "structure_levels",
-    f"""SELECT symbol, d, {r('close')} AS close, {r('atr_pct')} AS atr_pct, swing_high, swing_low,
+    f"""SELECT symbol, d, close, {r('atr_pct')} AS atr_pct, swing_high, swing_low,
           {r('fib_382')} AS fib_382, {r('fib_500')} AS fib_500, {r('fib_618')} AS fib_618,
           prior_day_high, prior_day_low, liquidity_sweep
         FROM ({_STRUCTURE}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1""",
 )
 def structure_levels(spark, sf):
-    rounded = ("close", "atr_pct", "fib_382", "fib_500", "fib_618")
+    rounded = ("atr_pct", "fib_382", "fib_500", "fib_618")
     return mk.structure_levels(v.tick_bars(spark, sf)).select(
         "symbol",
         "d",
+        "close",
         *[F.round(c, 6).alias(c) for c in rounded],
         "swing_high",
         "swing_low",

@@ -90,7 +90,7 @@ def _outlook_sql(sector: str) -> str:
 
 IN_SECTOR = _outlook_sql(f"'{SECTOR}'")
 NATIVE = _outlook_sql("c.sector")
-_SHOWN = """symbol, sector, round(current_price, 6) AS current_price, predicted_move_pct,
+_SHOWN = """symbol, sector, current_price, predicted_move_pct,
   predicted_direction, leverage_or_hedge, correlation_to_sector, neighbours, mentions_7d"""
 _SHOWN_COLUMNS = (
     "symbol", "sector", "current_price", "predicted_move_pct", "predicted_direction",
@@ -119,7 +119,7 @@ def outlook(spark, sf, sector=None):
 
 
 def _shown(df):
-    return df.withColumn("current_price", F.round("current_price", 6)).select(*_SHOWN_COLUMNS)
+    return df.select(*_SHOWN_COLUMNS)
 
 
 @query("sector_outlook", f"SELECT {_SHOWN} FROM ({IN_SECTOR})")

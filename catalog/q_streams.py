@@ -1 +1,140 @@
-"""Registered queries."""
+"""Streaming jobs, run over what has landed and compared with a batch result."""
+
+from pyspark.sql import functions as F
+
+from catalog import query
+from catalog import views as v
+from catalog.ctes import occurrences, r
+from catalog.q_documents import GATED, aliases
+from tidemark.functions import text as tx
+from tidemark.functions import urls
+from tidemark.operators import documents as dc
+from tidemark.streaming import jobs
+
+
+def stream(spark, sf, name):
+    """A table as a stream of the files that have landed."""
+    schema = v.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _landed_articles(spark, sf):
+    """Documents as arriving articles; every third one arrives twice."""
+    doc = F.col("doc_id")
+    copies = F.when(F.pmod(doc, F.lit(3)) == 0, F.array(F.lit(""), F.lit("?utm_source=x"))).otherwise(
+        F.array(F.lit(""))
+    )
+    at = F.lit("2001-01-01 00:00:00").cast("timestamp")
+    arriving = stream(spark, sf, "documents").select("*", F.explode(copies).alias("suffix"))
+    return arriving.select(
+        F.concat(
+            F.lit("https://"), "source", F.lit(".example.com/n/"), doc.cast("string"), "suffix"
+        ).alias("url"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.concat("source", F.lit(" reports")).alias("description"),
+        F.col("text").alias("content"),
+        F.col("source"),
+        F.lit(None).cast("string").alias("source_url"),
+        at.alias("published_at"),
+        at.alias("fetched_at"),
+        F.lit("all").alias("query"),
+        F.lit(1).alias("priority"),
+    )
+
+
+_LEX = f"""
+    SELECT url, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END AS lex FROM (
+      SELECT url, {occurrences('low', v.POSITIVE)} AS p, {occurrences('low', v.NEGATIVE)} AS n
+      FROM (SELECT url, lower(ctitle || ' ' || source || ' reports ' || cbody) AS low
+            FROM compact_news))"""
+
+
+@query(
+    "streamed_documents",
+    f"""SELECT substr(sha256(g.url), 1, 24) AS doc_id, g.url, {r('l.lex')} AS score
+        FROM ({GATED}) g JOIN ({_LEX}) l ON l.url = g.url
+        WHERE len(g.ai) > 0 AND len(g.market) > 0 AND g.relevance_score >= 3.5""",
+)
+def streamed_documents(spark, sf):
+    base = jobs.work_dir(spark, "ingest")
+    started = jobs.ingest_stream(
+        _landed_articles(spark, sf),
+        lambda a: dc.relevance_gate(a, v.AI_TERMS, v.MARKET_TERMS),
+        f"{base}/documents",
+        f"{base}/scores",
+        dc.lexicon_scorer(v.POSITIVE, v.NEGATIVE),
+        f"{base}/checkpoint",
+    )
+    started.awaitTermination()
+    docs = jobs.stored(spark, f"{base}/documents").select("doc_id", "url")
+    scores = jobs.stored(spark, f"{base}/scores").select("doc_id", F.round("score", 6).alias("score"))
+    return docs.join(scores, "doc_id")
+
+
+def _scored_stream(spark, sf):
+    raw = stream(spark, sf, "documents")
+    doc = F.col("doc_id")
+    shift = F.make_interval(
+        days=F.pmod(doc * 37, F.lit(2500)).cast("int"), hours=F.pmod(doc, F.lit(24)).cast("int")
+    )
+    title, body = F.substring_index("text", "\n", 1), F.col("text")
+    return raw.select(
+        doc.cast("string").alias("doc_id"),
+        (F.lit("1995-01-02 00:00:00").cast("timestamp_ntz") + shift).alias("doc_ts"),
+        title.alias("title"),
+        body.alias("body"),
+        tx.lexicon_score(tx.headline_and_body(title, body), v.POSITIVE, v.NEGATIVE).alias("lex"),
+    )
+
+
+@query(
+    "rolling_mentions",
+    f"""SELECT window_end, alias, count(*) AS mentions, CAST(sum(by_ticker) AS BIGINT) AS ticker_mentions,
+          {r('avg(lex)')} AS mean_lex
+        FROM (SELECT m.alias, m.by_ticker, f.lex,
+                unnest(generate_series(date_trunc('day', f.doc_ts) + INTERVAL 1 DAY,
+                  date_trunc('day', f.doc_ts) + INTERVAL 7 DAYS, INTERVAL 1 DAY)) AS window_end
+              FROM named m JOIN doc_facts f ON f.doc_id = m.doc_id)
+        GROUP BY window_end, alias""",
+)
+def rolling_mentions(spark, sf):
+    base = jobs.work_dir(spark, "mentions")
+    jobs.mentions_stream(
+        _scored_stream(spark, sf), aliases(spark, sf), f"{base}/named", f"{base}/checkpoint1", 2
+    ).awaitTermination()
+    fields = "doc_id string, alias string, by_ticker int, doc_ts timestamp_ntz, lex double"
+    named = spark.readStream.schema(fields).parquet(f"{base}/named")
+    jobs.rolling_mentions_stream(named, f"{base}/updates", f"{base}/checkpoint2").awaitTermination()
+    rows = jobs.current(spark, f"{base}/updates", ["window_end", "alias"])
+    return rows.withColumn("mean_lex", F.round("mean_lex", 6))
+
+
+@query(
+    "bars_from_ticks",
+    "SELECT symbol, CAST(d AS TIMESTAMP) AS start, open, high, low, close FROM tick_bars",
+)
+def bars_from_ticks(spark, sf):
+    ticks = stream(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("symbol"), "ts", F.col("value").alias("price")
+    )
+    base = jobs.work_dir(spark, "tick-bars")
+    jobs.bars_stream(ticks, f"{base}/updates", f"{base}/checkpoint").awaitTermination()
+    return jobs.current(spark, f"{base}/updates", ["symbol", "start"])
+
+
+@query(
+    "backfilled_documents",
+    """SELECT DATE '1996-01-01' + CAST(floor(date_diff('day', DATE '1996-01-01', CAST(doc_ts AS DATE)) / 14) * 14
+              AS INTEGER) AS slice, count(*) AS documents
+       FROM news WHERE doc_ts >= TIMESTAMP '1996-01-01 00:00:00' AND doc_ts < TIMESTAMP '1999-01-01 00:00:00'
+       GROUP BY 1""",
+)
+def backfilled_documents(spark, sf):
+    """Two overlapping backfills over the same documents, some of them copied."""
+    docs = v.news(spark, sf).select("doc_id", "url", "doc_ts", "title")
+    copied = docs.unionByName(docs.where(F.pmod(F.col("doc_id").cast("bigint"), F.lit(4)) == 0))
+    canonical = copied.withColumn("url", urls.canonical_url(F.col("url")))
+    store = f"{jobs.work_dir(spark, 'backfill')}/documents"
+    jobs.backfill(canonical, store, "1996-01-01", "1998-01-12", 14)
+    jobs.backfill(canonical, store, "1996-01-01", "1999-01-01", 14)
+    return spark.read.parquet(store).groupBy("slice").agg(F.count(F.lit(1)).alias("documents"))
