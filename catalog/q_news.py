@@ -79,7 +79,7 @@ def spillover_mentions(spark, sf):
     return asked.join(sums, ["alias", "t_event"]).select("symbol", "t_event", "dst", "mentions")
 
 
-def _features_sql(events: str) -> str:
+def FEATURES(events: str) -> str:
     return f"""
       SELECT e.symbol, e.t_event, coalesce(o.n, 0) AS sent_doc_count,
         round(coalesce(o.lex_mean, 0), 4) AS sent_lex_mean,
@@ -143,12 +143,12 @@ def features(spark, sf, events):
     )
 
 
-@query("news_features", _features_sql("earnings_shifted"))
+@query("news_features", FEATURES("earnings_shifted"))
 def news_features(spark, sf):
     return features(spark, sf, v.earnings_shifted(spark, sf))
 
 
-@query("news_features_at_midnight", _features_sql("earnings"))
+@query("news_features_at_midnight", FEATURES("earnings"))
 def news_features_at_midnight(spark, sf):
     return features(spark, sf, v.earnings(spark, sf))
 
@@ -186,7 +186,7 @@ HEURISTIC = (
         " + 2e-2 * f.enhanced_spillover_mentions + abs(x.baseline_pre_7d_return_pct) / 2e1)"
     )
     + " AS enhanced_confidence FROM ev x JOIN ("
-    + _features_sql("ev")
+    + FEATURES("ev")
     + ") f ON f.symbol = x.symbol AND f.t_event = x.t_event"
 )
 
