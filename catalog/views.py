@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 TICKERS = ("thatin", "ononst", "thble", "thtion", "ertion", "eriner")
 NAMES = ("of the", "and the", "is the", "thing", "erble")
 POSITIVE = ("thing", "erble", "attion")
@@ -146,7 +148,7 @@ def news(spark, sf) -> DataFrame:
     shift = F.make_interval(days=F.pmod(doc * 37, F.lit(2500)).cast("int"),
                             hours=F.pmod(doc, F.lit(24)).cast("int"))
     at = F.lit("1995-01-02 00:00:00").cast("timestamp_ntz") + shift
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         doc.cast("string").alias("doc_id"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/n/"), doc.cast("string")).alias("url"),
         at.alias("published_at"),

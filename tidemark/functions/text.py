@@ -33,14 +33,27 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD + "+"), F.lit(0)))
 
 
-def word_runs(text: Column, n: int) -> Column:
-    """Distinct runs of ``n`` words parted by single blanks, overlaps included."""
-    run = " ".join([WORD + "+"] * n)
-    return F.array_distinct(
-        F.regexp_extract_all(
-            text, F.lit(rf"(?<!{WORD})(?=({run})(?!{WORD}))"), F.lit(1)
-        )
-    )
+# Stands between words that are parted by anything but one blank.
+_BREAK = "\u0001"
+
+
+def word_sequence(text: Column) -> Column:
+    """Words in order; a break mark where they are not parted by one blank."""
+    gap = r"[^\p{L}\p{N}_]*[^\p{L}\p{N}_ ][^\p{L}\p{N}_]*| {2,}"
+    return F.split(F.regexp_replace(text, gap, f" {_BREAK} "), " ")
+
+
+def runs_of(sequence: Column, n: int) -> Column:
+    """Runs of ``n`` neighbouring members of a word sequence, joined by blanks.
+
+    Runs across a break hold the break mark and so equal no name.
+    """
+    out = sequence
+    for skip in range(1, n):
+        later = F.slice(sequence, skip + 1, F.greatest(F.size(sequence) - skip, F.lit(0)))
+        kept = F.slice(out, 1, F.greatest(F.size(sequence) - skip, F.lit(0)))
+        out = F.zip_with(kept, later, lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def _quoted(term: str) -> str:

@@ -325,27 +325,24 @@ def mentions(
     the number of companies. ``longest_name`` is the longest name in words.
     ``keep`` names columns of ``docs`` to carry along.
     """
-    text = tx.headline_and_body(F.col("title"), F.col("body"))
-    low = F.lower(text)
-    names = F.concat(
-        tx.words(low), *[tx.word_runs(low, n) for n in range(2, longest_name + 1)]
-    )
+    tickers = aliases.select("alias", F.col("ticker").alias("term"), F.lit(1).alias("by_ticker"))
+    names = aliases.select("alias", F.col("name").alias("term"), F.lit(0).alias("by_ticker"))
+    terms = tickers.unionByName(names).where(F.col("term").isNotNull())
 
-    def tagged(found: Column, by_ticker: int) -> Column:
+    def tagged(found: str, by_ticker: int) -> Column:
         return F.transform(
             found, lambda t: F.struct(t.alias("term"), F.lit(by_ticker).alias("by_ticker"))
         )
 
-    found = F.explode(F.concat(tagged(tx.words(text), 1), tagged(names, 0)))
-    terms = (
-        aliases.select("alias", F.col("ticker").alias("term"), F.lit(1).alias("by_ticker"))
-        .unionByName(
-            aliases.select("alias", F.col("name").alias("term"), F.lit(0).alias("by_ticker"))
-        )
-        .where(F.col("term").isNotNull())
-    )
+    sequence = tx.word_sequence(tx.headline_and_body(F.col("title"), F.col("body")))
+    runs = [F.col("__low")] + [tx.runs_of(F.col("__low"), n) for n in range(2, longest_name + 1)]
     return (
-        docs.select("doc_id", *keep, found.alias("__f"))
+        docs.select("doc_id", *keep, sequence.alias("__words"))
+        .withColumn("__low", F.transform("__words", lambda w: F.lower(w)))
+        .withColumns(
+            {"__t": F.array_distinct("__words"), "__n": F.array_distinct(F.concat(*runs))}
+        )
+        .select("doc_id", *keep, F.explode(F.concat(tagged("__t", 1), tagged("__n", 0))).alias("__f"))
         .select("doc_id", *keep, "__f.term", "__f.by_ticker")
         .join(terms, ["term", "by_ticker"])
         .groupBy("doc_id", "alias")

@@ -11,7 +11,6 @@ from tidemark import fixed_values as fx
 from tidemark.core import asof_join, exact_median
 from tidemark.core.ordering import growth_summary, running_growth
 from tidemark.functions.signals import clamp, direction, net_return, position_weight, signal_confidence
-from tidemark.operators.market import bar_features
 
 DEFAULT_SECTOR = "AI Compute"
 
@@ -62,13 +61,24 @@ def swing_levels_plan(df: DataFrame, hedges: DataFrame, company: DataFrame) -> D
 
 
 def bars_ahead(bars: DataFrame, n: int = 5) -> DataFrame:
-    """Each bar with the next ``n`` bars as an array of (high, low, close)."""
-    ahead = Window.partitionBy("symbol").orderBy("d").rowsBetween(1, n)
-    return bars.select(
+    """Each bar with its trailing volatility and the next ``n`` bars as an array."""
+    by_date = Window.partitionBy("symbol").orderBy("d")
+    prev = F.lag("close").over(by_date)
+    with_ret = bars.withColumns(
+        {
+            "ret": F.when(prev != 0, (F.col("close") - prev) / prev),
+            "idx": F.row_number().over(by_date) - 1,
+        }
+    )
+    vol = F.stddev_samp("ret").over(by_date.rowsBetween(-58, 0)) * 100.0
+    return with_ret.select(
         "symbol",
         "d",
         F.col("close").alias("entry"),
-        F.collect_list(F.struct("high", "low", "close")).over(ahead).alias("ahead"),
+        F.round(F.when(F.col("idx") >= 4, vol).otherwise(F.lit(2.0)), 4).alias("vol"),
+        F.collect_list(F.struct("high", "low", "close"))
+        .over(by_date.rowsBetween(1, n))
+        .alias("ahead"),
     )
 
 
@@ -150,10 +160,7 @@ def trade_paths(
     sign = F.coalesce(F.nullif(F.col(signal), F.lit(0)), F.col(fallback), F.lit(0))
     placed = asof_join(
         events.withColumn("signal", sign).where(F.col("signal") != 0),
-        bars_ahead(bars, max_days).join(
-            bar_features(bars).select("symbol", "d", F.round("vol_60", 4).alias("vol")),
-            ["symbol", "d"],
-        ),
+        bars_ahead(bars, max_days),
     ).where(F.col("entry") > 0)
     planned = swing_levels_plan(
         placed.withColumn("predicted_move", F.col("baseline_pre_7d_return_pct")), hedges, company

@@ -57,3 +57,13 @@ def cut_lineage(df):
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Give every core rows of a table that lies in fewer files than cores.
+
+    For work that is heavy per row (reading texts). A table in many files is
+    left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
