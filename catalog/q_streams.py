@@ -18,6 +18,10 @@ def stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def _cores(spark) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def _landed_articles(spark, sf):
     """Documents as arriving articles; every third one arrives twice."""
     doc = F.col("doc_id")
@@ -64,6 +68,7 @@ def streamed_documents(spark, sf):
         f"{base}/scores",
         dc.lexicon_scorer(v.POSITIVE, v.NEGATIVE),
         f"{base}/checkpoint",
+        state_partitions=_cores(spark),
     )
     started.awaitTermination()
     docs = jobs.stored(spark, f"{base}/documents").select("doc_id", "url")
@@ -104,7 +109,9 @@ def rolling_mentions(spark, sf):
     ).awaitTermination()
     fields = "doc_id string, alias string, by_ticker int, doc_ts timestamp_ntz, lex double"
     named = spark.readStream.schema(fields).parquet(f"{base}/named")
-    jobs.rolling_mentions_stream(named, f"{base}/updates", f"{base}/checkpoint2").awaitTermination()
+    jobs.rolling_mentions_stream(
+        named, f"{base}/updates", f"{base}/checkpoint2", _cores(spark)
+    ).awaitTermination()
     rows = jobs.current(spark, f"{base}/updates", ["window_end", "alias"])
     return rows.withColumn("mean_lex", F.round("mean_lex", 6))
 
@@ -118,7 +125,9 @@ def bars_from_ticks(spark, sf):
         F.col("user_id").cast("string").alias("symbol"), "ts", F.col("value").alias("price")
     )
     base = jobs.work_dir(spark, "tick-bars")
-    jobs.bars_stream(ticks, f"{base}/updates", f"{base}/checkpoint").awaitTermination()
+    jobs.bars_stream(
+        ticks, f"{base}/updates", f"{base}/checkpoint", state_partitions=_cores(spark)
+    ).awaitTermination()
     return jobs.current(spark, f"{base}/updates", ["symbol", "start"])
 
 

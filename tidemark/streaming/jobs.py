@@ -18,6 +18,7 @@ from tidemark.operators.documents import dedupe_documents, ensure_scores, mentio
 from tidemark.session import shared_dir
 
 _EMPTY = "batch=-1"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -26,14 +27,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
-           mode: str = "append") -> StreamingQuery:
-    return (
-        df.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+           mode: str = "append", state_partitions: int | None = None) -> StreamingQuery:
+    """Run over what has landed. A stream keeps the number of state partitions
+    that the session had at its first start; ``state_partitions`` sets it."""
+    spark = df.sparkSession
+    usual = spark.conf.get(_PARTITIONS)
+    if state_partitions:
+        spark.conf.set(_PARTITIONS, str(state_partitions))
+    try:
+        return (
+            df.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+    finally:
+        spark.conf.set(_PARTITIONS, usual)
 
 
 def _prepare(spark: SparkSession, schema, path: str) -> None:
@@ -54,6 +64,7 @@ def ingest_stream(
     checkpoint: str,
     model: str = fx.LEXICON_MODEL,
     watermark: str = "30 days",
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Landed articles to new documents and their scores.
 
@@ -84,7 +95,7 @@ def ingest_stream(
             f"{scores}/batch={number}"
         )
 
-    return _start(gated, write, checkpoint)
+    return _start(gated, write, checkpoint, state_partitions=state_partitions)
 
 
 def _changes(path: str) -> Callable[[DataFrame, int], None]:
@@ -143,8 +154,9 @@ def rolling_mentions(named: DataFrame, watermark: str = "7 days") -> DataFrame:
     )
 
 
-def rolling_mentions_stream(named: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return _start(rolling_mentions(named), _changes(path), checkpoint, "update")
+def rolling_mentions_stream(named: DataFrame, path: str, checkpoint: str,
+                            state_partitions: int | None = None) -> StreamingQuery:
+    return _start(rolling_mentions(named), _changes(path), checkpoint, "update", state_partitions)
 
 
 def bars_from_ticks(ticks: DataFrame, width: str = "1 day", watermark: str = "1 day") -> DataFrame:
@@ -164,8 +176,10 @@ def bars_from_ticks(ticks: DataFrame, width: str = "1 day", watermark: str = "1
     )
 
 
-def bars_stream(ticks: DataFrame, path: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
-    return _start(bars_from_ticks(ticks, width), _changes(path), checkpoint, "update")
+def bars_stream(ticks: DataFrame, path: str, checkpoint: str, width: str = "1 day",
+                state_partitions: int | None = None) -> StreamingQuery:
+    rows = bars_from_ticks(ticks, width)
+    return _start(rows, _changes(path), checkpoint, "update", state_partitions)
 
 
 def backfill(docs: DataFrame, store: str, start: str, end: str, chunk_days: int = 14) -> None:
