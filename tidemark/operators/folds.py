@@ -138,6 +138,14 @@ def confidence_threshold(
     )
 
 
+def overall_threshold(train: DataFrame, per_month: float = fx.TRADES_PER_MONTH) -> Column:
+    """``confidence_threshold`` of one training set, as a scalar."""
+    wanted = F.bround(per_month * months_between(F.min("t_event"), F.max("t_event"))).cast("int")
+    k = train.agg(F.least(F.greatest(F.lit(1), wanted), F.count(F.lit(1))).cast("int")).scalar()
+    ranked = top_by(train, [], best_first(), k)
+    return ranked.agg(F.max(F.when(F.col("rank") == k, F.col("confidence")))).scalar()
+
+
 def as_trades(picked: DataFrame, cost_bps: float = fx.ROUND_TRIP_COST_BPS) -> DataFrame:
     """Selected signals as equal-weight trades."""
     net = net_return(F.col("signal"), F.col("actual_5d_return_pct"), cost_bps)
@@ -217,11 +225,10 @@ def holdout_lanes(
         .withColumn("lane", F.lit("top_k"))
         .drop("picked")
     )
-    threshold = confidence_threshold(working.select("*", one), ["fold_id"], per_month)
-    by_level = (
-        trades.join(threshold, "fold_id")
-        .withColumn("taken", F.col("confidence") >= F.col("threshold"))
-        .withColumn("lane", F.lit("threshold"))
-        .drop("threshold")
+    by_level = trades.withColumns(
+        {
+            "taken": F.col("confidence") >= overall_threshold(working, per_month),
+            "lane": F.lit("threshold"),
+        }
     )
     return by_rank.unionByName(by_level)
