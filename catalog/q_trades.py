@@ -244,8 +244,12 @@ def swing_plans(spark, sf):
 
 
 def trade_paths(spark, sf):
+    # The events feed both sides of the as-of join: write them once.
     return tr.trade_paths(
-        signalled(spark, sf), v.bars(spark, sf), v.hedges(spark, sf), v.company(spark, sf)
+        cut_lineage(signalled(spark, sf)),
+        v.bars(spark, sf),
+        v.hedges(spark, sf),
+        v.company(spark, sf),
     )
 
 
