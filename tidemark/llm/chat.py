@@ -200,12 +200,13 @@ def turn_rows(
     """(``conv_id``, ``turn``, ``role``, ``text``) of a typed table with one row per turn.
 
     The fingerprint of the table's own field paths selects the mapping; columns
-    that no layout knows are ignored.
+    that no layout by rows knows are ignored. A table of another layout is an error.
     """
-    known = {p for layout in layouts for p in layout.paths}
+    by_row = [layout for layout in layouts if layout.role and not layout.items]
+    known = {p for layout in by_row for p in layout.paths}
     found = path_fingerprint(known.intersection(schema_paths(table.schema)))
-    for layout in layouts:
-        if layout.fingerprint == found and layout.role and not layout.items:
+    for layout in by_row:
+        if layout.fingerprint == found:
             return table.select(
                 F.col(conv).alias("conv_id"),
                 F.col(turn).cast("bigint").alias("turn"),
