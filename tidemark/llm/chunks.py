@@ -24,7 +24,7 @@ class ChunkEncoder:
     no result.
     """
 
-    def __init__(self, path: str, blanks: str, cache_chars: int = 10_000_000):
+    def __init__(self, path: str, blanks: str, cache_chars: int = 14_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

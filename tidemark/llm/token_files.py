@@ -110,16 +110,17 @@ def _id_crcs(batches):
         )
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
+def with_starts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Add ``start``: ids of all documents before a row, in file order.
 
     Sums run inside each part, which is as large as one file; only one number
-    per part meets in the window that ties the parts together.
+    per part, from ``sizes`` (``part``, ``n_tokens``), meets in the window that
+    ties the parts together.
     """
     inside = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
-        rows.groupBy("part")
+        sizes.groupBy("part")
         .agg(F.sum("n_tokens").alias("n"))
         .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     )
@@ -136,7 +137,8 @@ def token_file_digests(spark: SparkSession, path: str) -> DataFrame:
     rows = read_token_files(spark, path).mapInArrow(
         _id_crcs, "part int, pos bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
     )
-    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    sizes = read_token_files(spark, path, ["part", "n_tokens"])
+    return with_starts(rows, sizes).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
