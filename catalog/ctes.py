@@ -87,11 +87,17 @@ VIEWS = {
         SELECT {symbol('s_suppkey')} AS symbol, s_name AS name,
                'N' || CAST(s_nationkey AS VARCHAR) AS sector FROM supplier""",
     "edges": f"""
-        SELECT src, dst, max(weight) AS weight FROM (
+        SELECT src, dst, max(weight) AS weight, min(hop) AS place FROM (
           SELECT {symbol('s_suppkey')} AS src,
-                 {symbol('(s_suppkey + hop) % (SELECT count(*) FROM supplier)')} AS dst, weight
+                 {symbol('(s_suppkey + hop) % (SELECT count(*) FROM supplier)')} AS dst, weight, hop
           FROM supplier, (VALUES (1, CAST(0.9 AS DOUBLE)), (7, CAST(0.6 AS DOUBLE))) h(hop, weight))
         WHERE src <> dst GROUP BY src, dst""",
+    "graph": f"""
+        SELECT src, dst, weight, true AS is_peer FROM edges
+        UNION ALL SELECT src, dst, CAST(0.3 AS DOUBLE), false FROM (
+          SELECT {symbol('s_suppkey')} AS src,
+                 {symbol('(s_suppkey + 4) % (SELECT count(*) FROM supplier)')} AS dst FROM supplier)
+        WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM edges)""",
     "hedges": """
         SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS sector, r_name AS hedge
         FROM nation JOIN region ON n_regionkey = r_regionkey""",

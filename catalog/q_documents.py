@@ -326,6 +326,33 @@ def document_mentions(spark, sf):
     return dc.mentions(v.news(spark, sf), aliases(spark, sf))
 
 
+_HARD_TERMS = (
+    ("five", "anea. Eriner", "the and attion to thanedble"),
+    ("comma", "the. The", "the, anea"),
+    ("edge", "Nowhere&Co", "thanea."),
+)
+
+
+@query(
+    "punctuated_mentions",
+    "SELECT doc_id, alias, max(by_ticker) AS by_ticker FROM ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{alias}' AS alias, {k} AS by_ticker FROM news WHERE "
+        + whole_word(text, "'" + term.replace(".", r"\.") + "'")
+        for alias, ticker, name in _HARD_TERMS
+        for k, text, term in (
+            (1, "(title || ' ' || body)", ticker),
+            (0, "lower(title || ' ' || body)", name),
+        )
+    )
+    + ") GROUP BY doc_id, alias",
+)
+def punctuated_mentions(spark, sf):
+    """Names of five words, with a comma, ending in a full stop; tickers with dots and signs."""
+    terms = spark.createDataFrame(list(_HARD_TERMS), "alias string, ticker string, name string")
+    return dc.mentions(v.news(spark, sf), terms)
+
+
 def _announcing(spark, sf):
     """News whose body ends with the date of an earnings call 3 weeks ahead."""
     on = F.date_format(F.date_add(F.to_date("doc_ts"), 21), "MMMM d, yyyy")

@@ -82,13 +82,13 @@ def bar_offsets(spark, sf):
     )
 
 
-def _prior_drift_sql(strict: bool) -> str:
+def _prior_drift_sql(strict: bool, rows: str = "earnings_shifted") -> str:
     guard = "p.idx + 5 <= s.idx AND" if strict else ""
     return f"""
         WITH placed AS (
           SELECT e.symbol, e.t_event, b.idx, b.pre_30, b.pre_60, b.vol_30, b.post_5,
                  lag(e.t_event) OVER (PARTITION BY e.symbol ORDER BY e.t_event) AS prev_t
-          FROM earnings_shifted e ASOF JOIN bar_facts b
+          FROM {rows} e ASOF JOIN bar_facts b
             ON e.symbol = b.symbol AND CAST(e.t_event AS DATE) <= b.d)
         SELECT s.symbol, s.t_event, coalesce(round(s.pre_30, 4), 0) AS pre_30d_return_pct,
           coalesce(round(s.pre_60, 4), 0) AS pre_60d_return_pct,
@@ -167,15 +167,20 @@ def neighbor_event_count(spark, sf):
     return mk.neighbor_event_count(events, events, v.company(spark, sf), v.edges(spark, sf))
 
 
-@query(
-    "enriched_events",
-    f"""WITH mf AS ({_prior_drift_sql(False).replace('WITH placed AS', 'WITH pl AS').replace('FROM placed', 'FROM pl').replace('JOIN placed', 'JOIN pl')}),
-          cohort AS ({_COHORT}), near AS ({_NEIGHBOURS})
+def enriched_sql(rows: str = "earnings_shifted") -> str:
+    """Events with their price features; prior events are those of ``rows``."""
+    return f"""
         SELECT x.* EXCLUDE (idx), m.pre_30d_return_pct, m.pre_60d_return_pct, m.pre_30d_vol_pct,
           m.prior_post_earnings_5d_return_pct, c.sector_cohort_5d_return_pct,
           n.neighbor_earnings_count_30d
-        FROM ev x JOIN mf m USING (symbol, t_event) JOIN cohort c USING (symbol, t_event)
-          JOIN near n USING (symbol, t_event)""",
+        FROM ev x JOIN ({_prior_drift_sql(False, rows)}) m USING (symbol, t_event)
+          JOIN ({_COHORT}) c USING (symbol, t_event)
+          JOIN ({_NEIGHBOURS}) n USING (symbol, t_event)"""
+
+
+@query(
+    "enriched_events",
+    enriched_sql(),
 )
 def enriched_events(spark, sf):
     events = v.earnings_shifted(spark, sf)

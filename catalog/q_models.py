@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog import views as v
 from catalog.ctes import shortest
+from catalog.q_market import enriched_sql
 from catalog.q_news import FEATURES, HEURISTIC, named
 from catalog.q_trades import metrics_sql, signalled
 from tidemark import fixed_values as fx
@@ -76,21 +77,6 @@ def fold_table(spark, sf):
     return fd.fold_table(folded(spark, sf))
 
 
-@query(
-    "standardised_features",
-    """SELECT symbol, t_event,
-         round((baseline_pre_7d_return_pct - m) / s, 6) AS baseline_pre_7d_return_pct
-       FROM signals, (SELECT avg(baseline_pre_7d_return_pct) AS m, stddev_pop(baseline_pre_7d_return_pct) AS s
-                      FROM signals WHERE t_event < TIMESTAMP '1999-01-01 00:00:00')""",
-)
-def standardised_features(spark, sf):
-    events = cut_lineage(signalled(spark, sf))
-    names = ["baseline_pre_7d_return_pct"]
-    train = events.where(F.col("t_event") < F.lit("1999-01-01").cast("timestamp_ntz"))
-    out = md.standardize(events, names, *md.feature_moments(train, names))
-    return out.select("symbol", "t_event", F.round(names[0], 6).alias(names[0]))
-
-
 @query(
     "momentum_predictions",
     f"""SELECT symbol, t_event, CAST(x > 0 AS INTEGER) AS prediction, CASE WHEN x > 0 THEN 1 ELSE -1 END AS signal,
@@ -231,7 +217,7 @@ def evaluated(spark, sf, with_paths=False):
         cut_lineage(named(spark, sf)),
         v.entities(spark, sf),
         v.company(spark, sf),
-        v.edges(spark, sf),
+        v.graph(spark, sf),
         v.hedges(spark, sf) if with_paths else None,
     )
 
@@ -240,32 +226,45 @@ def frame(spark, sf):
     return cut_lineage(pe.feature_frame(evaluated(spark, sf)))
 
 
-_TEXT_FEATURES = (
-    "sent_doc_count", "sent_lex_mean", "sent_enc_mean", "sent_mean_relevance",
-    "spillover_mentions_7d", "spillover_weighted_score_7d", "earnings_kw_polarity",
-)
+_ABS = "baseline_pre_7d_abs_return"
+_FRAME = f"""
+    SELECT x.symbol, x.t_event, CAST(x.actual_sign > 0 AS INTEGER) AS label, x.actual_5d_return_pct,
+      abs(x.baseline_pre_7d_return_pct) AS {_ABS},
+      {", ".join(f"CAST(coalesce(x.{c}, 0) AS DOUBLE) AS {c}" for c in fx.PRICE_FEATURES if c != _ABS)},
+      {", ".join(f"CAST(coalesce(f.{c}, 0) AS DOUBLE) AS {c}" for c in fx.TEXT_FEATURES)}
+    FROM ({enriched_sql('ev')}) x
+    JOIN ({FEATURES('ev')}) f ON f.symbol = x.symbol AND f.t_event = x.t_event
+    WHERE x.actual_sign <> 0"""
 
 
-@query(
-    "feature_frame",
-    f"""SELECT x.symbol, x.t_event, CAST(x.actual_sign > 0 AS INTEGER) AS label, x.actual_5d_return_pct,
-          x.baseline_pre_7d_return_pct, abs(x.baseline_pre_7d_return_pct) AS baseline_pre_7d_abs_return,
-          {", ".join(f"CAST(f.{c} AS DOUBLE) AS {c}" for c in _TEXT_FEATURES)}
-        FROM ev x JOIN ({FEATURES('ev')}) f ON f.symbol = x.symbol AND f.t_event = x.t_event
-        WHERE x.actual_sign <> 0""",
-)
+@query("feature_frame", _FRAME)
 def feature_frame(spark, sf):
     return pe.feature_frame(evaluated(spark, sf)).select(
-        "symbol",
-        "t_event",
-        "label",
-        "actual_5d_return_pct",
-        "baseline_pre_7d_return_pct",
-        "baseline_pre_7d_abs_return",
-        *_TEXT_FEATURES,
+        "symbol", "t_event", "label", "actual_5d_return_pct", *fx.ENHANCED_FEATURES
     )
 
 
+_TRAINED = "t_event < TIMESTAMP '1999-01-01 00:00:00'"
+
+
+@query(
+    "standardised_features",
+    f"""WITH frame AS MATERIALIZED ({_FRAME}), moments AS (
+          SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in fx.ENHANCED_FEATURES)}
+          FROM frame WHERE {_TRAINED})
+        SELECT symbol, t_event, {", ".join(
+            f"round(({c} - m_{c}) / CASE WHEN s_{c} >= 1e-9 THEN s_{c} ELSE 1 END, 6) AS {c}"
+            for c in fx.ENHANCED_FEATURES)}
+        FROM frame, moments""",
+)
+def standardised_features(spark, sf):
+    events = frame(spark, sf)
+    train = events.where(F.col("t_event") < F.lit("1999-01-01").cast("timestamp_ntz"))
+    names = fx.ENHANCED_FEATURES
+    out = md.standardize(events, names, *md.feature_moments(train, names))
+    return out.select("symbol", "t_event", *[F.round(c, 6).alias(c) for c in names])
+
+
 @query("evaluated_events", f"""
     SELECT symbol, t_event, enhanced_pred_sign, enhanced_confidence, actual_sign FROM ({HEURISTIC})""")
 def evaluated_events(spark, sf):
@@ -296,6 +295,54 @@ def stored_model_predictions(spark, sf):
     )
 
 
+@query(
+    "reloaded_model",
+    f"""SELECT count(*) AS events, CAST(0 AS BIGINT) AS differing, CAST(0 AS BIGINT) AS altered
+        FROM ({_FRAME})""",
+)
+def reloaded_model(spark, sf):
+    """A model read back predicts the same, and predicting leaves the inputs alone."""
+    rows = frame(spark, sf)
+    path = work_dir(spark, "model")
+    model = md.fit_classifier(rows, fx.ENHANCED_FEATURES, "logistic")
+    md.save_model(model, path, spark)
+    keys = ["symbol", "t_event"]
+    inputs = F.struct(*fx.ENHANCED_FEATURES)
+    before = md.predict(model, rows).select(*keys, "proba", "signal", inputs.alias("x"))
+    after = md.predict(md.load_model(path, spark), rows).select(
+        *keys, F.col("proba").alias("proba2"), F.col("signal").alias("signal2")
+    )
+    given = rows.select(*keys, inputs.alias("given"))
+    same = (F.col("proba") == F.col("proba2")) & (F.col("signal") == F.col("signal2"))
+    return (
+        given.join(before, keys)
+        .join(after, keys)
+        .agg(
+            F.count(F.lit(1)).alias("events"),
+            F.count_if(~same).alias("differing"),
+            F.count_if(F.col("x") != F.col("given")).alias("altered"),
+        )
+    )
+
+
+@query(
+    "separable_fit",
+    f"""SELECT count(*) AS events, CAST(0 AS BIGINT) AS mistakes, CAST(0 AS BIGINT) AS unsure
+        FROM ({_FRAME})""",
+)
+def separable_fit(spark, sf):
+    """Boosted trees learn a label that one feature decides, without a mistake."""
+    step = F.pmod(F.floor(F.abs("baseline_pre_7d_return_pct") * 10), F.lit(5)).cast("double")
+    rows = frame(spark, sf).withColumn("step", step)
+    rows = cut_lineage(rows.withColumn("label", (F.col("step") >= 3).cast("int")))
+    scored = md.fit_predict(rows, rows, ["sent_doc_count", "step"], "trees")
+    return scored.agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col("prediction") != F.col("label")).alias("mistakes"),
+        F.count_if(F.col("confidence") < 0.9).alias("unsure"),
+    )
+
+
 @query("model_comparison")
 def model_comparison(spark, sf):
     return bt.compare_models(frame(spark, sf), backend="logistic")

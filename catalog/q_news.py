@@ -17,7 +17,7 @@ def named(spark, sf):
     facts = nw.document_facts(
         v.news(spark, sf), v.POSITIVE, v.NEGATIVE, v.GOOD_PHRASES, v.BAD_PHRASES
     )
-    return nw.mentioned_facts(facts, v.entities(spark, sf), v.encoder_scores(spark, sf), 2)
+    return nw.mentioned_facts(facts, v.entities(spark, sf), v.encoder_scores(spark, sf))
 
 
 _IN_WINDOW = "n.doc_ts BETWEEN e.t_event - INTERVAL 7 DAYS AND e.t_event"
@@ -71,7 +71,7 @@ def spillover_mentions(spark, sf):
         .join(alias_of.select(F.col("symbol").alias("dst"), "alias"), "dst")
     )
     hits = (
-        mentions(v.news(spark, sf), alias_of.select("alias", "ticker", "name").distinct(), 2, ["doc_ts"])
+        mentions(v.news(spark, sf), alias_of.select("alias", "ticker", "name").distinct(), ["doc_ts"])
         .where("by_ticker = 1")
         .select("alias", "doc_ts", F.lit(1).cast("bigint").alias("mentions"))
     )
@@ -125,8 +125,8 @@ def FEATURES(events: str) -> str:
         JOIN doc_facts n ON n.doc_id = m.doc_id AND {_IN_WINDOW}
         GROUP BY e.symbol, e.t_event) o ON o.symbol = e.symbol AND o.t_event = e.t_event
       LEFT JOIN (
-        SELECT e.symbol, e.t_event, count(*) AS spill, sum(p.weight) AS wspill
-        FROM {events} e JOIN edges p ON p.src = e.symbol
+        SELECT e.symbol, e.t_event, count(*) FILTER (p.is_peer) AS spill, sum(p.weight) AS wspill
+        FROM {events} e JOIN graph p ON p.src = e.symbol
         JOIN entities t ON t.symbol = p.dst
         JOIN named m ON m.alias = t.ticker || '|' || t.name AND m.by_ticker = 1
         JOIN news n ON n.doc_id = m.doc_id AND {_IN_WINDOW}
@@ -139,7 +139,7 @@ def features(spark, sf, events):
         v.news(spark, sf),
         named(spark, sf),
         v.entities(spark, sf),
-        v.edges(spark, sf),
+        v.graph(spark, sf),
     )
 
 

@@ -51,7 +51,9 @@ def _outlook_sql(sector: str) -> str:
       SELECT c.symbol, c.sector, p.close AS current_price, mv AS move, round(mv, 2) AS predicted_move_pct,
         CASE WHEN mv > 0.05 THEN 'up' WHEN mv < -0.05 THEN 'down' ELSE 'flat' END AS predicted_direction,
         CASE WHEN mv >= 0 THEN 'Leverage' ELSE 'Hedge' END AS leverage_or_hedge,
-        round(c.corr, 3) AS correlation_to_sector, coalesce(d.n, 0) AS neighbours, c.mentions_7d
+        round(c.corr, 3) AS correlation_to_sector, coalesce(d.n, 0) AS neighbours,
+        coalesce(d.nearest, (SELECT min(symbol) FROM company f WHERE f.sector = c.sector)) AS connected_to,
+        c.mentions_7d
       FROM (
         SELECT m.symbol, m.sector, m.mentions_7d, coalesce(k.corr, 0) AS corr,
           greatest(-12.0, least(12.0, 0.45 * coalesce(m.pressure, 0) + 0.35 * m.history
@@ -85,16 +87,16 @@ def _outlook_sql(sector: str) -> str:
             GROUP BY a.symbol, a.d, a.x) GROUP BY symbol) k ON k.symbol = m.symbol) c
       LEFT JOIN (SELECT symbol, max_by(close, d) AS close FROM bars WHERE d <= DATE '{v.AS_OF}'
                  GROUP BY symbol) p ON p.symbol = c.symbol
-      LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) d ON d.src = c.symbol"""
+      LEFT JOIN (SELECT src, count(*) AS n, min_by(dst, place) AS nearest FROM edges GROUP BY src) d ON d.src = c.symbol"""
 
 
 IN_SECTOR = _outlook_sql(f"'{SECTOR}'")
 NATIVE = _outlook_sql("c.sector")
 _SHOWN = """symbol, sector, current_price, predicted_move_pct,
-  predicted_direction, leverage_or_hedge, correlation_to_sector, neighbours, mentions_7d"""
+  predicted_direction, leverage_or_hedge, correlation_to_sector, neighbours, connected_to, mentions_7d"""
 _SHOWN_COLUMNS = (
     "symbol", "sector", "current_price", "predicted_move_pct", "predicted_direction",
-    "leverage_or_hedge", "correlation_to_sector", "neighbours", "mentions_7d",
+    "leverage_or_hedge", "correlation_to_sector", "neighbours", "connected_to", "mentions_7d",
 )
 
 

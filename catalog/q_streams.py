@@ -105,7 +105,7 @@ def _scored_stream(spark, sf):
 def rolling_mentions(spark, sf):
     base = jobs.work_dir(spark, "mentions")
     jobs.mentions_stream(
-        _scored_stream(spark, sf), aliases(spark, sf), f"{base}/named", f"{base}/checkpoint1", 2
+        _scored_stream(spark, sf), aliases(spark, sf), f"{base}/named", f"{base}/checkpoint1"
     ).awaitTermination()
     fields = "doc_id string, alias string, by_ticker int, doc_ts timestamp_ntz, lex double"
     named = spark.readStream.schema(fields).parquet(f"{base}/named")
@@ -133,17 +133,21 @@ def bars_from_ticks(spark, sf):
 
 @query(
     "backfilled_documents",
-    """SELECT DATE '1996-01-01' + CAST(floor(date_diff('day', DATE '1996-01-01', CAST(doc_ts AS DATE)) / 14) * 14
-              AS INTEGER) AS slice, count(*) AS documents
-       FROM news WHERE doc_ts >= TIMESTAMP '1996-01-01 00:00:00' AND doc_ts < TIMESTAMP '1999-01-01 00:00:00'
-       GROUP BY 1""",
+    """SELECT DATE '1970-01-01' + CAST(floor(date_diff('day', DATE '1970-01-01', CAST(doc_ts AS DATE)) / 14) * 14
+              AS INTEGER) AS slice, doc_id
+       FROM news WHERE doc_ts >= TIMESTAMP '1996-01-01 00:00:00' AND doc_ts < TIMESTAMP '1999-01-01 00:00:00'""",
 )
 def backfilled_documents(spark, sf):
-    """Two overlapping backfills over the same documents, some of them copied."""
+    """Overlapping backfills (shorter, shifted, repeated) over documents, some of them copied."""
     docs = v.news(spark, sf).select("doc_id", "url", "doc_ts", "title")
     copied = docs.unionByName(docs.where(F.pmod(F.col("doc_id").cast("bigint"), F.lit(4)) == 0))
     canonical = copied.withColumn("url", urls.canonical_url(F.col("url")))
     store = f"{jobs.work_dir(spark, 'backfill')}/documents"
-    jobs.backfill(canonical, store, "1996-01-01", "1998-01-12", 14)
-    jobs.backfill(canonical, store, "1996-01-01", "1999-01-01", 14)
-    return spark.read.parquet(store).groupBy("slice").agg(F.count(F.lit(1)).alias("documents"))
+    for start, end in (
+        ("1996-01-01", "1998-01-12"),
+        ("1996-01-01", "1996-02-10"),
+        ("1996-03-05", "1998-03-03"),
+        ("1997-06-10", "1999-01-01"),
+    ):
+        jobs.backfill(canonical, store, start, end, 14)
+    return spark.read.parquet(store).select("slice", "doc_id")

@@ -118,10 +118,29 @@ def edges(spark, sf) -> DataFrame:
             symbol_of(F.col("s_suppkey")).alias("src"),
             symbol_of(F.pmod(F.col("s_suppkey") + F.col("h.hop"), n)).alias("dst"),
             F.col("h.weight").alias("weight"),
+            F.col("h.hop").alias("hop"),
         )
         .where(F.col("src") != F.col("dst"))
         .groupBy("src", "dst")
-        .agg(F.max("weight").alias("weight"))
+        .agg(F.max("weight").alias("weight"), F.min("hop").alias("place"))
+    )
+
+
+def graph(spark, sf) -> DataFrame:
+    """The edges, and the fourth supplier on as a weight without being a peer."""
+    near = edges(spark, sf).drop("place")
+    keys = table(spark, sf, "supplier").select("s_suppkey")
+    n = keys.agg(F.count(F.lit(1))).scalar()
+    far = (
+        keys.select(
+            symbol_of(F.col("s_suppkey")).alias("src"),
+            symbol_of(F.pmod(F.col("s_suppkey") + 4, n)).alias("dst"),
+        )
+        .where(F.col("src") != F.col("dst"))
+        .join(near.select("src", "dst"), ["src", "dst"], "left_anti")
+    )
+    return near.withColumn("is_peer", F.lit(True)).unionByName(
+        far.withColumns({"weight": F.lit(0.3), "is_peer": F.lit(False)})
     )
 
 

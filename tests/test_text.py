@@ -107,6 +107,45 @@ def test_mentions_by_ticker_and_name(spark):
     assert got == [("1", "tour", 1), ("2", "amd", 0), ("4", "tour", 1)]
 
 
+def test_mentions_of_long_and_punctuated_terms(spark):
+    aliases = spark.createDataFrame(
+        [
+            ("bk", "BK", "Bank of New York Mellon"),
+            ("brk", "BRK.B", "berkshire hathaway"),
+            ("t", "AT&T", "at&t inc."),
+            ("yhoo", "YHOO!", "yahoo!"),
+            ("none", "&", None),
+        ],
+        "alias string, ticker string, name string",
+    )
+    rows = docs(
+        spark,
+        ("1", "The bank of new york mellon said", ""),
+        ("2", "bank of new york", "mellon"),
+        ("3", "Buy BRK.B now", "BRK B, brk.b"),
+        ("4", "AT&T", ""),
+        ("5", "at&t", "inc.x AT&TX"),
+        ("6", "x at&t inc. y", ""),
+        ("7", "yahoo!", ""),
+        ("8", "yahoo", "!yahoo!s yahoo ! YHOO!!"),
+        ("9", None, "& !"),
+        ("10", "BRK.Bx BRK-B", None),
+    )
+    rows = rows.withColumn("n", F.length("title"))
+    got = sorted(tuple(r) for r in dc.mentions(rows, aliases, keep=["n"]).collect())
+    assert got == [
+        ("1", "bk", 0, 32),
+        ("2", "bk", 0, 16),
+        ("3", "brk", 1, 13),
+        ("4", "t", 1, 4),
+        ("6", "t", 0, 13),
+        ("7", "yhoo", 0, 6),
+        ("8", "yhoo", 1, 5),
+    ]
+    nothing = spark.createDataFrame([], aliases.schema)
+    assert dc.mentions(rows, nothing).count() == 0
+
+
 def test_scoring_twice_adds_nothing(spark):
     rows = docs(spark, ("d1", "Strong beat", "earnings beat estimates"), ("d2", "Lawsuit warning", "downgrade"))
     empty = spark.createDataFrame([], "doc_id string, model_name string, score double, label string, scored_at string")

@@ -28,32 +28,42 @@ def joined_parts(*parts: Column) -> Column:
     return F.concat_ws(" ", *[F.when(p != "", p) for p in parts])
 
 
-def words(text: Column) -> Column:
-    """Distinct words of a text, in their original case."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD + "+"), F.lit(0)))
+_WORD_AND_GAP = rf"({WORD}+)([^\p{{L}}\p{{N}}_]*)"
 
 
-# Stands between words that are parted by anything but one blank.
-_BREAK = "\u0001"
+def word_count(text: Column) -> Column:
+    """Number of words in a text."""
+    return F.regexp_count(text, F.lit(WORD + "+"))
 
 
-def word_sequence(text: Column) -> Column:
-    """Words in order; a break mark where they are not parted by one blank."""
-    gap = r"[^\p{L}\p{N}_]*[^\p{L}\p{N}_ ][^\p{L}\p{N}_]*| {2,}"
-    return F.split(F.regexp_replace(text, gap, f" {_BREAK} "), " ")
+def word_runs(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct stretches of a text that start and end with a word, of each number of words.
 
-
-def runs_of(sequence: Column, n: int) -> Column:
-    """Runs of ``n`` neighbouring members of a word sequence, joined by blanks.
-
-    Runs across a break hold the break mark and so equal no name.
+    What lies between the words (blanks, dots, ampersands) is part of a stretch
+    as it is, so a stretch equals a term exactly where the term stands in the text.
     """
-    out = sequence
-    for skip in range(1, n):
-        later = F.slice(sequence, skip + 1, F.greatest(F.size(sequence) - skip, F.lit(0)))
-        kept = F.slice(out, 1, F.greatest(F.size(sequence) - skip, F.lit(0)))
-        out = F.zip_with(kept, later, lambda a, b: F.concat(a, F.lit(" "), b))
-    return out
+    parts = [F.regexp_extract_all(text, F.lit(_WORD_AND_GAP), F.lit(k)) for k in (1, 2)]
+    whole = F.zip_with(*parts, lambda word, gap: F.concat(word, gap))
+    runs, out = parts[0], []
+    for size in range(1, max(sizes, default=0) + 1):
+        if size > 1:
+            # One word more in front of every stretch but the first.
+            tail = F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0)))
+            head = F.slice(whole, 1, F.size(tail))
+            runs = F.zip_with(head, tail, lambda a, b: F.concat(a, b))
+        if size in sizes:
+            out.append(runs)
+    return F.array_distinct(F.concat(*out)) if out else F.array().cast("array<string>")
+
+
+def core_of(term: Column) -> Column:
+    """A term from its first word to its last; empty if it has no word."""
+    return F.regexp_extract(term, rf"(?s){WORD}(?:.*{WORD})?", 0)
+
+
+def whole_term(term: Column) -> Column:
+    """Pattern of a term that no word character may touch on either side."""
+    return F.concat(F.lit(rf"(?<!{WORD})\Q"), term, F.lit(rf"\E(?!{WORD})"))
 
 
 def _quoted(term: str) -> str:

@@ -314,40 +314,55 @@ def scores_for(docs: DataFrame, scores: DataFrame, model: str, name: str = "scor
     return docs.join(picked, "doc_id", "left")
 
 
-def mentions(
-    docs: DataFrame, aliases: DataFrame, longest_name: int = 3, keep: Sequence[str] = ()
-) -> DataFrame:
+def mentions(docs: DataFrame, aliases: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Distinct (doc_id, alias) pairs, with whether the ticker itself was found.
 
-    ``aliases`` holds (alias, ticker, name): the ticker matches whole words in
-    their original case, the name whole words of the lower-cased text. Texts are
-    cut into words once and matched by equality, so the cost does not grow with
-    the number of companies. ``longest_name`` is the longest name in words.
-    ``keep`` names columns of ``docs`` to carry along.
+    ``aliases`` holds (alias, ticker, name): the ticker matches in its original
+    case, the name in lower-cased text, and no word character may touch either.
+    Texts are cut once into stretches of as many words as the terms have, and
+    only (document, stretch) rows meet the terms, by equality; so the cost does
+    not grow with the number of companies, and names may have any length or
+    punctuation. Terms that begin or end with punctuation are found by their
+    core and then checked in the text. Terms without a word match nothing.
+    ``keep`` names columns of ``docs`` to add to the pairs.
+
+    The distinct numbers of words of the terms come to the driver.
     """
     tickers = aliases.select("alias", F.col("ticker").alias("term"), F.lit(1).alias("by_ticker"))
-    names = aliases.select("alias", F.col("name").alias("term"), F.lit(0).alias("by_ticker"))
-    terms = tickers.unionByName(names).where(F.col("term").isNotNull())
+    names = aliases.select("alias", F.lower("name").alias("term"), F.lit(0).alias("by_ticker"))
+    terms = (
+        tickers.unionByName(names)
+        .withColumn("core", tx.core_of(F.col("term")))
+        .where(F.col("core") != "")
+    )
+    shapes = terms.select(
+        "by_ticker", tx.word_count(F.col("core")).alias("n"), (F.col("core") != F.col("term")).alias("edged")
+    ).distinct().collect()
+    sizes = {k: sorted({r["n"] for r in shapes if r["by_ticker"] == k}) for k in (0, 1)}
+    text = tx.headline_and_body(F.col("title"), F.col("body"))
 
-    def tagged(found: str, by_ticker: int) -> Column:
+    def tagged(source: Column, by_ticker: int) -> Column:
         return F.transform(
-            found, lambda t: F.struct(t.alias("term"), F.lit(by_ticker).alias("by_ticker"))
+            tx.word_runs(source, sizes[by_ticker]),
+            lambda t: F.struct(t.alias("core"), F.lit(by_ticker).alias("by_ticker")),
         )
 
-    sequence = tx.word_sequence(tx.headline_and_body(F.col("title"), F.col("body")))
-    runs = [F.col("__low")] + [tx.runs_of(F.col("__low"), n) for n in range(2, longest_name + 1)]
-    return (
-        docs.select("doc_id", *keep, sequence.alias("__words"))
-        .withColumn("__low", F.transform("__words", lambda w: F.lower(w)))
-        .withColumns(
-            {"__t": F.array_distinct("__words"), "__n": F.array_distinct(F.concat(*runs))}
-        )
-        .select("doc_id", *keep, F.explode(F.concat(tagged("__t", 1), tagged("__n", 0))).alias("__f"))
-        .select("doc_id", *keep, "__f.term", "__f.by_ticker")
-        .join(terms, ["term", "by_ticker"])
-        .groupBy("doc_id", "alias")
-        .agg(F.max("by_ticker").alias("by_ticker"), *[F.first(c).alias(c) for c in keep])
+    found = (
+        docs.select("doc_id", F.explode(F.concat(tagged(text, 1), tagged(F.lower(text), 0))).alias("f"))
+        .select("doc_id", "f.core", "f.by_ticker")
+        .join(terms, ["core", "by_ticker"])
     )
+    exact = found.where(F.col("core") == F.col("term")).select("doc_id", "alias", "by_ticker")
+    if any(r["edged"] for r in shapes):
+        read = F.when(F.col("by_ticker") == 1, F.col("__text")).otherwise(F.lower("__text"))
+        exact = exact.unionByName(
+            found.where(F.col("core") != F.col("term"))
+            .join(docs.select("doc_id", text.alias("__text")), "doc_id")
+            .where(F.regexp_like(read, tx.whole_term(F.col("term"))))
+            .select("doc_id", "alias", "by_ticker")
+        )
+    named = exact.groupBy("doc_id", "alias").agg(F.max("by_ticker").alias("by_ticker"))
+    return named.join(docs.select("doc_id", *keep), "doc_id") if keep else named
 
 
 def mentions_ticker(text: Column, symbol: str) -> Column:

@@ -53,13 +53,17 @@ def account_state(balances: DataFrame, presets: DataFrame, kill_buffer: float =
     """Trailing floor, buffer and kill flag after each day.
 
     ``balances`` holds account, day, balance, todays_pnl and preset; ``presets``
-    holds preset, start, trail, target. The peak starts at the starting balance,
-    so the floor stands at the starting balance from the first day.
+    holds preset, start, trail, target. A ``peak`` column of ``balances`` gives the
+    highest end-of-day balance known on a day; it trails the floor until it
+    reaches the starting balance. Where it is missing or null, the peak is the
+    highest balance so far and at least the starting balance, so the floor
+    stands at the starting balance from the first day.
     """
     upto = Window.partitionBy("account").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    rows = balances.join(presets, "preset").withColumn(
-        "peak", F.greatest(F.col("start"), F.max("balance").over(upto))
-    )
+    peak = F.greatest(F.col("start"), F.max("balance").over(upto))
+    if "peak" in balances.columns:
+        peak = F.coalesce(F.col("peak"), peak)
+    rows = balances.join(presets, "preset").withColumn("peak", peak)
     locked = F.col("peak") >= F.col("start")
     floor = F.when(locked, F.col("start")).otherwise(F.col("peak") - F.col("trail"))
     buffer = F.col("balance") - F.col("floor")

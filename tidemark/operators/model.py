@@ -73,11 +73,15 @@ def fit_classifier(
     backend: str = "trees",
     label: str = "label",
     seed: int = 42,
+    trees: int = 80,
+    least_rows: int = 15,
     **extras,
 ) -> FittedModel:
     """Fit boosted trees, or a class-balanced logistic regression ("logistic").
 
-    Raises ValueError without rows, or with one class only.
+    ``trees`` and ``least_rows`` (rows per leaf) hold for boosted trees and do not
+    depend on the size of the data. Raises ValueError without rows, or with one
+    class only.
     """
     counts = train.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("ones")
@@ -96,10 +100,10 @@ def fit_classifier(
         estimator = GBTClassifier(
             featuresCol="__x",
             labelCol="__y",
-            maxIter=80 if n >= 200 else 40,
+            maxIter=trees,
             stepSize=0.05,
             maxDepth=5,
-            minInstancesPerNode=max(15, n // 40),
+            minInstancesPerNode=least_rows,
             subsamplingRate=0.9,
             seed=seed,
         )
@@ -131,17 +135,23 @@ def with_prediction(df: DataFrame, proba: Column) -> DataFrame:
 
 
 def predict(model: FittedModel, df: DataFrame) -> DataFrame:
-    scored = model.model.transform(
-        _assembled(df, model.features, model.means, model.stds)
-    ).withColumn("proba", vector_to_array("probability")[1])
-    added = [c for c in ("proba",) if c not in df.columns]
-    keys = [c for c in df.columns if c not in model.features]
-    back = [
-        (F.col(c) * s + m).alias(c)
-        for c, m, s in zip(model.features, model.means, model.stds)
-        if c in df.columns
-    ]
-    return with_prediction(scored.select(*keys, *back, *added), F.col("proba"))
+    """Add the model's prediction; the columns of ``df`` stay as they are.
+
+    Only ``proba``, ``prediction``, ``signal`` and ``confidence`` are added or replaced.
+    """
+    inputs = [f"__f{i}" for i in range(len(model.features))]
+    scaled = df.withColumns(
+        {
+            i: (num0(F.col(c)) - F.lit(m)) / F.lit(s)
+            for i, c, m, s in zip(inputs, model.features, model.means, model.stds)
+        }
+    )
+    vector = VectorAssembler(inputCols=inputs, outputCol="__x").transform(scaled)
+    scored = model.model.transform(vector)
+    proba = vector_to_array("probability")[1].alias("__proba")
+    return with_prediction(
+        scored.select(*[F.col(f"`{c}`") for c in df.columns], proba), F.col("__proba")
+    ).drop("__proba")
 
 
 def momentum_predict(df: DataFrame) -> DataFrame:
@@ -159,11 +169,11 @@ def momentum_predict(df: DataFrame) -> DataFrame:
 def fit_predict(
     train: DataFrame, test: DataFrame, features: Sequence[str], backend: str = "trees"
 ) -> DataFrame:
-    """Score ``test`` with a model of ``train``, or by momentum if none can be fitted."""
-    try:
-        return predict(fit_classifier(train, features, backend), test)
-    except ValueError:
+    """Score ``test`` with a model of ``train``; by momentum if ``train`` lacks one of the classes."""
+    classes = train.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+    if classes["low"] is None or classes["low"] == classes["high"]:
         return momentum_predict(test)
+    return predict(fit_classifier(train, features, backend), test)
 
 
 def save_model(model: FittedModel, path: str, spark: SparkSession) -> None:

@@ -43,7 +43,6 @@ def mentioned_facts(
     facts: DataFrame,
     entities: DataFrame,
     encoder_scores: DataFrame | None = None,
-    longest_name: int = 3,
 ) -> DataFrame:
     """Per (document, alias) the document's numbers; texts are read once, here.
 
@@ -51,7 +50,7 @@ def mentioned_facts(
     should store this table.
     """
     aliases = keyed_entities(entities).select("alias", "ticker", "name").distinct()
-    named = mentions(facts, aliases, longest_name, keep=FACTS)
+    named = mentions(facts, aliases, keep=FACTS)
     if encoder_scores is None:
         return named.withColumn("enc", F.lit(None).cast("double"))
     return named.join(
@@ -140,18 +139,23 @@ def news_features(
 
     ``named`` comes from ``mentioned_facts``; of ``docs`` only the time is read.
     Symbols with equal terms share one alias, so a mention is counted once per
-    alias. Own and neighbour sums come from one roll-up per (alias, T).
+    alias. Own and neighbour sums come from one roll-up per (alias, T). An edge
+    with ``is_peer`` false only adds its weight; without that column all edges
+    are peers.
     """
     alias_of = keyed_entities(entities).select("symbol", "alias")
     keys = events.select("symbol", "t_event").distinct()
     # One row per event and alias it looks at: its own, then its neighbours'.
-    own_edge = alias_of.select("symbol", F.col("symbol").alias("dst"), "alias").withColumn(
-        "weight", F.lit(None).cast("double")
+    own_edge = alias_of.select("symbol", F.col("symbol").alias("dst"), "alias").withColumns(
+        {"weight": F.lit(None).cast("double"), "is_peer": F.lit(False)}
     )
-    peer_edge = edges.select(F.col("src").alias("symbol"), "dst", "weight").join(
-        alias_of.withColumnRenamed("symbol", "dst"), "dst"
+    is_peer = F.col("is_peer") if "is_peer" in edges.columns else F.lit(True)
+    peer_edge = edges.select(
+        F.col("src").alias("symbol"), "dst", "weight", F.coalesce(is_peer, F.lit(True)).alias("is_peer")
+    ).join(alias_of.withColumnRenamed("symbol", "dst"), "dst")
+    looks = own_edge.unionByName(
+        peer_edge.select("symbol", "dst", "alias", "weight", "is_peer")
     )
-    looks = own_edge.unionByName(peer_edge.select("symbol", "dst", "alias", "weight"))
     asked = keys.join(looks, "symbol")
     sums = interval_rollup(
         asked, _contributions(named), ["alias"], sums=_SUMS, maxima=_MAXIMA,
@@ -163,7 +167,7 @@ def news_features(
         .groupBy("symbol", "t_event")
         .agg(
             *[F.max(F.when(own, F.col(c))).alias(c) for c in (*_SUMS, *_MAXIMA)],
-            F.sum(F.when(~own, F.col("n_ticker")).otherwise(0)).alias("spill"),
+            F.sum(F.when(F.col("is_peer"), F.col("n_ticker")).otherwise(0)).alias("spill"),
             F.sum(
                 F.when(~own, F.col("n_ticker") * F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
             ).alias("weighted_spill"),
@@ -228,8 +232,9 @@ def top_drivers(
 ) -> DataFrame:
     """Titles of the ``k`` heaviest documents per event: polarity plus relevance.
 
-    Ranking is salted: at most ``k`` rows per part of a window reach the final
-    ranking.
+    A day that lies whole in a window offers only its ``k`` heaviest documents
+    of the alias, ranked once per (alias, day); single documents are read only
+    on the two days that a window cuts.
     """
     alias_of = keyed_entities(entities).select("symbol", "alias")
     weight = F.greatest(F.abs("lex"), F.coalesce(F.abs("enc"), F.lit(0.0))) + F.col(
@@ -240,9 +245,29 @@ def top_drivers(
     )
     keyed = events.select("symbol", "t_event").distinct().join(alias_of, "symbol", "left")
     asked = keyed.where(F.col("alias").isNotNull()).select("alias", "t_event").distinct()
-    pairs = interval_join(asked, weighed, fact_ts="doc_ts", days=days, by=["alias"])
     order = [F.col("weight").desc(), F.col("doc_ts"), F.col("doc_id")]
-    ranked = top_by(pairs, ["alias", "t_event"], order, k)
+    dated = weighed.withColumn("day", F.to_date("doc_ts"))
+    start = F.col("t_event") - F.expr(f"INTERVAL {int(days)} DAYS")
+    opens, closes = F.to_date(start), F.to_date("t_event")
+    first_whole = F.when(start == F.date_trunc("day", start), opens).otherwise(F.date_add(opens, 1))
+    last_whole = F.date_sub(closes, 1)
+    ends = F.when(first_whole == opens, F.array(closes)).otherwise(
+        F.array_distinct(F.array(opens, closes))
+    )
+    shown = ["alias", "t_event", "doc_id", "doc_ts", "headline", "weight"]
+    whole = (
+        asked.where(first_whole <= last_whole)
+        .withColumn("day", F.explode(F.sequence(first_whole, last_whole)))
+        .join(top_by(dated, ["alias", "day"], order, k).drop("rank"), ["alias", "day"])
+        .select(*shown)
+    )
+    cut = (
+        asked.withColumn("day", F.explode(ends))
+        .join(dated, ["alias", "day"])
+        .where(F.col("doc_ts").between(start, F.col("t_event")))
+        .select(*shown)
+    )
+    ranked = top_by(whole.unionByName(cut), ["alias", "t_event"], order, k)
     listed = ranked.groupBy("alias", "t_event").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "headline"))), lambda s: s["headline"]

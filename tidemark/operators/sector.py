@@ -56,23 +56,39 @@ def substring_mentions(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     return docs.select("doc_id", "doc_ts", F.explode(present).alias("term"))
 
 
-def symbol_mentions(docs: DataFrame, company_terms: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Distinct (doc_id, symbol): the text holds one of the symbol's terms.
+def term_sets(company_terms: DataFrame) -> DataFrame:
+    """(symbol, alias): symbols with the same terms share one alias."""
+    return company_terms.groupBy("symbol").agg(
+        F.array_join(F.array_sort(F.collect_set("term")), "|").alias("alias")
+    )
+
+
+def alias_mentions(
+    docs: DataFrame, company_terms: DataFrame, aliases: DataFrame, terms: Sequence[str]
+) -> DataFrame:
+    """Distinct (doc_id, alias): the text holds one of the alias's terms.
 
     ``company_terms`` maps symbol to term, ``terms`` lists the distinct terms.
+    Documents never meet single symbols, only distinct sets of terms.
     """
+    of_alias = company_terms.join(aliases, "symbol").select("alias", "term").distinct()
     return (
         substring_mentions(docs, terms)
-        .join(company_terms.select("symbol", "term"), "term")
-        .groupBy("doc_id", "symbol")
-        .agg(F.first("doc_ts").alias("doc_ts"))
+        .select("doc_id", "term")
+        .join(of_alias, "term")
+        .select("doc_id", "alias")
+        .distinct()
     )
 
 
 def _score_means(
     bases: DataFrame, named: DataFrame, members: DataFrame, as_of: Column
 ) -> DataFrame:
-    """Per symbol: mean score of 5 years, mean non-zero score and mentions of 7 days."""
+    """Per symbol: mean score of 5 years, mean non-zero score and mentions of 7 days.
+
+    ``members`` holds symbol, alias and sector; sums over mentions are made once
+    per (alias, sector).
+    """
     in_5y = F.col("doc_ts") >= as_of - F.expr("INTERVAL 1825 DAYS")
     in_7d = F.col("doc_ts") >= as_of - F.expr("INTERVAL 7 DAYS")
     recent = bases.where(in_5y & (F.col("doc_ts") <= as_of)).withColumn("recent", in_7d)
@@ -85,10 +101,9 @@ def _score_means(
     )
     lifted = F.col("recent") & (F.col("base") + 1.0 != 0)
     fixes = (
-        named.select("doc_id", "symbol")
-        .join(members, "symbol")
+        named.join(members.select("alias", "sector").distinct(), "alias")
         .join(recent.select("doc_id", "sector", "base", "recent"), ["doc_id", "sector"])
-        .groupBy("symbol")
+        .groupBy("alias", "sector")
         .agg(
             F.count(F.lit(1)).alias("named_5y"),
             F.count_if("recent").alias("named_7d"),
@@ -96,7 +111,7 @@ def _score_means(
         )
     )
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("named_5y", "named_7d", "live_change")}
-    rows = members.join(totals, "sector", "left").join(fixes, "symbol", "left").withColumns(zero)
+    rows = members.join(totals, "sector", "left").join(fixes, ["alias", "sector"], "left").withColumns(zero)
     live_n = F.col("live_7d") + F.col("live_change")
     return rows.select(
         "symbol",
@@ -163,23 +178,39 @@ def symbol_outlook(
     positive: Sequence[str] = fx.SECTOR_POSITIVE,
     negative: Sequence[str] = fx.SECTOR_NEGATIVE,
 ) -> DataFrame:
-    """Predicted move of every symbol, in one sector's or in its own context."""
+    """Predicted move of every symbol, in one sector's or in its own context.
+
+    ``connected_to`` is the first-listed neighbour (``place`` of ``edges``), else
+    the first company of the sector (``place`` of ``company``). Edges with
+    ``is_peer`` false are no neighbours.
+    """
     at = F.lit(as_of).cast("timestamp_ntz")
     upto = bars.where(F.col("d") <= F.lit(as_of).cast("date"))
     members = company.select(
         "symbol", (F.col("sector") if sector is None else F.lit(sector)).alias("sector")
     )
+    aliases = term_sets(company_terms)
     bases = sector_doc_scores(docs, keywords, positive, negative)
-    means = _score_means(bases, symbol_mentions(docs, company_terms, terms), members, at)
+    named = alias_mentions(docs, company_terms, aliases, terms)
+    means = _score_means(bases, named, members.join(aliases, "symbol", "left"), at)
     corr = sector_correlation(upto, company, members)
     last = upto.groupBy("symbol").agg(F.max_by("close", "d").alias("current_price"))
-    degree = edges.groupBy(F.col("src").alias("symbol")).agg(
-        F.count(F.lit(1)).alias("neighbours"), F.min("dst").alias("connected_to")
+    peers = edges.where("is_peer") if "is_peer" in edges.columns else edges
+    listed = F.col("place") if "place" in edges.columns else F.lit(None).cast("int")
+    degree = peers.groupBy(F.col("src").alias("symbol")).agg(
+        F.count(F.lit(1)).alias("neighbours"),
+        F.min_by("dst", F.struct(listed.isNull(), listed, "dst")).alias("nearest"),
+    )
+    rank = F.col("place") if "place" in company.columns else F.lit(None).cast("int")
+    leader = company.groupBy("sector").agg(
+        F.min_by("symbol", F.struct(rank.isNull(), rank, "symbol")).alias("leader")
     )
     rows = (
         means.join(corr, "symbol", "left")
         .join(last, "symbol", "left")
         .join(degree, "symbol", "left")
+        .join(leader, "sector", "left")
+        .withColumn("connected_to", F.coalesce("nearest", "leader"))
         .withColumns(
             {
                 "correlation": F.coalesce("correlation", F.lit(0.0)),

@@ -37,11 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and streaming state.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that setting is
-    unset (tests, a laptop) is a fresh local folder chosen, and then set, so
-    that every later caller in the session agrees on it.
+    unset in a session of one machine (tests, a laptop) is a fresh local folder
+    chosen, and then set, so that every later caller in the session agrees on it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidemark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:

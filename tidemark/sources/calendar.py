@@ -100,11 +100,20 @@ def default_companies(spark) -> DataFrame:
 
 
 def default_edges(spark) -> DataFrame:
-    """The built-in neighbours; the weight is null where none is given."""
+    """The built-in graph: neighbours (``is_peer``, with their ``place``) and weighted pairs.
+
+    The weight is null where none is given; a pair may have a weight without
+    being a neighbour.
+    """
     weights = {(s, d): w for s, listed in fx.EDGE_WEIGHTS.items() for d, w in listed}
-    pairs = {(s, d) for s, listed in fx.NEIGHBOURS.items() for d in listed} | set(weights)
-    rows = [(s, d, weights.get((s, d))) for s, d in sorted(pairs)]
-    return spark.createDataFrame(rows, "src string, dst string, weight double")
+    places = {(s, d): i for s, listed in fx.NEIGHBOURS.items() for i, d in enumerate(listed)}
+    rows = [
+        (s, d, weights.get((s, d)), (s, d) in places, places.get((s, d)))
+        for s, d in sorted(places.keys() | weights.keys())
+    ]
+    return spark.createDataFrame(
+        rows, "src string, dst string, weight double, is_peer boolean, place int"
+    )
 
 
 def default_hedges(spark) -> DataFrame:

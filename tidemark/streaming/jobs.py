@@ -116,12 +116,11 @@ def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     )
 
 
-def mentions_stream(docs: DataFrame, aliases: DataFrame, path: str, checkpoint: str,
-                    longest_name: int = 3) -> StreamingQuery:
+def mentions_stream(docs: DataFrame, aliases: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Arriving documents to stored mention rows; ``docs`` holds doc_ts and lex."""
 
     def write(batch: DataFrame, number: int) -> None:
-        mentions(batch, aliases, longest_name, keep=["doc_ts", "lex"]).write.mode(
+        mentions(batch, aliases, keep=["doc_ts", "lex"]).write.mode(
             "overwrite"
         ).parquet(f"{path}/batch={number}")
 
@@ -185,27 +184,25 @@ def bars_stream(ticks: DataFrame, path: str, checkpoint: str, width: str = "1 da
 def backfill(docs: DataFrame, store: str, start: str, end: str, chunk_days: int = 14) -> None:
     """Write documents of ``[start, end)`` in slices of ``chunk_days``, one job.
 
-    Running it again, or over a range that overlaps, leaves one row per URL: the
-    touched slices are replaced, and URLs of other slices are left out.
+    Slices are counted from 1970-01-01, so all runs over a store line up (with
+    one ``chunk_days``). What is stored stays: only URLs that no slice holds yet
+    are added, and a slice that gains rows is written again as a whole, old rows
+    and new. So any order of ranges, shorter, shifted or repeated, leaves one
+    row per URL, and a run that broke off can be run again.
     """
     spark = docs.sparkSession
-    first = F.lit(start).cast("date")
     on = F.to_date("doc_ts")
-    slice_start = F.date_add(
-        first, (F.floor(F.date_diff(on, first) / chunk_days) * chunk_days).cast("int")
-    )
-    wanted = docs.where((on >= first) & (on < F.lit(end).cast("date"))).withColumn(
-        "slice", slice_start
-    )
-    spark.createDataFrame([], wanted.schema).write.mode("ignore").partitionBy("slice").parquet(
-        f"{store}"
-    )
-    others = spark.read.schema(wanted.schema).parquet(store).where(
-        ~F.col("slice").between(first, F.date_sub(F.lit(end).cast("date"), 1))
-    )
-    kept = dedupe_documents(wanted, others, order=("doc_ts", "title"))
+    days = F.unix_date(on)
+    wanted = docs.where(
+        (on >= F.lit(start).cast("date")) & (on < F.lit(end).cast("date"))
+    ).withColumn("slice", F.date_from_unix_date((F.floor(days / chunk_days) * chunk_days).cast("int")))
+    spark.createDataFrame([], wanted.schema).write.mode("ignore").partitionBy("slice").parquet(store)
+    held = spark.read.schema(wanted.schema).parquet(store)
+    fresh = dedupe_documents(wanted, held, order=("doc_ts", "title"))
+    grown = held.join(fresh.select("slice").distinct(), "slice", "left_semi")
     (
-        kept.repartition("slice", F.pmod(F.xxhash64("url"), F.lit(8)))
+        fresh.unionByName(grown)
+        .repartition("slice", F.pmod(F.xxhash64("url"), F.lit(8)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("slice")
