@@ -220,25 +220,34 @@ def _line_key(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-PAGES = "page_id bigint, url string, lines array<string>, declared array<boolean>, keys array<bigint>"
+PAGES = "page_id bigint, url string, lines array<string>, keys array<bigint>"
+TEXTS = "page_id bigint, url string, text string"
 
 
-def _read(batches):
+def _outlines(batches):
+    """Line keys of every page, and the lines of those that do not declare their text."""
     for batch in slices(batches):
         ids, urls, pages = batch.columns
         parsed = [page_lines(p) for p in pages.to_pylist()]
+        lines = [None if any(d for _, d in p) else [t for t, _ in p] for p in parsed]
+        keys = [[_line_key(t) for t, _ in p] for p in parsed]
         yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                urls,
-                pa.array([[t for t, _ in p] for p in parsed], pa.list_(pa.string())),
-                pa.array([[d for _, d in p] for p in parsed], pa.list_(pa.bool_())),
-                pa.array([[_line_key(t) for t, _ in p] for p in parsed], pa.list_(pa.int64())),
-            ],
-            ["page_id", "url", "lines", "declared", "keys"],
+            [ids, urls, pa.array(lines, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))],
+            ["page_id", "url", "lines", "keys"],
         )
 
 
+def _declared_texts(batches):
+    """Texts of the pages that declare them."""
+    for batch in slices(batches):
+        ids, urls, pages = batch.columns
+        kept = [[t for t, d in page_lines(p) if d] for p in pages.to_pylist()]
+        rows = pa.RecordBatch.from_arrays(
+            [ids, urls, pa.array([" ".join(k) for k in kept], pa.string())], ["page_id", "url", "text"]
+        )
+        yield rows.filter(pa.array([bool(k) for k in kept], pa.bool_()))
+
+
 def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
@@ -320,23 +329,20 @@ def nearest_pages(pages: DataFrame, key: str = "row", url: str = "url") -> DataF
     ).select("row", "n.near", "n.steps", "n.k")
 
 
-def _main_text(batches, copy_share):
+def _without_shared(batches, copy_share):
+    """Texts of pages without the lines that a nearest page shares."""
     for batch in slices(batches):
-        *keep, lines, declared, keys, others = batch.columns
+        *keep, lines, keys, others = batch.columns
         texts = []
-        for text, main, own, near in zip(*(c.to_pylist() for c in (lines, declared, keys, others))):
+        for text, own, near in zip(*(c.to_pylist() for c in (lines, keys, others))):
             gone: set[int] = set()
             total = sum(map(len, text))
             for other in near or []:
                 shared = shared_lines(own, other["keys"])
-                if sum(len(text[i]) for i in shared) <= copy_share * total:
+                if shared and sum(len(text[i]) for i in shared) <= copy_share * total:
                     gone = set(shared)
                     break
-            if any(main):
-                kept = [t for t, m in zip(text, main) if m]
-            else:
-                kept = [t for i, t in enumerate(text) if i not in gone]
-            texts.append(" ".join(kept))
+            texts.append(" ".join(t for i, t in enumerate(text) if i not in gone))
         yield pa.RecordBatch.from_arrays(
             [*keep, pa.array(texts, pa.string())], ["page_id", "url", "text"]
         )
@@ -347,35 +353,39 @@ def main_text(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
 
     A page becomes lines (its blocks, with references decoded and white space
     as single blanks), without menus, headers, footers, sidebars, notices,
-    adverts, forms, comments, scripts and styles, which markup names. Then each
-    page is paired with its nearest page by URL path on the same host, their
-    lines are aligned by a longest common subsequence, and shared lines are
-    deleted as template. A page that shares more than ``copy_share`` of its
-    characters is a copy, not a template: the next nearest page is taken, if any.
-
-    Lines inside an element that declares main text (article, main) are never
-    deleted, and if a page has such lines they alone are its text. Differencing
-    decides for pages that do not say where their text is.
+    adverts, forms, comments, scripts and styles, which markup names. If lines
+    lie inside an element that declares main text (article, main), they alone
+    are the page's text, whole.
+
+    Any other page is paired with its nearest page by URL path on the same
+    host, their lines are aligned by a longest common subsequence, and shared
+    lines are deleted as template. A neighbour that shares no line tells
+    nothing, and one that shares more than ``copy_share`` of the page's
+    characters is a copy, not a template: then the page on the other side is
+    taken, if any. Only line keys of neighbours are joined, and only to pages
+    that need them.
 
     A null html gives an empty text. Pages with a null or odd URL have no
     neighbours. Null or repeated ids and repeated rows each keep their row.
     Other columns are ignored. An empty table gives an empty result.
     """
-    read = stored(
-        pages.select("page_id", "url", "html").mapInArrow(_read, PAGES), "pages"
-    ).withColumn("row", F.monotonically_increasing_id())
-    near = nearest_pages(read.select("row", "url"))
+    source = pages.select("page_id", "url", "html")
+    read = stored(source.mapInArrow(_outlines, PAGES), "pages").withColumn(
+        "row", F.monotonically_increasing_id()
+    )
+    undeclared = read.where(F.col("lines").isNotNull())
+    near = nearest_pages(read.select("row", "url")).join(
+        undeclared.select("row"), "row", "left_semi"
+    )
     others = (
         near.join(read.select(F.col("row").alias("near"), "keys"), "near")
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct(-F.col("steps"), "k", "keys"))).alias("others"))
         .select("row", F.transform("others", lambda o: F.struct(o["keys"].alias("keys"))).alias("others"))
     )
-    return (
-        read.join(others, "row", "left")
-        .select("page_id", "url", "lines", "declared", "keys", "others")
-        .mapInArrow(
-            lambda batches: _main_text(batches, copy_share),
-            "page_id bigint, url string, text string",
-        )
+    differenced = (
+        undeclared.join(others, "row", "left")
+        .select("page_id", "url", "lines", "keys", "others")
+        .mapInArrow(lambda batches: _without_shared(batches, copy_share), TEXTS)
     )
+    return source.mapInArrow(_declared_texts, TEXTS).unionByName(differenced)
