@@ -61,9 +61,20 @@ def pieces(
     )
 
 
+def _target(reach: int, window: int) -> int:
+    """The sum with the least padding: a full window, else a power of two, else the largest."""
+    while window:
+        if reach >> window & 1:
+            return window
+        window //= 2
+    return reach.bit_length() - 1
+
+
 def fullest(counts: dict[int, int], window: int) -> dict[int, int]:
-    """The multiset of lengths that holds the largest one and leaves the least slack.
+    """The multiset of lengths that holds the largest one and leaves the least padding.
 
+    Sequences are padded to the window, except at a power of two (the window is
+    one), so a sum that is a power of two leaves none.
     Subset sums are bits of an integer: after each length, bit ``s`` tells
     whether sum ``s`` can be made with the copies at hand. The search stops as
     soon as the window can be filled; the counts are read back from the saved
@@ -84,7 +95,7 @@ def fullest(counts: dict[int, int], window: int) -> dict[int, int]:
             reach |= step
         if reach >> window & 1:
             break
-    total = reach.bit_length() - 1
+    total = _target(reach, window)
     chosen: dict[int, int] = defaultdict(int)
     chosen[lengths[0]] = 1
     for length, before in zip(reversed(lengths[: len(saved)]), reversed(saved)):
