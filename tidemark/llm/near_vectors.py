@@ -16,6 +16,11 @@ from tidemark.llm.common import blocked, local_roots, stored
 from tidemark.llm.components import connected_components
 
 
+def block_count(dims: int, blocks: int) -> int:
+    """Blocks of a product code: fewer where they would have under 8 dimensions."""
+    return max(1, min(blocks, dims // 8))
+
+
 @functools.cache
 def product_code(dims: int, codes: int, blocks: int, seed: int) -> tuple:
     """A random rotation and, for each of ``blocks`` blocks, ``codes`` random unit directions.
@@ -26,7 +31,7 @@ def product_code(dims: int, codes: int, blocks: int, seed: int) -> tuple:
     random = np.random.default_rng([seed, dims])
     turn = np.linalg.qr(random.normal(size=(dims, dims)))[0]
     parts = []
-    for block in np.array_split(np.arange(dims), min(blocks, dims)):
+    for block in np.array_split(np.arange(dims), block_count(dims, blocks)):
         code = random.normal(size=(codes, len(block)))
         parts.append((block, code / np.linalg.norm(code, axis=1, keepdims=True)))
     return turn, parts
@@ -34,7 +39,7 @@ def product_code(dims: int, codes: int, blocks: int, seed: int) -> tuple:
 
 def threshold(dims: int, codes: int, blocks: int, wanted: float) -> float:
     """Sum of block products that a random unit vector exceeds for ``wanted`` filters."""
-    blocks = min(blocks, dims)
+    blocks = block_count(dims, blocks)
     share = min(0.5, wanted / codes**blocks)
     return NormalDist().inv_cdf(1 - share) * math.sqrt(blocks / dims)
 
@@ -72,7 +77,7 @@ def _filters(batches, codes, blocks, wanted, seed):
             products = [code @ turned[block] for block, code in parts]
             found = decode(products, least)
             while len(found) < min(wanted / 2, codes):
-                least -= 0.05 * math.sqrt(blocks / len(vector))
+                least -= 0.05 * math.sqrt(1 / len(vector))
                 found = decode(products, least)
             out.append(found)
         yield pa.RecordBatch.from_arrays(
@@ -118,8 +123,9 @@ def _bundle_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 
     def take(left: np.ndarray, right: np.ndarray) -> None:
         nonlocal roots
-        for at in range(0, len(left), 4096):
-            a, b = left[at : at + 4096], right[at : at + 4096]
+        step = max(1, (1 << 22) // width**2)
+        for at in range(0, len(left), step):
+            a, b = left[at : at + step], right[at : at + step]
             own = _first_shared(lists[a], np.where(lists[b] < 0, -2, lists[b])) == current[a]
             a, b = a[own], b[own]
             np.add.at(added, place[a], copies[b])
@@ -219,17 +225,16 @@ def near_vectors(
         "node bigint, filters array<int>",
     )
     listed = stored(filters, "filters")
-    entries = listed.select("node", "filters", F.explode("filters").alias("filter")).join(
-        nodes.select(
-            "node", "label", F.size("embedding").alias("dims"), "copies", "embedding"
-        ),
-        "node",
-    )
+    dims = nodes.select("node", "label", F.size("embedding").alias("dims"))
+    entries = listed.select("node", F.explode("filters").alias("filter")).join(dims, "node")
     place = ["label", "dims", "filter"]
     bundles = max(1, math.ceil(nodes.count() * wanted / bundle))
+    # Blocks are dealt on narrow rows; vectors join them once, on the way to their bundle.
+    vector = nodes.select("node", "copies", "embedding").join(listed, "node")
     found = stored(
         blocked(entries, place, "node", most)
         .withColumn("bundle", F.pmod(F.xxhash64(*place, "i", "j"), F.lit(bundles)))
+        .join(vector, "node")
         .groupBy("bundle")
         .applyInPandas(
             lambda pdf: _bundle_links(pdf, least), "node bigint, other bigint, added bigint"
