@@ -137,6 +137,11 @@ def fit_languages(docs: DataFrame, dims: int = 512, seed: int = 9) -> pd.DataFra
     )
 
 
+def _prototypes(profiles: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    names = profiles["lang"].tolist()
+    return names, np.array(profiles["profile"].tolist(), float) if names else np.zeros((0, 1))
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(rows, axis=-1, keepdims=True)
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
@@ -184,8 +189,7 @@ def predict_languages(
     letter, or where nothing was learned. Equal cosines go to the language first
     in order. Ids may be null or repeat; other columns are ignored.
     """
-    names = profiles["lang"].tolist()
-    prototypes = np.array(profiles["profile"].tolist(), float).reshape(len(names), -1)
+    names, prototypes = _prototypes(profiles)
     return (
         docs.select("doc_id", "text")
         .mapInArrow(
@@ -201,14 +205,20 @@ def predict_languages(
 def keep_known(
     docs: DataFrame, profiles: pd.DataFrame, seed: int = 9, sharpness: float = 10.0
 ) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has a language (not ``und``)."""
-    names = profiles["lang"].tolist()
-    prototypes = np.array(profiles["profile"].tolist(), float).reshape(len(names), -1)
+    """The rows of ``docs``, unchanged, whose text has a language (not ``und``).
+
+    Where nothing was learned, rows whose text has a letter stay.
+    """
+    names, prototypes = _prototypes(profiles)
 
     def kept(batches):
         for batch in slices(batches, 1024):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            preds, _ = predict_texts(texts, names, prototypes, seed, sharpness)
-            yield batch.filter(pa.array([p != UNKNOWN for p in preds], pa.bool_()))
+            if names:
+                preds, _ = predict_texts(texts, names, prototypes, seed, sharpness)
+                keep = [p != UNKNOWN for p in preds]
+            else:
+                keep = np.isin(np.arange(len(texts)), trigram_counts(texts)[0]).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
