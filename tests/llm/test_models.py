@@ -136,10 +136,8 @@ def test_model_is_a_distribution(spark):
     """After any history, all known words and one unknown word of each class sum to one."""
     docs = queries.table(spark, SF, "documents")
     blocks = language_model.word_blocks(docs, 10)
-    lexicon = blocks.select(F.explode(F.arrays_zip("words", "n")).alias("e")).select("e.words", "e.n")
-    counts = (
-        lexicon.groupBy(F.col("words").alias("word")).agg(F.sum("n").alias("c")).where("c > 0")
-    )
+    lexicon = language_model.lexicon_rows(blocks)
+    counts = lexicon.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
     model = language_model.fit(blocks, counts, buckets=1 << 10)
     known = {bytes(r.word): r.c for r in counts.collect()}
     words = list(known)

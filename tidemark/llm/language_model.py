@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,11 @@ SHARED = WIDTH * WIDTH - SINGLES
 #: The end of a text, which no word can be, and what stands before a text.
 END, BEGIN = b" ", 0x5BD1E995
 BLOCKS = (
-    "block bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, ids array<int>, "
-    "words array<binary>, n array<bigint>"
+    "block bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, ids binary, "
+    "words binary, n array<bigint>"
 )
+#: Between the words of a packed lexicon; no word holds it.
+SEPARATOR = b"\n"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,6 +42,14 @@ def is_held(doc_id, folds: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == 0
 
 
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _blocks(batches, folds, block_bytes):
     from pyspark import TaskContext
 
@@ -58,14 +69,14 @@ def _blocks(batches, folds, block_bytes):
             [[d for d, _, _ in docs]],
             [[h for _, h, _ in docs]],
             [[len(i) for _, _, i in docs]],
-            [np.concatenate([i for _, _, i in docs])],
-            [list(lexicon)],
+            [_pack(np.concatenate([i for _, _, i in docs]).astype("<i4").tobytes())],
+            [_pack(SEPARATOR.join(lexicon))],
             [counts],
         ]
         number, docs, size = number + 1, [], 0
         lexicon.clear()
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()),
-                 pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+                 pa.binary(), pa.binary(), pa.list_(pa.int64())]
         names = ["block", "doc_ids", "held", "sizes", "ids", "words", "n"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names)
 
@@ -82,13 +93,13 @@ def _blocks(batches, folds, block_bytes):
         yield flush()
 
 
-def word_blocks(docs: DataFrame, folds: int = 10, block_bytes: int = 6 << 20) -> DataFrame:
+def word_blocks(docs: DataFrame, folds: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """Texts as word numbers, in blocks of about ``block_bytes`` with a lexicon each.
 
     Per block: ids, held-out marks and sizes of its documents, their word
     numbers one after the other (each with an end), the words, and how often
-    each occurs in training documents. Written to the shared folder once; all
-    later passes read it instead of the texts.
+    each occurs in training documents. Numbers and words are compressed. Written
+    to the shared folder once; all later passes read it instead of the texts.
     """
     return stored(
         docs.select("doc_id", "text").mapInArrow(
@@ -98,6 +109,32 @@ def word_blocks(docs: DataFrame, folds: int = 10, block_bytes: int = 6 << 20) ->
     )
 
 
+def _lexicon(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words = _unpack(batch.column(1)[i].as_py()).split(SEPARATOR)
+            counts = batch.column(2)[i].values
+            block = batch.column(0)[i].as_py()
+            for at in range(0, len(words), 65536):
+                part = words[at : at + 65536]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(part), block)),
+                        pa.array(np.arange(at, at + len(part), dtype=np.int32)),
+                        pa.array(part, pa.binary()),
+                        counts.slice(at, len(part)),
+                    ],
+                    ["block", "place", "word", "n"],
+                )
+
+
+def lexicon_rows(blocks: DataFrame) -> DataFrame:
+    """(``block``, ``place``, ``word``, ``n``): the words of each block and their training counts."""
+    return blocks.select("block", "words", "n").mapInArrow(
+        _lexicon, "block bigint, place int, word binary, n bigint"
+    )
+
+
 def _ending(word: bytes) -> int:
     return SINGLES + zlib.crc32(word[-3:]) % SHARED
 
@@ -228,28 +265,30 @@ def _train(batches, model, rate, step):
                     slope = -np.exp(_log_softmax(prior + weights[level][rows].sum(axis=0)))
                     slope[n, truth] += 1
                     descend(level, rows, slope)
-    change = ((weights - model.weights) * np.float32(seen)).reshape(WIDTH, -1)
+    change = (weights - model.weights).reshape(WIDTH, -1)
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(WIDTH, TaskContext.get().partitionId()), pa.int64()),
             pa.array(np.arange(WIDTH), pa.int32()),
             pa.array(np.full(WIDTH, seen), pa.int64()),
-            pa.array([c.astype("<f4").tobytes() for c in change], pa.binary()),
+            pa.array([c.astype("<f2").tobytes() for c in change], pa.binary()),
         ],
         ["task", "part", "seen", "change"],
     )
 
 
 def _add_changes(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(pdf["change"].iloc[0]) // 4, np.float64)
-    for change in pdf["change"]:
-        total += np.frombuffer(change, "<f4")
+    """Mean of the changes of some tasks, weighted by the tokens they saw."""
+    total = np.zeros(len(pdf["change"].iloc[0]) // 2, np.float64)
+    for change, seen in zip(pdf["change"], pdf["seen"]):
+        total += np.frombuffer(change, "<f2").astype(np.float64) * seen
+    seen = pdf["seen"].sum()
     return pd.DataFrame(
         {
             "task": [pdf["up"].iloc[0]],
             "part": [pdf["part"].iloc[0]],
-            "seen": [pdf["seen"].sum()],
-            "change": [total.astype("<f4").tobytes()],
+            "seen": [seen],
+            "change": [(total / max(1, seen)).astype("<f2").tobytes()],
         }
     )
 
@@ -262,13 +301,13 @@ def _block_rows(batch):
     columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
     for i in range(batch.num_rows):
         row = {
-            name: column[i].values.to_numpy(zero_copy_only=False)
-            for name, column in columns.items()
-            if name in ("held", "sizes", "ids")
-        }
-        row |= {
-            name: columns[name][i].as_py() for name in ("doc_ids", "words", "n") if name in columns
+            name: columns[name][i].values.to_numpy(zero_copy_only=False)
+            for name in ("held", "sizes")
         }
+        row["ids"] = np.frombuffer(_unpack(columns["ids"][i].as_py()), "<i4")
+        row["words"] = _unpack(columns["words"][i].as_py()).split(SEPARATOR)
+        if "doc_ids" in columns:
+            row["doc_ids"] = columns["doc_ids"][i].as_py()
         if "found" in columns:
             found = columns["found"][i].values
             row["found"] = tuple(found.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -317,11 +356,8 @@ def fit(
     )
     read = blocks.select("held", "sizes", "ids", "words")
     for _ in range(rounds):
-        changes = stored(
-            read.mapInArrow(
-                functools.partial(_train, model=model, rate=rate, step=step), CHANGES
-            ),
-            "changes",
+        changes = read.mapInArrow(
+            functools.partial(_train, model=model, rate=rate, step=step), CHANGES
         )
         tasks = read.rdd.getNumPartitions()
         while tasks > 1:
@@ -334,10 +370,8 @@ def fit(
         rows = sorted(changes.collect(), key=lambda r: r["part"])
         if not rows or not rows[0]["seen"]:
             break
-        change = np.concatenate([np.frombuffer(r["change"], "<f4") for r in rows])
-        model.weights = model.weights + change.reshape(model.weights.shape) / np.float32(
-            rows[0]["seen"]
-        )
+        change = np.concatenate([np.frombuffer(r["change"], "<f2") for r in rows])
+        model.weights = model.weights + change.astype(np.float32).reshape(model.weights.shape)
     return model
 
 
@@ -393,9 +427,7 @@ def score_texts(
     Without training documents, counts are zero and the score is finite.
     """
     blocks = word_blocks(docs, folds)
-    lexicon = blocks.select(
-        "block", F.posexplode(F.arrays_zip("words", "n")).alias("place", "e")
-    ).select("block", "place", F.col("e.words").alias("word"), F.col("e.n").alias("n"))
+    lexicon = lexicon_rows(blocks)
     counts = stored(lexicon.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     model = fit(blocks, counts, buckets, rounds, rate)
     found = (
