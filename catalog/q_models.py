@@ -345,13 +345,13 @@ def separable_fit(spark, sf):
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    return bt.compare_models(frame(spark, sf), backend="logistic")
+    return bt.compare_models(frame(spark, sf))
 
 
 @query("subset_model_comparison")
 def subset_model_comparison(spark, sf):
     members = v.company(spark, sf).where(F.col("sector").isin("N1", "N2", "N3", "N4", "N5", "N6"))
-    return bt.compare_models(frame(spark, sf), members, backend="logistic")
+    return bt.compare_models(frame(spark, sf), members)
 
 
 @query("tree_feature_importance")
@@ -363,22 +363,34 @@ def tree_feature_importance(spark, sf):
 @query("permutation_feature_importance")
 def permutation_feature_importance(spark, sf):
     train = fd.time_split(frame(spark, sf)).where(F.col("role") == "train").drop("ord")
-    return md.permutation_importance(cut_lineage(train), fx.PRICE_FEATURES, repeats=5)
+    return md.permutation_importance(cut_lineage(train), fx.ENHANCED_FEATURES)
 
 
 @query("walk_forward_lanes")
 def walk_forward_lanes(spark, sf):
-    """Metrics of the three walk-forward lanes on price features."""
-    run = bt.walk_forward_backtest(bt.folded_frame(frame(spark, sf)), fx.PRICE_FEATURES, "baseline")
+    """Metrics of the three walk-forward lanes on both feature sets."""
+    folded = bt.folded_frame(frame(spark, sf))
+    runs = [
+        bt.walk_forward_backtest(folded, features, name)["trades"]
+        for name, features in (("enhanced", fx.ENHANCED_FEATURES), ("baseline", fx.PRICE_FEATURES))
+    ]
     return strategy_metrics(
-        cut_lineage(run["trades"]), ["strategy"], fd.event_order(), fd.event_chunks()
+        cut_lineage(runs[0].unionByName(runs[1])), ["strategy"], fd.event_order(), fd.event_chunks()
     )
 
 
 @query("full_backtest")
 def full_backtest(spark, sf):
-    """Metrics of all nine return lanes."""
-    return bt.full_backtest(frame(spark, sf), backend="logistic")["metrics"]
+    """Metrics of all nine return lanes and both path lanes, and which one is best."""
+    rows = cut_lineage(evaluated(spark, sf, with_paths=True))
+    report = bt.full_backtest(cut_lineage(pe.feature_frame(rows)), rows)
+    best = report["best"].select("strategy", F.lit(True).alias("best"))
+    return (
+        report["metrics"]
+        .unionByName(report["path_metrics"], allowMissingColumns=True)
+        .join(best, "strategy", "left")
+        .withColumn("best", F.coalesce("best", F.lit(False)))
+    )
 
 
 @query("permutation_test")

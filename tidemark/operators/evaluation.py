@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fx
@@ -240,4 +240,5 @@ def feature_importance(importances: DataFrame, family: str = "earnings_kw_") ->
         F.round(share, 6).alias("gain_share"),
         (F.col("gain") == 0).alias("dead"),
         F.col("feature").startswith(family).alias("is_keyword_feature"),
+        F.row_number().over(Window.orderBy(F.desc("gain"), "feature")).alias("rank"),
     )

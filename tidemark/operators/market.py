@@ -128,7 +128,11 @@ def peer_counts(company: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _neighbours_outside(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct (symbol, dst) edges that leave the symbol's sector."""
+    """Distinct (symbol, dst) edges that leave the symbol's sector.
+
+    Edges with ``is_peer`` false only weigh and are left out.
+    """
+    edges = edges.where("is_peer") if "is_peer" in edges.columns else edges
     there = members.select(F.col("symbol").alias("dst"), F.col("sector").alias("dst_sector"))
     return (
         edges.select(F.col("src").alias("symbol"), "dst")

@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fx
@@ -264,4 +264,7 @@ def permutation_importance(
             F.round(F.avg("e.drop"), 6).alias("importance_mean"),
             F.round(F.stddev_pop("e.drop"), 6).alias("importance_std"),
         )
+        .withColumn(
+            "rank", F.row_number().over(Window.orderBy(F.desc("importance_mean"), "feature"))
+        )
     )
