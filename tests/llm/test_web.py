@@ -5,6 +5,7 @@ import random
 import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 
 from helpers import SF
@@ -160,5 +161,23 @@ def test_neighbours_across_ranges(spark):
     assert got == want
 
 
+def test_declared_pages_are_aligned_too(spark, monkeypatch):
+    """Every page with a neighbour meets it, whether or not markup declares its text."""
+    rows = [
+        (k, f"http://a.com/{k}", page([f"aside {k}"], f"<article>own {k}</article>")) for k in range(3)
+    ]
+    rows.append((3, "http://a.com/3", page(["own 3" * 20])))
+    df = spark.createDataFrame(rows, SCHEMA)
+    texts = {r.page_id: r.text for r in web_text.main_text(df).collect()}
+    assert texts == {0: "own 0", 1: "own 1", 2: "own 2", 3: "own 3" * 20}
+    met = []
+    monkeypatch.setattr(web_text, "shared_lines", lambda a, b: met.append((a, b)) or [0])
+    outline = next(web_text._outlines([pa.record_batch([[0], ["u"], [rows[0][2]]], ["i", "u", "h"])]))
+    others = pa.array([[{"keys": [1, 2]}]])
+    batch = pa.RecordBatch.from_arrays([*outline.columns, others], [*outline.schema.names, "others"])
+    (text,) = next(web_text._without_shared([batch], 0.8))["text"].to_pylist()
+    assert text == "own 0" and met == [(outline["keys"][0].as_py(), [1, 2])]
+
+
 def test_references_are_decoded_once():
     assert web_text.page_lines("<p>&amp;lt;</p>") == [(html.unescape("&amp;lt;"), False)]

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,32 +221,32 @@ def _line_key(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-PAGES = "page_id bigint, url string, lines array<string>, keys array<bigint>"
+PAGES = (
+    "page_id bigint, url string, lines binary, declared array<boolean>, keys array<bigint>, "
+    "sizes array<int>"
+)
 TEXTS = "page_id bigint, url string, text string"
+SEPARATOR = "\n"
 
 
 def _outlines(batches):
-    """Line keys of every page, and the lines of those that do not declare their text."""
+    """Lines, line keys and line lengths of every page. The lines are packed, as they are shuffled."""
     for batch in slices(batches):
         ids, urls, pages = batch.columns
         parsed = [page_lines(p) for p in pages.to_pylist()]
-        lines = [None if any(d for _, d in p) else [t for t, _ in p] for p in parsed]
-        keys = [[_line_key(t) for t, _ in p] for p in parsed]
+        pack = zstandard.ZstdCompressor(level=3).compress
+        lines = [pack(SEPARATOR.join(t for t, _ in p).encode()) for p in parsed]
         yield pa.RecordBatch.from_arrays(
-            [ids, urls, pa.array(lines, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))],
-            ["page_id", "url", "lines", "keys"],
-        )
-
-
-def _declared_texts(batches):
-    """Texts of the pages that declare them."""
-    for batch in slices(batches):
-        ids, urls, pages = batch.columns
-        kept = [[t for t, d in page_lines(p) if d] for p in pages.to_pylist()]
-        rows = pa.RecordBatch.from_arrays(
-            [ids, urls, pa.array([" ".join(k) for k in kept], pa.string())], ["page_id", "url", "text"]
+            [
+                ids,
+                urls,
+                pa.array(lines, pa.binary()),
+                pa.array([[d for _, d in p] for p in parsed], pa.list_(pa.bool_())),
+                pa.array([[_line_key(t) for t, _ in p] for p in parsed], pa.list_(pa.int64())),
+                pa.array([[len(t) for t, _ in p] for p in parsed], pa.list_(pa.int32())),
+            ],
+            ["page_id", "url", "lines", "declared", "keys", "sizes"],
         )
-        yield rows.filter(pa.array([bool(k) for k in kept], pa.bool_()))
 
 
 def _host(url: Column) -> Column:
@@ -329,20 +330,29 @@ def nearest_pages(pages: DataFrame, key: str = "row", url: str = "url") -> DataF
     ).select("row", "n.near", "n.steps", "n.k")
 
 
+def _template(own, sizes, others, copy_share):
+    """Positions of the lines that the first fitting page of ``others`` shares."""
+    for other in others or []:
+        shared = shared_lines(own, other["keys"])
+        if shared and sum(sizes[i] for i in shared) <= copy_share * sum(sizes):
+            return set(shared)
+    return set()
+
+
 def _without_shared(batches, copy_share):
-    """Texts of pages without the lines that a nearest page shares."""
+    """Texts of pages without the lines that a nearest page shares, where markup does not object."""
     for batch in slices(batches):
-        *keep, lines, keys, others = batch.columns
+        *keep, lines, declared, keys, sizes, others = batch.columns
         texts = []
-        for text, own, near in zip(*(c.to_pylist() for c in (lines, keys, others))):
-            gone: set[int] = set()
-            total = sum(map(len, text))
-            for other in near or []:
-                shared = shared_lines(own, other["keys"])
-                if shared and sum(len(text[i]) for i in shared) <= copy_share * total:
-                    gone = set(shared)
-                    break
-            texts.append(" ".join(t for i, t in enumerate(text) if i not in gone))
+        unpack = zstandard.ZstdDecompressor().decompress
+        for packed, marks, own, size, near in zip(
+            *(c.to_pylist() for c in (lines, declared, keys, sizes, others))
+        ):
+            gone = _template(own, size, near, copy_share)
+            text = unpack(packed).decode().split(SEPARATOR) if own else []
+            # Markup has the last word on a line: declared ones stay, and the others go beside them.
+            kept = marks if any(marks) else [i not in gone for i in range(len(own))]
+            texts.append(" ".join(t for t, k in zip(text, kept) if k))
         yield pa.RecordBatch.from_arrays(
             [*keep, pa.array(texts, pa.string())], ["page_id", "url", "text"]
         )
@@ -353,39 +363,33 @@ def main_text(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
 
     A page becomes lines (its blocks, with references decoded and white space
     as single blanks), without menus, headers, footers, sidebars, notices,
-    adverts, forms, comments, scripts and styles, which markup names. If lines
-    lie inside an element that declares main text (article, main), they alone
-    are the page's text, whole.
+    adverts, forms, comments, scripts and styles, which markup names.
 
-    Any other page is paired with its nearest page by URL path on the same
-    host, their lines are aligned by a longest common subsequence, and shared
-    lines are deleted as template. A neighbour that shares no line tells
+    Every page is paired with its nearest page by URL path on the same host,
+    their lines are aligned by a longest common subsequence, and shared lines
+    are deleted as template. Markup then confirms or vetoes single lines: those
+    inside an element that declares main text (article, main) stay, shared or
+    not, and beside them the others go. A neighbour that shares no line tells
     nothing, and one that shares more than ``copy_share`` of the page's
     characters is a copy, not a template: then the page on the other side is
-    taken, if any. Only line keys of neighbours are joined, and only to pages
-    that need them.
+    taken, if any. Only line keys of neighbours are joined.
 
     A null html gives an empty text. Pages with a null or odd URL have no
     neighbours. Null or repeated ids and repeated rows each keep their row.
     Other columns are ignored. An empty table gives an empty result.
     """
-    source = pages.select("page_id", "url", "html")
-    read = stored(source.mapInArrow(_outlines, PAGES), "pages").withColumn(
-        "row", F.monotonically_increasing_id()
-    )
-    undeclared = read.where(F.col("lines").isNotNull())
-    near = nearest_pages(read.select("row", "url")).join(
-        undeclared.select("row"), "row", "left_semi"
-    )
+    read = stored(
+        pages.select("page_id", "url", "html").mapInArrow(_outlines, PAGES), "pages"
+    ).withColumn("row", F.monotonically_increasing_id())
+    near = nearest_pages(read.select("row", "url"))
     others = (
         near.join(read.select(F.col("row").alias("near"), "keys"), "near")
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct(-F.col("steps"), "k", "keys"))).alias("others"))
         .select("row", F.transform("others", lambda o: F.struct(o["keys"].alias("keys"))).alias("others"))
     )
-    differenced = (
-        undeclared.join(others, "row", "left")
-        .select("page_id", "url", "lines", "keys", "others")
+    return (
+        read.join(others, "row", "left")
+        .select("page_id", "url", "lines", "declared", "keys", "sizes", "others")
         .mapInArrow(lambda batches: _without_shared(batches, copy_share), TEXTS)
     )
-    return source.mapInArrow(_declared_texts, TEXTS).unionByName(differenced)
