@@ -90,6 +90,34 @@ def test_declared_text():
     ]
 
 
+OWN = "A text of its own, longer than the rest."
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<article class='post has-sidebar'>", "</article>"),
+        ("<main class='no-sidebar'>", "</main>"),
+        ("<div role=main class=sidebar-left>", "</div>"),
+        ("<article class='category-notices comments-open'>", "</article>"),
+        ("<main><article class='category-notices comments-open'>", "</article></main>"),
+        ("<div id='content' class='with-sidebar'><article>", "</article></div>"),
+        ("<html class='js-menu'><body class='x'><main id=search>", "</main></body></html>"),
+    ],
+)
+def test_marks_never_drop_declared_text(before, after):
+    page = f"<div>Site</div><div class=menu>m</div>{before}<p>{OWN}</p><div class=ad>b</div>{after}out"
+    assert web_text.page_lines(page) == [("Site", False), (OWN, True), ("out", False)]
+    assert [t for t, _ in web_text.page_lines(f"{before}<p>x</p>{after}")] == ["x"]
+
+
+def test_marks_on_most_of_a_page_leave_candidates():
+    page = f"<div>Site</div><div id=content class=with-sidebar><p>{OWN}</p><div class=sidebar>s</div></div>"
+    assert web_text.page_lines(page) == [("Site", False), (OWN, False)]
+    cards = f"<div><p>{OWN}</p></div><div class=related><article>a card</article></div>"
+    assert web_text.page_lines(cards) == [(OWN, False), ("a card", False)]
+
+
 def longest(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

@@ -54,26 +54,46 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(
     r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I
 )
+#: Elements within which nested articles are comments or cards.
+ARTICLE = frozenset(("article",))
+#: Fewer characters than this are never most of a page.
+LEAST_MOST = 20
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def _role(name: str, attributes: str) -> str:
-    """``aside``, ``main`` or nothing, by an element's name and attributes."""
+def _marked(value: str) -> bool:
+    words = [w.lower() for w in WORDS.findall(value)]
+    return not MARKS.isdisjoint(words) or not MARK_PAIRS.isdisjoint(zip(words, words[1:]))
+
+
+def _role(name: str, attributes: str) -> tuple[str, bool]:
+    """``aside``, ``main`` or nothing, by element, role and visibility; whether class or id mark it."""
     role = "aside" if name in ASIDE else "main" if name in MAIN else ""
+    marked = False
     if attributes and not attributes.isspace():
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
-            if key in ("class", "id", "role"):
-                words = [w.lower() for w in WORDS.findall(value)]
-                if not MARKS.isdisjoint(words) or not MARK_PAIRS.isdisjoint(zip(words, words[1:])):
-                    return "aside"
-                if key == "role" and value.lower() in ("main", "article"):
+            if key in ("class", "id"):
+                marked = marked or _marked(value)
+            elif key == "role":
+                if value.lower() in ("main", "article"):
                     role = "main"
+                elif _marked(value):
+                    return "aside", marked
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-                return "aside"
+                return "aside", marked
             elif key == "style" and "display:none" in value.replace(" ", "").lower():
-                return "aside"
-    return role
+                return "aside", marked
+    return role, marked
+
+
+class _Mark:
+    """An element that class or id mark as no main text."""
+
+    __slots__ = ("around", "holds_main", "size")
+
+    def __init__(self, around: _Mark | None):
+        self.around, self.holds_main, self.size = around, False, 0
 
 
 def page_lines(page: str | None) -> list[tuple[str, bool]]:
@@ -81,26 +101,41 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
 
     ``declared`` tells that the line lies inside an element that declares main
     text. Elements that were never closed end with the element around them.
+
+    A class or id never makes an aside of an element that declares main text, of
+    one that holds such an element, or of one with most of the page's characters;
+    inside an article, nested articles are comments or cards and do not count.
+    Main text inside a marked element is declared only where it is most of the
+    page: else a marked list of cards would replace the text beside it.
     """
     page = page or ""
-    lines: list[tuple[str, bool]] = []
-    stack: list[tuple[str, str]] = []
+    lines: list[tuple[str, bool, _Mark | None, bool]] = []
+    stack: list[tuple[str, str, bool]] = []
+    marks: list[_Mark] = []
     text: list[str] = []
-    asides = mains = at = 0
+    asides = mains = articles = at = 0
+    outside: _Mark | None = None  # innermost mark around the outermost main element
 
     def flush() -> None:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                lines.append((line, mains > 0))
+                lines.append((line, mains > 0, marks[-1] if marks else None, outside is not None))
             text.clear()
 
     def close(depth: int) -> None:
-        nonlocal asides, mains
+        nonlocal asides, mains, articles, outside
         while len(stack) > depth:
-            _, role = stack.pop()
+            name, role, marked = stack.pop()
             asides -= role == "aside"
             mains -= role == "main"
+            articles -= role == "article"
+            if role == "article":
+                mains -= 1
+            if not mains:
+                outside = None
+            if marked:
+                marks.pop()
 
     def depth_of(name: str, until: frozenset = frozenset()) -> int | None:
         for k in range(len(stack) - 1, -1, -1):
@@ -144,19 +179,56 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
             open_item = depth_of(name, frozenset(("ul", "ol", "dl", "table", "menu")))
             if open_item is not None:
                 close(open_item)
-        role = _role(name, found[3])
-        if name == "header" and mains and role == "aside":
-            role = ""
-        if name == "body":
-            role = ""
-        if role == "aside":
+        role, marked = _role(name, found[3])
+        if name == "header" and mains and (role == "aside" or marked):
+            role, marked = "", False
+        if name in ("body", "html"):
+            role, marked = "", False
+        if role == "main":
+            if not articles:
+                marked = False
+                for mark in marks:
+                    mark.holds_main = True
+            if not mains:
+                outside = marks[-1] if marks else None
+            if name in ARTICLE:
+                role = "article"
+        if role == "aside" or marked:
             flush()
-        if name in BLOCK or role:
-            stack.append((name, role))
+        if name in BLOCK or role or marked:
+            marked = marked and role != "aside"
+            stack.append((name, role, marked))
             asides += role == "aside"
-            mains += role == "main"
+            mains += role in ("main", "article")
+            articles += role == "article"
+            if marked:
+                marks.append(_Mark(marks[-1] if marks else None))
     flush()
-    return lines
+    return _unmarked(lines)
+
+
+def _unmarked(lines: list) -> list[tuple[str, bool]]:
+    """Lines outside marked elements, except those whose mark says nothing."""
+    if all(mark is None for _, _, mark, _ in lines):
+        return [(line, declared) for line, declared, _, _ in lines]
+    total = 0
+    for line, _, mark, _ in lines:
+        total += len(line)
+        while mark is not None:
+            mark.size += len(line)
+            mark = mark.around
+
+    def aside(mark: _Mark | None) -> bool:
+        while mark is not None:
+            if not mark.holds_main and (mark.size < LEAST_MOST or 2 * mark.size <= total):
+                return True
+            mark = mark.around
+        return False
+
+    kept = [(line, declared, inside) for line, declared, mark, inside in lines if not aside(mark)]
+    within = sum(len(line) for line, declared, inside in kept if declared and inside)
+    most = 2 * within > sum(len(line) for line, _, _ in kept)
+    return [(line, declared and (most or not inside)) for line, declared, inside in kept]
 
 
 def _bits(a: list, b: list):
