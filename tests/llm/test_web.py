@@ -200,11 +200,35 @@ def test_declared_pages_are_aligned_too(spark, monkeypatch):
     assert texts == {0: "own 0", 1: "own 1", 2: "own 2", 3: "own 3" * 20}
     met = []
     monkeypatch.setattr(web_text, "shared_lines", lambda a, b: met.append((a, b)) or [0])
-    outline = next(web_text._outlines([pa.record_batch([[0], ["u"], [rows[0][2]]], ["i", "u", "h"])]))
-    others = pa.array([[{"keys": [1, 2]}]])
-    batch = pa.RecordBatch.from_arrays([*outline.columns, others], [*outline.schema.names, "others"])
-    (text,) = next(web_text._without_shared([batch], 0.8))["text"].to_pylist()
-    assert text == "own 0" and met == [(outline["keys"][0].as_py(), [1, 2])]
+    other = {"far": 0, "k": 1, "keys": [7, 8], "total": 9}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0]), pa.array([[5, 6]]), pa.array([[4, 4]]), pa.array([[other]])],
+        ["row", "keys", "sizes", "others"],
+    )
+    assert next(web_text._first_shared([batch], 0.8))["gone"].to_pylist() == [[0]]
+    assert met == [([5, 6], [7, 8])]
+
+
+def test_runs_of_copies(spark):
+    """Menus go although a page has none but copies, or near copies, beside it."""
+    own = [f"one of {k} lines that all the copies of this page hold" for k in "abcdefghij"]
+    other = [f"the other page's line {k}" for k in range(8)]
+    rows = [(k, f"http://a.com/m?s={k}", page(own)) for k in range(5)]
+    rows += [(5, "http://a.com/z", page(other))]
+    rows += [(10 + k, f"http://b.com/m/{k}", page(own, f"<p>seen {k} times</p>")) for k in range(6)]
+    rows += [(16, "http://b.com/z", page(other))]
+    rows += [(20 + k, f"http://c.com/{k}", page([], f"<p>{'menu ' * 90}</p><p>short text of page {k}</p>")) for k in range(4)]
+    rows += [(30 + k, f"http://d.com/{k}", page(own, f"<p>{k}</p>")) for k in range(4)]
+    got = {r.page_id: r.text for r in web_text.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == len(rows)
+    for k in range(5):
+        assert got[k] == " ".join(own)
+    for k in range(6):
+        assert got[10 + k] == " ".join([*own, f"seen {k} times"])
+    assert got[5] == got[16] == " ".join(other)
+    for k in range(4):
+        assert got[20 + k] == f"short text of page {k}"
+        assert got[30 + k] == " ".join(["Site name", "All our topics", *own, str(k), "Copyright us"])
 
 
 def test_references_are_decoded_once():

@@ -293,31 +293,49 @@ def _line_key(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-PAGES = (
-    "page_id bigint, url string, lines binary, declared array<boolean>, keys array<bigint>, "
-    "sizes array<int>"
-)
+OUTLINES = "url string, outline binary, keys array<bigint>, sizes array<int>"
+PAGES = "page_id bigint, url string, outline binary, lines binary, declared array<boolean>"
 TEXTS = "page_id bigint, url string, text string"
 SEPARATOR = "\n"
 
 
+def _outline(keys: list[int]) -> bytes:
+    return hashlib.blake2b(np.array(keys, "<i8").tobytes(), digest_size=16).digest()
+
+
 def _outlines(batches):
-    """Lines, line keys and line lengths of every page. The lines are packed, as they are shuffled."""
+    """Line keys and line lengths of every page that has lines."""
+    for batch in slices(batches):
+        _, urls, pages = batch.columns
+        parsed = [page_lines(p) for p in pages.to_pylist()]
+        keys = [[_line_key(t) for t, _ in p] for p in parsed]
+        rows = pa.RecordBatch.from_arrays(
+            [
+                urls,
+                pa.array([_outline(k) for k in keys], pa.binary()),
+                pa.array(keys, pa.list_(pa.int64())),
+                pa.array([[len(t) for t, _ in p] for p in parsed], pa.list_(pa.int32())),
+            ],
+            ["url", "outline", "keys", "sizes"],
+        )
+        yield rows.filter(pa.array([bool(k) for k in keys], pa.bool_()))
+
+
+def _packed_lines(batches):
+    """Lines of every page, packed, as they are shuffled."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in slices(batches):
         ids, urls, pages = batch.columns
         parsed = [page_lines(p) for p in pages.to_pylist()]
-        pack = zstandard.ZstdCompressor(level=3).compress
-        lines = [pack(SEPARATOR.join(t for t, _ in p).encode()) for p in parsed]
         yield pa.RecordBatch.from_arrays(
             [
                 ids,
                 urls,
-                pa.array(lines, pa.binary()),
+                pa.array([_outline([_line_key(t) for t, _ in p]) for p in parsed], pa.binary()),
+                pa.array([pack(SEPARATOR.join(t for t, _ in p).encode()) for p in parsed], pa.binary()),
                 pa.array([[d for _, d in p] for p in parsed], pa.list_(pa.bool_())),
-                pa.array([[_line_key(t) for t, _ in p] for p in parsed], pa.list_(pa.int64())),
-                pa.array([[len(t) for t, _ in p] for p in parsed], pa.list_(pa.int32())),
             ],
-            ["page_id", "url", "lines", "declared", "keys", "sizes"],
+            ["page_id", "url", "outline", "lines", "declared"],
         )
 
 
@@ -329,24 +347,54 @@ def _path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1), "/+$", "")
 
 
-def nearest_pages(pages: DataFrame, key: str = "row", url: str = "url") -> DataFrame:
-    """(``row``, ``near``): the pages next before and after each page of a host, by URL path.
-
-    Pages are cut into ranges of (host, path, key) and sorted inside them, so a
-    host with a third of all pages spreads over many tasks. The ends of ranges
-    meet in one row per range. Pages without a URL have no neighbours.
-    """
+def _addresses(pages: DataFrame, key: str, url: str) -> DataFrame:
+    """Host, path and row of each page with a URL, stored in ``part`` ranges of that order."""
     address = F.coalesce(F.col(url), F.lit(""))
     narrow = pages.select(
         _host(address).alias("host"), _path(address).alias("path"), F.col(key).alias("row")
     ).where("host != ''")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stored(
+    return stored(
         narrow.repartitionByRange(parts, "host", "path", "row").withColumn(
             "part", F.spark_partition_id()
         ),
         "addresses",
     )
+
+
+def _steps(own: str, other: str) -> Column:
+    """Path segments shared with a page of the same host; null for other hosts."""
+    mine, theirs = F.split(F.col(own)["path"], "/"), F.split(F.col(other)["path"], "/")
+    same = F.zip_with(mine, theirs, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    at = F.coalesce(F.array_position(same, False), F.lit(0))
+    return F.when(F.col(other)["host"] == F.col(own)["host"], F.when(at == 0, 1 << 20).otherwise(at))
+
+
+def _beside(places: DataFrame, names: tuple[str, ...] = ("before", "after")) -> DataFrame:
+    """(``row``, ``near``, ``steps``, ``k``) of the pages of the same host beside ``own``."""
+    near = [
+        F.when(
+            _steps("own", c).isNotNull(),
+            F.struct(_steps("own", c).alias("steps"), F.col(c)["row"].alias("near"), F.lit(k).alias("k")),
+        )
+        for k, c in enumerate(names)
+    ]
+    return places.select(
+        F.col("own.row").alias("row"), F.explode(F.array_compact(F.array(*near))).alias("n")
+    ).select("row", "n.near", "n.steps", "n.k")
+
+
+def nearest_pages(pages: DataFrame, key: str = "row", url: str = "url") -> DataFrame:
+    """(``row``, ``near``): the pages next before and after each page of a host, by URL path.
+
+    Pages are cut into ranges of (host, path, key) and sorted inside them, so a
+    host with a third of all pages spreads over many tasks. The ends of ranges
+    meet in one row per range. Pages without a URL have no neighbours.
+    """
+    return _neighbours(_addresses(pages, key, url))
+
+
+def _neighbours(placed: DataFrame) -> DataFrame:
     order = Window.partitionBy("part").orderBy("host", "path", "row")
     place = F.struct("host", "path", "row")
     inside = placed.select(
@@ -368,62 +416,105 @@ def nearest_pages(pages: DataFrame, key: str = "row", url: str = "url") -> DataF
         F.coalesce("before", "ahead").alias("before"),
         F.coalesce("after", "behind").alias("after"),
     )
+    return _beside(joined)
 
-    def common(column: str) -> Column:
-        """Path segments shared with a neighbour of the same host; null for other hosts."""
-        mine, theirs = F.split("own.path", "/"), F.split(F.col(column)["path"], "/")
-        same = F.zip_with(mine, theirs, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.when(
-            F.col(column)["host"] == F.col("own.host"),
-            F.coalesce(F.array_position(same, False), F.lit(0)),
-        )
 
-    def steps(column: str) -> Column:
-        at = common(column)
-        return F.when(at == 0, 1 << 20).otherwise(at)
-
-    return joined.select(
-        F.col("own.row").alias("row"),
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            common(c).isNotNull(),
-                            F.struct(
-                                steps(c).alias("steps"), F.col(c)["row"].alias("near"), F.lit(k).alias("k")
-                            ),
-                        )
-                        for k, c in enumerate(("before", "after"))
-                    ]
-                )
-            )
-        ).alias("n"),
-    ).select("row", "n.near", "n.steps", "n.k")
+def _past_copies(placed: DataFrame, copies: DataFrame) -> DataFrame:
+    """Like ``nearest_pages``, but past runs of copies; ``copies``: rows that copy the page before."""
+    by_part = Window.orderBy("part")
+    order = Window.partitionBy("part").orderBy("host", "path", "row")
+    flagged = placed.join(
+        copies.select("row", F.lit(0).alias("start")), "row", "left"
+    ).withColumn("start", F.coalesce("start", F.lit(1)))
+    ahead = flagged.groupBy("part").agg(F.sum("start").alias("n")).select(
+        "part", (F.sum("n").over(by_part) - F.col("n")).alias("ahead")
+    )
+    numbered = stored(
+        flagged.withColumn("run", F.sum("start").over(order))
+        .join(ahead, "part")
+        .select(F.struct("host", "path", "row").alias("own"), (F.col("run") + F.col("ahead")).alias("run")),
+        "runs",
+    )
+    runs = numbered.groupBy("run").agg(F.min("own").alias("first"), F.max("own").alias("last"))
+    return _beside(
+        numbered.join(runs.select((F.col("run") + 1).alias("run"), F.col("last").alias("before")), "run", "left")
+        .join(runs.select((F.col("run") - 1).alias("run"), F.col("first").alias("after")), "run", "left")
+    )
+
+
+def _met(near: DataFrame, outlines: DataFrame) -> DataFrame:
+    """Own keys and sizes of each row of ``near``, and those of its near pages in order."""
+    others = (
+        near.join(outlines.select(F.col("row").alias("near"), "keys", "total"), "near")
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct("far", -F.col("steps"), "k", "near", "keys", "total"))).alias("o"))
+        .select("row", F.transform("o", lambda o: F.struct(*(o[c].alias(c) for c in ("far", "k", "keys", "total")))).alias("others"))
+    )
+    return outlines.join(others, "row").select("row", "keys", "sizes", "others")
 
 
-def _template(own, sizes, others, copy_share):
-    """Positions of the lines that the first fitting page of ``others`` shares."""
-    for other in others or []:
-        shared = shared_lines(own, other["keys"])
-        if shared and sum(sizes[i] for i in shared) <= copy_share * sum(sizes):
-            return set(shared)
-    return set()
+MET = "row bigint, gone array<int>, copied boolean"
 
 
-def _without_shared(batches, copy_share):
-    """Texts of pages without the lines that a nearest page shares, where markup does not object."""
+def _first_shared(batches, copy_share):
+    """Lines that a page beside shares; null where none tells. Whether the page after is a copy."""
     for batch in slices(batches):
-        *keep, lines, declared, keys, sizes, others = batch.columns
+        rows, *columns = batch.columns
+        found, copied = [], []
+        for own, sizes, others in zip(*(c.to_pylist() for c in columns)):
+            total, gone, copy = sum(sizes), None, False
+            for other in others:
+                shared = shared_lines(own, other["keys"])
+                size = sum(sizes[i] for i in shared)
+                if other["k"] == 1:
+                    copy = size > copy_share * max(total, other["total"])
+                if gone is None and shared and size <= copy_share * total:
+                    gone = shared
+            found.append(gone)
+            copied.append(copy)
+        yield pa.RecordBatch.from_arrays(
+            [rows, pa.array(found, pa.list_(pa.int32())), pa.array(copied, pa.bool_())],
+            ["row", "gone", "copied"],
+        )
+
+
+def _later_shared(batches, copy_share):
+    """The same for pages with none but copies beside them: past the copies, or by two other pages."""
+    for batch in slices(batches):
+        rows, *columns = batch.columns
+        found = []
+        for own, sizes, others in zip(*(c.to_pylist() for c in columns)):
+            total, gone, seen = sum(sizes), None, [0] * len(own)
+            for other in others:
+                shared = shared_lines(own, other["keys"])
+                size = sum(sizes[i] for i in shared)
+                if other["far"] == 0 and shared and size <= copy_share * total:
+                    gone = shared
+                    break
+                for i in shared:
+                    seen[i] += 1
+            if gone is None:
+                gone = [i for i, n in enumerate(seen) if n > 1]
+                if total - sum(sizes[i] for i in gone) < LEAST_MOST:
+                    gone = []  # copies but for a date or a number, not a text under a template
+            found.append(gone)
+        yield pa.RecordBatch.from_arrays(
+            [rows, pa.array(found, pa.list_(pa.int32())), pa.nulls(len(found), pa.bool_())],
+            ["row", "gone", "copied"],
+        )
+
+
+def _texts(batches):
+    """Texts of pages without the lines that are gone, where markup does not object."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches):
+        *keep, lines, declared, gone = batch.columns
         texts = []
-        unpack = zstandard.ZstdDecompressor().decompress
-        for packed, marks, own, size, near in zip(
-            *(c.to_pylist() for c in (lines, declared, keys, sizes, others))
-        ):
-            gone = _template(own, size, near, copy_share)
-            text = unpack(packed).decode().split(SEPARATOR) if own else []
+        for packed, marks, out in zip(*(c.to_pylist() for c in (lines, declared, gone))):
+            text = unpack(packed).decode().split(SEPARATOR) if marks else []
+            out = set(out or ())
             # Markup has the last word on a line: declared ones stay, and the others go beside them.
-            kept = marks if any(marks) else [i not in gone for i in range(len(own))]
+            kept = marks if any(marks) else [i not in out for i in range(len(text))]
             texts.append(" ".join(t for t, k in zip(text, kept) if k))
         yield pa.RecordBatch.from_arrays(
             [*keep, pa.array(texts, pa.string())], ["page_id", "url", "text"]
@@ -441,27 +532,63 @@ def main_text(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
     their lines are aligned by a longest common subsequence, and shared lines
     are deleted as template. Markup then confirms or vetoes single lines: those
     inside an element that declares main text (article, main) stay, shared or
-    not, and beside them the others go. A neighbour that shares no line tells
-    nothing, and one that shares more than ``copy_share`` of the page's
-    characters is a copy, not a template: then the page on the other side is
-    taken, if any. Only line keys of neighbours are joined.
+    not, and beside them the others go. Pages of a host
+    with equal lines count as one, at the least of their addresses. A neighbour
+    that shares no line tells nothing, and one that shares more than
+    ``copy_share`` of the page's characters may be a copy: then the nearest
+    pages past the run of copies are taken. Where these do not tell either, the
+    lines go that two other pages share, unless next to nothing would be left.
+    Only line keys of neighbours are joined.
 
     A null html gives an empty text. Pages with a null or odd URL have no
     neighbours. Null or repeated ids and repeated rows each keep their row.
     Other columns are ignored. An empty table gives an empty result.
     """
-    read = stored(
-        pages.select("page_id", "url", "html").mapInArrow(_outlines, PAGES), "pages"
-    ).withColumn("row", F.monotonically_increasing_id())
-    near = nearest_pages(read.select("row", "url"))
-    others = (
-        near.join(read.select(F.col("row").alias("near"), "keys"), "near")
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct(-F.col("steps"), "k", "keys"))).alias("others"))
-        .select("row", F.transform("others", lambda o: F.struct(o["keys"].alias("keys"))).alias("others"))
+    source = pages.select("page_id", "url", "html")
+    host = _host(F.coalesce("url", F.lit("")))
+    outlines = stored(
+        source.mapInArrow(_outlines, OUTLINES)
+        .withColumn("host", host)
+        .where("host != ''")
+        .groupBy("host", "outline")
+        .agg(
+            F.min(F.struct(_path(F.col("url")).alias("path"), "url")).alias("at"),
+            F.first("keys").alias("keys"),
+            F.first("sizes").alias("sizes"),
+        )
+        .select("host", "outline", "at.url", "keys", "sizes")
+        .withColumn("total", F.aggregate("sizes", F.lit(0), lambda n, x: n + x))
+        .withColumn("row", F.monotonically_increasing_id()),
+        "outlines",
+    )
+    placed = _addresses(outlines, "row", "url")
+    near = stored(_neighbours(placed).withColumn("far", F.lit(0)), "near")
+    first = stored(
+        _met(near, outlines).mapInArrow(lambda batches: _first_shared(batches, copy_share), MET), "first"
+    )
+    open_rows = first.where("gone IS NULL").select("row")
+    copies = (
+        near.where("k = 1").join(first.where("copied"), "row").select(F.col("near").alias("row"))
+    )
+    past = _past_copies(placed, copies).join(open_rows, "row", "left_semi").withColumn("far", F.lit(0))
+    beside = near.join(open_rows, "row", "left_semi").withColumn("far", F.lit(1))
+    beyond = beside.select("row", F.col("near").alias("mid"), "k").join(
+        near.select(F.col("row").alias("mid"), "near", "steps", "k"), ["mid", "k"]
+    ).select("row", "near", "steps", "k", F.lit(2).alias("far"))
+    candidates = (
+        past.unionByName(beside).unionByName(beyond)
+        .groupBy("row", "near")
+        .agg(F.min("far").alias("far"), F.max("steps").alias("steps"), F.min("k").alias("k"))
+    )
+    later = _met(candidates, outlines).mapInArrow(
+        lambda batches: _later_shared(batches, copy_share), MET
     )
+    gone = first.unionByName(later).where("size(gone) > 0").select("row", "gone")
+    template = outlines.select("row", "host", "outline").join(gone, "row").drop("row")
     return (
-        read.join(others, "row", "left")
-        .select("page_id", "url", "lines", "declared", "keys", "sizes", "others")
-        .mapInArrow(lambda batches: _without_shared(batches, copy_share), TEXTS)
+        source.mapInArrow(_packed_lines, PAGES)
+        .withColumn("host", host)
+        .join(template, ["host", "outline"], "left")
+        .select("page_id", "url", "lines", "declared", "gone")
+        .mapInArrow(_texts, TEXTS)
     )
