@@ -395,14 +395,14 @@ def full_backtest(spark, sf):
 
 @query("permutation_test")
 def permutation_test(spark, sf):
-    """Four strategies against five shuffles each."""
-    return pm.permutation_test(frame(spark, sf), n_perm=5, chunk=48)
+    """Four strategies against 200 shuffles each."""
+    return pm.permutation_test(frame(spark, sf), n_perm=200)
 
 
 @query("permutation_search")
 def permutation_search(spark, sf):
     scored = pm.walk_forward_scores(
-        frame(spark, sf), fx.PRICE_FEATURES, 5, "symbol_block", 42, chunk=48
+        frame(spark, sf), fx.ENHANCED_FEATURES, 200, "symbol_block", 42
     )
     return pm.permutation_search(cut_lineage(scored))
 
