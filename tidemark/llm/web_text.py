@@ -538,7 +538,8 @@ def main_text(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
     ``copy_share`` of the page's characters may be a copy: then the nearest
     pages past the run of copies are taken. Where these do not tell either, the
     lines go that two other pages share, unless next to nothing would be left.
-    Only line keys of neighbours are joined.
+    Only line keys of neighbours are joined; packed lines meet the positions that
+    go, once.
 
     A null html gives an empty text. Pages with a null or odd URL have no
     neighbours. Null or repeated ids and repeated rows each keep their row.
