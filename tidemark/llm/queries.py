@@ -14,11 +14,14 @@ from tidemark.llm import (
     exact,
     language,
     language_model,
+    merkle,
     near_text,
     near_vectors,
     packing,
     token_files,
     web_text,
+    weighted_samples,
+    whitening,
 )
 from tidemark.llm.common import fold
 
@@ -187,3 +190,100 @@ def op10_packing(spark, sf_dir):
         end_id=0,
         window=1024,
     )
+
+
+@query()
+def op11_document_fingerprints(spark, sf_dir):
+    rows = weighted_samples.neighbour_likeness(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("fp")).alias("fingerprint"),
+        F.lower(F.hex("edited_fp")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+#: What tampering does to a text.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Trees of up to ``16 ** levels`` leaves, a level at a time."""
+
+    def fields(text: str) -> str:
+        values = ["doc_id", "source", "lang", "n_chars", text]
+        sized = [
+            f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}::VARCHAR) || ':' || {v} END"
+            for v in values
+        ]
+        return f"sha256({' || '.join(sized)})"
+
+    lowered = f"translate(text, '{UPPER}', '{LOWER}')"
+    steps = [
+        f"""
+    crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(
+        list_concat([i], range(8)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+    marked AS (SELECT *, xor(list_reduce(
+            list_concat([4294967295], list_transform(
+                string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 5 = 0 AS tampered
+        FROM documents, crc_table),
+    hashed AS (SELECT doc_id, source, {fields('text')} AS h,
+            CASE WHEN tampered THEN {fields(lowered)} ELSE {fields('text')} END AS claim
+        FROM marked),
+    s0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+            dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp FROM hashed),
+    f0 AS (SELECT doc_id, grp, pos, h AS leaf, claim AS cur, '' AS proof FROM s0)"""
+    ]
+
+    def climb(tree: str, rows: str, fold: str, carried: str) -> None:
+        for k in range(levels):
+            steps.append(
+                f"""
+    {tree}r{k} AS (SELECT grp, pos // 16 AS run, string_agg(h, '' ORDER BY pos) AS s,
+            any_value(alone) AS alone
+        FROM (SELECT *, count(*) OVER (PARTITION BY grp) = 1 AS alone FROM {rows}{k}) GROUP BY ALL),
+    {rows}{k + 1} AS (SELECT grp, run AS pos, CASE WHEN alone THEN s ELSE sha256(s) END AS h
+        FROM {tree}r{k}),
+    {fold}{k + 1} AS (SELECT {carried}, grp, pos // 16 AS pos,
+            CASE WHEN alone THEN cur
+                ELSE sha256(s[:64 * (pos % 16)] || cur || s[64 * (pos % 16) + 65:]) END AS cur,
+            CASE WHEN alone THEN proof
+                ELSE proof || s[:64 * (pos % 16)] || s[64 * (pos % 16) + 65:] END AS proof
+        FROM {fold}{k} JOIN {tree}r{k} USING (grp) WHERE pos // 16 = run)"""
+            )
+
+    climb("a", "s", "f", "doc_id, leaf")
+    steps.append(
+        f"""
+    t0 AS (SELECT 0 AS grp, grp AS pos, h FROM s{levels}),
+    g0 AS (SELECT doc_id, leaf, h AS subroot, 0 AS grp, f.grp AS pos, cur, proof
+        FROM f{levels} f JOIN s{levels} s ON f.grp = s.grp)"""
+    )
+    climb("b", "t", "g", "doc_id, leaf, subroot")
+    return f"""
+    WITH {','.join(steps)}
+    SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256,
+        cur AS folded_root, cur = h AS verified
+    FROM g{levels}, t{levels}
+    """
+
+
+@query(_merkle_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    leaves = merkle.document_leaves(
+        table(spark, sf_dir, "documents"),
+        {"text": F.translate("text", UPPER, LOWER)},
+        fold(F.col("doc_id"), 5) == 0,
+    )
+    return merkle.verify_leaves(merkle.manifest(leaves))
+
+
+@query()
+def op13_embedding_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors))
