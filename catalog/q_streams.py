@@ -68,7 +68,6 @@ def streamed_documents(spark, sf):
         f"{base}/scores",
         dc.lexicon_scorer(v.POSITIVE, v.NEGATIVE),
         f"{base}/checkpoint",
-        state_partitions=_cores(spark),
     )
     started.awaitTermination()
     docs = jobs.stored(spark, f"{base}/documents").select("doc_id", "url")
@@ -112,7 +111,7 @@ def rolling_mentions(spark, sf):
     jobs.rolling_mentions_stream(
         named, f"{base}/updates", f"{base}/checkpoint2", _cores(spark)
     ).awaitTermination()
-    rows = jobs.current(spark, f"{base}/updates", ["window_end", "alias"])
+    rows = jobs.current_mentions(spark, f"{base}/updates")
     return rows.withColumn("mean_lex", F.round("mean_lex", 6))
 
 
@@ -128,7 +127,7 @@ def bars_from_ticks(spark, sf):
     jobs.bars_stream(
         ticks, f"{base}/updates", f"{base}/checkpoint", state_partitions=_cores(spark)
     ).awaitTermination()
-    return jobs.current(spark, f"{base}/updates", ["symbol", "start"])
+    return jobs.current_bars(spark, f"{base}/updates")
 
 
 @query(
@@ -150,4 +149,4 @@ def backfilled_documents(spark, sf):
         ("1997-06-10", "1999-01-01"),
     ):
         jobs.backfill(canonical, store, start, end, 14)
-    return spark.read.parquet(store).select("slice", "doc_id")
+    return jobs.backfill_table(spark, store, canonical.schema).read().select("slice", "doc_id")

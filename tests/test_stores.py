@@ -35,7 +35,7 @@ def test_backfill_leaves_one_row_per_url(spark, ranges):
     copies = docs.where("doc_id = '3'").withColumn("doc_ts", F.expr("doc_ts + INTERVAL 20 DAYS"))
     for start, end in ranges:
         jobs.backfill(docs.unionByName(copies), store, start, end, 14)
-    rows = spark.read.parquet(store).collect()
+    rows = jobs.backfill_table(spark, store, docs.schema).read().collect()
     assert sorted(r.url for r in rows) == sorted(f"u{k}" for k in range(40))
     assert all((r.slice - dt.date(1970, 1, 1)).days % 14 == 0 for r in rows)
 
