@@ -7,10 +7,21 @@ import re
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: How a text may be cut before a tokenizer without changing its ids.
 #: Byte-level patterns break before a blank that follows a word; patterns that
 #: drop white space break at every blank.
 CUTS = {"kept": re.compile(r"[ \n]*[^ \n]+|[ \n]+"), "dropped": re.compile(r"[^ \n]+")}
+#: Where a tokenizer that lower-cases and splits runs of letters, digits and other signs
+#: always cuts a chunk, by signs that every version of Unicode classes alike.
+_LETTER, _SIGN = "a-zß-öø-ɏÀ-ÖØ-Þ", r"!-/:-@\[-`{-~"
+FINE = re.compile(
+    rf"[{_LETTER}]+(?=[0-9{_SIGN}]|\Z)|[0-9]+(?=[a-z{_SIGN}]|\Z)|[!-&(-/:-@\[-`{{-~]+(?=[a-z0-9]|\Z)|.+",
+    re.S,
+)
 #: White space besides blank and line feed, by any version of Unicode; a text with it goes through whole.
 RARE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
 
@@ -19,9 +30,10 @@ class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     A text is cut where the tokenizer itself always cuts, and each distinct
-    chunk is encoded once while it stays in the cache. The cache is emptied when
-    its keys exceed ``cache_chars`` characters; this bounds memory and changes
-    no result.
+    chunk is encoded once while it stays in the cache. Where blanks are dropped
+    (and case with them), a new chunk is put together from its words and signs,
+    which more chunks share. The cache is emptied when its keys exceed
+    ``cache_chars`` characters; this bounds memory and changes no result.
     """
 
     def __init__(self, path: str, blanks: str, cache_chars: int = 14_000_000):
@@ -33,12 +45,24 @@ class ChunkEncoder:
         self.cut, self.guard = CUTS[blanks].findall, blanks == "kept"
         self.cache_chars, self.held, self.known = cache_chars, 0, {}
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _encode(self, chunks: list[str]) -> None:
         self.held += sum(map(len, chunks))
         encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         for chunk, code in zip(chunks, encoded):
             self.known[chunk] = array("I", code.ids).tobytes()
 
+    def _learn(self, chunks: list[str]) -> None:
+        if self.guard:
+            return self._encode(chunks)
+        split = FINE.findall
+        pieces = [split(c.encode().lower().decode()) for c in chunks]
+        self._encode(list(set().union(*pieces).difference(self.known)))
+        find = self.known.__getitem__
+        for chunk, parts in zip(chunks, pieces):
+            if chunk not in self.known:
+                self.known[chunk] = b"".join(map(find, parts))
+                self.held += len(chunk)
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -58,6 +82,33 @@ class ChunkEncoder:
         ]
 
 
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has; null counts as empty."""
+        if self.guard:
+            codes = self.encode(texts.to_pylist())
+            return np.frombuffer(b"".join(codes), "<u4"), np.array([len(c) // 4 for c in codes])
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        found = split.flatten().dictionary_encode()
+        words, at = found.dictionary, found.indices.to_numpy()
+        every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        chunks = pc.binary_join(every, "\n")[0].as_py().split("\n")[: len(words)]
+        if self.held > self.cache_chars:
+            self.known, self.held = {}, 0
+        codes = list(map(self.known.get, chunks))
+        new = [i for i, c in enumerate(codes) if c is None]
+        self._learn([chunks[i] for i in new])
+        for i in new:
+            codes[i] = self.known[chunks[i]]
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        first = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        place = np.repeat(first[at] - (ends - n), n) + np.arange(int(n.sum()))
+        ids = np.frombuffer(b"".join(codes), "<u4")[place]
+        upto = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(upto)
+
+
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 

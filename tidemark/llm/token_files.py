@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tidemark.llm.chunks import encoder
 from tidemark.llm.common import slices
 from tidemark.session import shared_dir
 
+_PIECE = 4 << 20
 FILE_SCHEMA = "part int, pos bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 
 
@@ -27,22 +29,36 @@ def id_list(encoded: list[bytes]) -> pa.Array:
     )
 
 
+def _pieces(batches):
+    """Batches of some megabytes of text, or one row."""
+    for batch in slices(batches, 2048):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PIECE, "right"))
+            until = max(until, at + 1)
+            yield batch.slice(at, until - at)
+            at = until
+
+
 def _encode(batches, path, blanks, end_id):
     from pyspark import TaskContext
 
     part, pos = TaskContext.get().partitionId(), 0
-    end = np.array([end_id], "<u4").tobytes()
-    for batch in slices(batches):
+    for batch in _pieces(batches):
         ids, texts = batch.columns
-        encoded = [e + end for e in encoder(path, blanks).encode(texts.to_pylist())]
-        n = len(encoded)
+        codes, sizes = encoder(path, blanks).encode_flat(texts)
+        ends = np.cumsum(sizes)
+        codes = np.insert(codes.astype(np.int32), ends, end_id)
+        n = len(sizes)
+        offsets = np.concatenate(([0], ends + np.arange(1, n + 1))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n, part, np.int32)),
                 pa.array(np.arange(pos, pos + n)),
                 ids,
-                pa.array([len(e) // 4 for e in encoded], pa.int64()),
-                id_list(encoded),
+                pa.array(sizes + 1),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes)),
             ],
             ["part", "pos", "doc_id", "n_tokens", "ids"],
         )
