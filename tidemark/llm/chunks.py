@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 #: Byte-level patterns break before a blank that follows a word; patterns that
 #: drop white space break at every blank.
 CUTS = {"kept": re.compile(r"[ \n]*[^ \n]+|[ \n]+"), "dropped": re.compile(r"[^ \n]+")}
+CACHE_CHARS = {"kept": 14_000_000, "dropped": 9_000_000}
 #: Where a tokenizer that lower-cases and splits runs of letters, digits and other signs
 #: always cuts a chunk, by signs that every version of Unicode classes alike.
 _LETTER, _SIGN = "a-zß-öø-ɏÀ-ÖØ-Þ", r"!-/:-@\[-`{-~"
@@ -36,14 +37,14 @@ class ChunkEncoder:
     ``cache_chars`` characters; this bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, blanks: str, cache_chars: int = 14_000_000):
+    def __init__(self, path: str, blanks: str, cache_chars: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut, self.guard = CUTS[blanks].findall, blanks == "kept"
-        self.cache_chars, self.held, self.known = cache_chars, 0, {}
+        self.cache_chars, self.held, self.known = cache_chars or CACHE_CHARS[blanks], 0, {}
 
     def _encode(self, chunks: list[str]) -> None:
         self.held += sum(map(len, chunks))

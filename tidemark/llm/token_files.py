@@ -16,7 +16,7 @@ from tidemark.llm.chunks import encoder
 from tidemark.llm.common import slices
 from tidemark.session import shared_dir
 
-_PIECE = 4 << 20
+_PIECE = 2 << 20
 FILE_SCHEMA = "part int, pos bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 
 
