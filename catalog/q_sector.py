@@ -16,7 +16,6 @@ SECTOR = "N3"
 KEYWORDS = {
     f"N{k}": (v.TICKERS[k % len(v.TICKERS)], v.NAMES[k % len(v.NAMES)]) for k in range(25)
 }
-TERMS = v.TICKERS + v.NAMES
 
 
 def _present(low: str, terms) -> str:
@@ -110,7 +109,6 @@ def outlook(spark, sf, sector=None):
         v.bars(spark, sf),
         v.company(spark, sf),
         terms,
-        TERMS,
         v.edges(spark, sf),
         v.AS_OF,
         sector,

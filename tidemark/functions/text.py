@@ -28,37 +28,34 @@ def joined_parts(*parts: Column) -> Column:
     return F.concat_ws(" ", *[F.when(p != "", p) for p in parts])
 
 
-_WORD_AND_GAP = rf"({WORD}+)([^\p{{L}}\p{{N}}_]*)"
+def distinct_words(text: Column) -> Column:
+    """The distinct words of a text, as they are spelled."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({WORD}+)"), F.lit(1)))
 
 
-def word_count(text: Column) -> Column:
-    """Number of words in a text."""
-    return F.regexp_count(text, F.lit(WORD + "+"))
+def cased_words(text: Column) -> Column:
+    """Structs of ``word`` as spelled, ``low`` in lower case, and ``lowered``: whether the
+    lower-cased text holds ``low`` as a word.
 
-
-def word_runs(text: Column, sizes: Sequence[int]) -> Column:
-    """Distinct stretches of a text that start and end with a word, of each number of words.
-
-    What lies between the words (blanks, dots, ampersands) is part of a stretch
-    as it is, so a stretch equals a term exactly where the term stands in the text.
+    Lower-casing depends on what stands around a letter for two letters only
+    (the dotted I, which gains a mark, and sigma): texts that hold them give
+    the words of the lower-cased text besides, without a ``word``.
     """
-    parts = [F.regexp_extract_all(text, F.lit(_WORD_AND_GAP), F.lit(k)) for k in (1, 2)]
-    whole = F.zip_with(*parts, lambda word, gap: F.concat(word, gap))
-    runs, out = parts[0], []
-    for size in range(1, max(sizes, default=0) + 1):
-        if size > 1:
-            # One word more in front of every stretch but the first.
-            tail = F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0)))
-            head = F.slice(whole, 1, F.size(tail))
-            runs = F.zip_with(head, tail, lambda a, b: F.concat(a, b))
-        if size in sizes:
-            out.append(runs)
-    return F.array_distinct(F.concat(*out)) if out else F.array().cast("array<string>")
-
-
-def core_of(term: Column) -> Column:
-    """A term from its first word to its last; empty if it has no word."""
-    return F.regexp_extract(term, rf"(?s){WORD}(?:.*{WORD})?", 0)
+    odd = text.rlike("[\u0130\u03a3]")
+
+    def spelled(lowered: bool) -> Column:
+        return F.transform(
+            distinct_words(text),
+            lambda w: F.struct(w.alias("word"), F.lower(w).alias("low"), F.lit(lowered).alias("lowered")),
+        )
+
+    low = F.transform(
+        distinct_words(F.lower(text)),
+        lambda w: F.struct(
+            F.lit(None).cast("string").alias("word"), w.alias("low"), F.lit(True).alias("lowered")
+        ),
+    )
+    return F.when(odd, F.concat(spelled(False), low)).otherwise(spelled(True))
 
 
 def whole_term(term: Column) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fx
+from tidemark.core.sides import small_side
 from tidemark.functions import text as tx
 from tidemark.functions import urls
+from tidemark.session import cut_lineage
 
 
 def event_time(df: DataFrame) -> DataFrame:
@@ -314,65 +316,96 @@ def scores_for(docs: DataFrame, scores: DataFrame, model: str, name: str = "scor
     return docs.join(picked, "doc_id", "left")
 
 
-def mentions(docs: DataFrame, aliases: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Distinct (doc_id, alias) pairs, with whether the ticker itself was found.
-
-    ``aliases`` holds (alias, ticker, name): the ticker matches in its original
-    case, the name in lower-cased text, and no word character may touch either.
-    Texts are cut once into stretches of as many words as the terms have, and
-    only (document, stretch) rows meet the terms, by equality; so the cost does
-    not grow with the number of companies, and names may have any length or
-    punctuation. Terms that begin or end with punctuation are found by their
-    core and then checked in the text. Terms without a word match nothing.
-    ``keep`` names columns of ``docs`` to add to the pairs.
-
-    The distinct numbers of words of the terms come to the driver.
-    """
+def mention_terms(aliases: DataFrame) -> DataFrame:
+    """Ticker and lower-cased name of each alias, with its distinct words; terms without a word go."""
     tickers = aliases.select("alias", F.col("ticker").alias("term"), F.lit(1).alias("by_ticker"))
     names = aliases.select("alias", F.lower("name").alias("term"), F.lit(0).alias("by_ticker"))
-    terms = (
+    return (
         tickers.unionByName(names)
-        .withColumn("core", tx.core_of(F.col("term")))
-        .where(F.col("core") != "")
+        .distinct()
+        .withColumn("words", tx.distinct_words(F.col("term")))
+        .where(F.size("words") > 0)
     )
-    shapes = terms.select(
-        "by_ticker", tx.word_count(F.col("core")).alias("n"), (F.col("core") != F.col("term")).alias("edged")
-    ).distinct().collect()
-    sizes = {k: sorted({r["n"] for r in shapes if r["by_ticker"] == k}) for k in (0, 1)}
-    text = tx.headline_and_body(F.col("title"), F.col("body"))
 
-    def tagged(source: Column, by_ticker: int) -> Column:
-        return F.transform(
-            tx.word_runs(source, sizes[by_ticker]),
-            lambda t: F.struct(t.alias("core"), F.lit(by_ticker).alias("by_ticker")),
-        )
 
-    found = (
-        docs.select("doc_id", F.explode(F.concat(tagged(text, 1), tagged(F.lower(text), 0))).alias("f"))
-        .select("doc_id", "f.core", "f.by_ticker")
-        .join(terms, ["core", "by_ticker"])
+def term_words(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, word, by_ticker) where a document holds a word of the terms.
+
+    A document is exploded into its distinct words once, as they are spelled:
+    words of tickers meet them in that case, words of names in lower case.
+    """
+    vocabulary = (
+        terms.select(F.explode("words").alias("word"), "by_ticker")
+        .distinct()
+        .withColumn("__low", F.lower("word"))
     )
-    exact = found.where(F.col("core") == F.col("term")).select("doc_id", "alias", "by_ticker")
-    if any(r["edged"] for r in shapes):
-        read = F.when(F.col("by_ticker") == 1, F.col("__text")).otherwise(F.lower("__text"))
-        exact = exact.unionByName(
-            found.where(F.col("core") != F.col("term"))
-            .join(docs.select("doc_id", text.alias("__text")), "doc_id")
-            .where(F.regexp_like(read, tx.whole_term(F.col("term"))))
-            .select("doc_id", "alias", "by_ticker")
+    text = tx.headline_and_body(F.col("title"), F.col("body"))
+    return (
+        docs.select("doc_id", F.explode(tx.cased_words(text)).alias("__w"))
+        .select("doc_id", F.col("__w.low").alias("__low"), "__w.lowered", F.col("__w.word").alias("__word"))
+        .join(small_side(vocabulary), "__low")
+        .where(
+            F.when(F.col("by_ticker") == 1, F.col("word") == F.col("__word")).otherwise(F.col("lowered"))
         )
-    named = exact.groupBy("doc_id", "alias").agg(F.max("by_ticker").alias("by_ticker"))
-    return named.join(docs.select("doc_id", *keep), "doc_id") if keep else named
+        .select("doc_id", "word", "by_ticker")
+    )
 
 
-def mentions_ticker(text: Column, symbol: str) -> Column:
-    """Whether original-case text holds the ticker as a whole word."""
-    return text.rlike(rf"(?<!{tx.WORD})\Q{symbol.upper()}\E(?!{tx.WORD})")
+def rarest_words(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """Each term with its anchor, the word that the fewest rows of ``found`` hold.
 
+    A term with a word that no document holds is left out.
+    """
+    counts = found.groupBy("word", "by_ticker").agg(F.count(F.lit(1)).alias("n"))
+    plain = (F.size("words") == 1) & (F.col("words")[0] == F.col("term"))
+    return (
+        terms.select("alias", "term", "by_ticker", plain.alias("plain"), F.explode("words").alias("word"))
+        .join(counts, ["word", "by_ticker"], "left")
+        .groupBy("alias", "term", "by_ticker", "plain")
+        .agg(
+            F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"),
+            F.min(F.coalesce("n", F.lit(0))).alias("n"),
+        )
+        .where("n > 0")
+        .drop("n")
+    )
+
+
+def mentions(docs: DataFrame, aliases: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Distinct (doc_id, alias) pairs, with whether the ticker itself was found.
 
-def mentions_name(text: Column, name: str) -> Column:
-    """Whether text holds a company name as whole words, in any case."""
-    return F.lower(text).rlike(rf"(?<!{tx.WORD})\Q{name.lower()}\E(?!{tx.WORD})")
+    ``aliases`` holds (alias, ticker, name): the ticker matches in its original
+    case, the name in lower-cased text, and no word character may touch either.
+    Each term is looked up by one word, its anchor: the one that is rarest in
+    these documents. A document gives at most its distinct words to the lookup;
+    the words that terms have are stored, counted, and meet the anchors by
+    equality. That settles terms of a single word; all others (several words,
+    punctuation) are searched in the texts of the documents that hold their
+    anchor. So the cost does not grow with the number of companies.
+    ``keep`` names columns of ``docs`` to add to the pairs.
+    """
+    terms = mention_terms(aliases)
+    found = cut_lineage(term_words(docs, terms))
+    held = found.join(small_side(rarest_words(terms, found)), ["word", "by_ticker"])
+    text = tx.headline_and_body(F.col("title"), F.col("body"))
+    read = F.when(F.col("by_ticker") == 1, F.col("__text")).otherwise(F.lower("__text"))
+    searched = (
+        held.where(~F.col("plain"))
+        .select("doc_id", "alias", "by_ticker", "term")
+        .distinct()
+        .join(docs.select("doc_id", text.alias("__text")), "doc_id")
+        .where(F.contains(read, F.col("term")))
+        .where(F.regexp_like(read, tx.whole_term(F.col("term"))))
+    )
+    columns = ["doc_id", "alias", "by_ticker"]
+    named = (
+        held.where("plain")
+        .select(*columns)
+        .unionByName(searched.select(*columns))
+        .groupBy("doc_id", "alias")
+        .agg(F.max("by_ticker").alias("by_ticker"))
+    )
+    return named.join(docs.select("doc_id", *keep), "doc_id") if keep else named
 
 
 def extract_earnings_dates(

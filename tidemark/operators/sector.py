@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fx
+from tidemark.core.sides import small_side
 from tidemark.functions import text as tx
 from tidemark.functions.signals import clamp, direction, sign_dz
 from tidemark.operators.market import daily_returns
+from tidemark.session import cut_lineage
 
 
 def sector_doc_scores(
@@ -47,13 +49,70 @@ def sector_doc_scores(
     )
 
 
-def substring_mentions(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """(doc_id, term) for each term that occurs in the lower-cased text at all."""
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct stretches of ``size`` characters of a text."""
+    return F.array_distinct(
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    )
+
+
+def substring_mentions(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, term) for each term that occurs in the lower-cased text at all.
+
+    ``terms`` has a column ``term``; empty terms occur nowhere. A term is looked
+    up by its anchor, the trigram that is rarest in these documents (a shorter
+    term is its own). A document gives its distinct trigrams to the lookup; those
+    that terms have are stored, counted, and meet the anchors by equality; the
+    texts of documents that hold an anchor are then searched for its terms. So
+    neither the plan nor the work per document grows with the number of terms.
+
+    The sizes of the anchors (1 to 3) come to the driver.
+    """
     low = F.lower(tx.headline_and_body(F.col("title"), F.col("body")))
-    present = F.array_compact(
-        F.array(*[F.when(low.contains(t.lower()), F.lit(t)) for t in terms])
+    size = F.least(F.lit(GRAM), F.char_length("low"))
+    wanted = (
+        terms.select("term", F.lower("term").alias("low")).distinct().where("low != ''")
+        .withColumn("size", size)
+    )
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]
+    own = F.lit(None).cast("array<string>")
+    for k in sizes:
+        own = F.when(F.col("size") == k, _grams(F.col("low"), k)).otherwise(own)
+    parts = wanted.select("term", F.explode(own).alias("gram"))
+    grams = [_grams(low, k) for k in sizes] or [F.array().cast("array<string>")]
+    found = cut_lineage(
+        docs.select("doc_id", F.explode(F.concat(*grams)).alias("gram")).join(
+            small_side(parts.select("gram").distinct()), "gram"
+        )
+    )
+    counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    anchors = (
+        parts.join(counts, "gram", "left")
+        .groupBy("term")
+        .agg(
+            F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"),
+            F.min(F.coalesce("n", F.lit(0))).alias("n"),
+        )
+        .where("n > 0")
+        .select("term", "gram")
+    )
+    held = (
+        found.join(small_side(anchors), "gram")
+        .groupBy("doc_id")
+        .agg(F.collect_set("term").alias("terms"))
+    )
+    return (
+        docs.select("doc_id", "doc_ts", low.alias("__low"))
+        .join(held, "doc_id")
+        .select(
+            "doc_id",
+            "doc_ts",
+            F.explode(F.filter("terms", lambda t: F.contains("__low", F.lower(t)))).alias("term"),
+        )
     )
-    return docs.select("doc_id", "doc_ts", F.explode(present).alias("term"))
 
 
 def term_sets(company_terms: DataFrame) -> DataFrame:
@@ -63,17 +122,15 @@ def term_sets(company_terms: DataFrame) -> DataFrame:
     )
 
 
-def alias_mentions(
-    docs: DataFrame, company_terms: DataFrame, aliases: DataFrame, terms: Sequence[str]
-) -> DataFrame:
+def alias_mentions(docs: DataFrame, company_terms: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct (doc_id, alias): the text holds one of the alias's terms.
 
-    ``company_terms`` maps symbol to term, ``terms`` lists the distinct terms.
-    Documents never meet single symbols, only distinct sets of terms.
+    ``company_terms`` maps symbol to term. Documents never meet single symbols,
+    only distinct sets of terms.
     """
     of_alias = company_terms.join(aliases, "symbol").select("alias", "term").distinct()
     return (
-        substring_mentions(docs, terms)
+        substring_mentions(docs, of_alias)
         .select("doc_id", "term")
         .join(of_alias, "term")
         .select("doc_id", "alias")
@@ -170,7 +227,6 @@ def symbol_outlook(
     bars: DataFrame,
     company: DataFrame,
     company_terms: DataFrame,
-    terms: Sequence[str],
     edges: DataFrame,
     as_of: str,
     sector: str | None = None,
@@ -191,7 +247,7 @@ def symbol_outlook(
     )
     aliases = term_sets(company_terms)
     bases = sector_doc_scores(docs, keywords, positive, negative)
-    named = alias_mentions(docs, company_terms, aliases, terms)
+    named = alias_mentions(docs, company_terms, aliases)
     means = _score_means(bases, named, members.join(aliases, "symbol", "left"), at)
     corr = sector_correlation(upto, company, members)
     last = upto.groupBy("symbol").agg(F.max_by("close", "d").alias("current_price"))
