@@ -134,7 +134,7 @@ _THRESHOLDS = f"""
 
 
 def thresholds(rows):
-    return fd.confidence_threshold(fd.train_rows(rows), ["fold_id"])
+    return fd.confidence_thresholds(rows)
 
 
 @query("confidence_thresholds", _THRESHOLDS)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fx
 from tidemark.core import ordinal, top_by
+from tidemark.core.prefixes import prefix_thresholds
 from tidemark.functions.signals import net_return
 
 EVENT_ORDER = ("t_event", "symbol")
@@ -75,23 +76,6 @@ def fold_table(
     )
 
 
-def train_rows(
-    folded: DataFrame, min_train: int = fx.MIN_TRAIN, chunk: int = fx.TEST_CHUNK
-) -> DataFrame:
-    """(fold_id, row) for every fold a row trains.
-
-    The size is rows x folds by definition; callers aggregate it at once.
-    """
-    last = F.floor((row_count(folded) - 1 - min_train) / chunk).cast("int")
-    first = F.when(F.col("fold_id").isNull(), F.lit(0)).otherwise(F.col("fold_id") + 1)
-    return (
-        folded.withColumn("__last", last)
-        .where(first <= F.col("__last"))
-        .withColumn("fold_id", F.explode(F.sequence(first, F.col("__last"))))
-        .drop("__last")
-    )
-
-
 def best_first() -> list[Column]:
     return [F.col("confidence").desc(), *event_order()]
 
@@ -115,31 +99,54 @@ def months_between(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(1.0), F.floor(seconds / 86400) / 30.0)
 
 
-def confidence_threshold(
-    train: DataFrame, by: list[str], per_month: float = fx.TRADES_PER_MONTH
+def confidence_thresholds(
+    folded: DataFrame,
+    min_train: int = fx.MIN_TRAIN,
+    chunk: int = fx.TEST_CHUNK,
+    per_month: float = fx.TRADES_PER_MONTH,
+    block_rows: int = 8192,
 ) -> DataFrame:
-    """Per group, the confidence that would have let ``per_month`` trades pass.
-
-    It is the n-th largest confidence of the group, n from the group's months.
+    """(``fold_id``, ``threshold``): the confidence that would have let ``per_month`` trades pass.
+
+    It is the n-th largest confidence of the rows before the fold, n from the
+    months those rows span. Training sets expand by one chunk per fold, so they
+    are prefixes in time order, and one forward scan over chunks serves all
+    folds; no fold copies its rows. ``folded`` holds ``ord``, ``t_event`` and
+    ``confidence``. The driver sees the number of rows, the first time, and the
+    largest n, which the calendar bounds.
     """
-    spans = train.groupBy(*by).agg(
-        F.min("t_event").alias("start"),
-        F.max("t_event").alias("end"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    wanted = F.bround(per_month * months_between(F.col("start"), F.col("end"))).cast("int")
-    sized = spans.select(
-        *by,
-        F.least(F.greatest(F.lit(1), wanted), F.col("n")).cast("int").alias("__k"),
+    start, end, rows = folded.agg(
+        F.min("t_event"), F.max("t_event"), F.count(F.lit(1))
+    ).first()
+    chunks = 1 + (rows - min_train - 1) // chunk if rows > min_train else 0
+    if not chunks:
+        return folded.sparkSession.createDataFrame([], "fold_id int, threshold double")
+
+    def wanted(last: Column) -> Column:
+        months = months_between(F.lit(start), last)
+        return F.greatest(F.lit(1), F.bround(per_month * months).cast("int"))
+
+    most = folded.sparkSession.range(1).select(wanted(F.lit(end)).alias("n")).first()["n"]
+    number = F.when(F.col("ord") < min_train, 0).otherwise(
+        1 + F.floor((F.col("ord") - min_train) / chunk)
     )
-    ranked = top_by(train.join(sized, by), by, best_first(), F.col("__k"))
-    return ranked.where(F.col("rank") == F.col("__k")).select(
-        *by, F.col("confidence").alias("threshold")
+    upto = F.col("ord") + 1
+    ends = (upto >= min_train) & ((upto - min_train) % chunk == 0)
+    scanned = prefix_thresholds(
+        folded.where(F.col("ord") < min_train + (chunks - 1) * chunk).select(
+            number.cast("long").alias("chunk"),
+            F.col("confidence").cast("double").alias("value"),
+            F.when(ends, F.least(wanted(F.col("t_event")), upto)).cast("int").alias("n"),
+        ),
+        chunks,
+        most,
+        max(1, block_rows // chunk),
     )
+    return scanned.select(F.col("chunk").cast("int").alias("fold_id"), "threshold")
 
 
 def overall_threshold(train: DataFrame, per_month: float = fx.TRADES_PER_MONTH) -> Column:
-    """``confidence_threshold`` of one training set, as a scalar."""
+    """The threshold of one training set, as a scalar."""
     wanted = F.bround(per_month * months_between(F.min("t_event"), F.max("t_event"))).cast("int")
     k = train.agg(F.least(F.greatest(F.lit(1), wanted), F.count(F.lit(1))).cast("int")).scalar()
     ranked = top_by(train, [], best_first(), k)

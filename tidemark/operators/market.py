@@ -144,32 +144,75 @@ def _neighbours_outside(edges: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def return_steps(features: DataFrame) -> DataFrame:
+    """(``symbol``, ``on``, ``change``, ``count``): changes of the 5-bar return as of a date.
+
+    ``features`` holds ``symbol``, ``d`` and ``last_5``; a null return counts as
+    none. The first bar counts from the beginning of time; after the last bar
+    there is none. Returns are taken to 12 decimals, so that sums are exact.
+    """
+    value = F.coalesce(F.round("last_5", 12).cast("decimal(30,12)"), F.lit(0).cast("decimal(30,12)"))
+    valued = features.select(
+        "symbol", "d", value.alias("v"), F.col("last_5").isNotNull().cast("int").alias("c")
+    )
+    before = {c: F.coalesce(F.lag(c).over(_by_date()), F.lit(0)) for c in ("v", "c")}
+    first = F.lit("0001-01-01").cast("date")
+    begin = F.struct(
+        F.coalesce(F.date_add(F.lag("d").over(_by_date()), 1), first).alias("on"),
+        (F.col("v") - before["v"]).cast("decimal(38,12)").alias("change"),
+        (F.col("c") - before["c"]).alias("count"),
+    )
+    end = F.when(
+        F.lead("d").over(_by_date()).isNull(),
+        F.struct(
+            F.date_add("d", 1).alias("on"),
+            (-F.col("v")).cast("decimal(38,12)").alias("change"),
+            (-F.col("c")).alias("count"),
+        ),
+    )
+    return (
+        valued.select("symbol", begin.alias("begin"), end.alias("end"))
+        .select("symbol", F.explode(F.array_compact(F.array("begin", "end"))).alias("s"))
+        .select("symbol", "s.*")
+    )
+
+
 def cohort_return(events: DataFrame, bars: DataFrame, company: DataFrame) -> DataFrame:
     """Mean 5-bar return of the event's sector peers, ending on or after its date.
 
-    Summed once per (sector, date), less the event's own symbol, instead of
-    pairing every event with every peer.
+    A symbol's return as of a date is a step function of the date: from the day
+    after one bar to the next bar it is that bar's. Each symbol adds its steps
+    to its sector as exact decimals; the sector's running totals are read at the
+    event dates, less the event's own symbol. So no event or date meets the
+    members of a sector, and a sector's window has a row per date.
     """
     members = company.select("symbol", "sector")
-    dates = (
-        events.select("symbol", F.to_date("t_event").alias("on"))
-        .distinct()
+    features = bar_features(bars).select("symbol", "d", "last_5")
+    dated = events.withColumn("on", F.to_date("t_event"))
+    asked = dated.select("symbol", "on").distinct().join(members, "symbol")
+    by_sector = Window.partitionBy("sector").orderBy("on", "asked")
+    upto = by_sector.rowsBetween(Window.unboundedPreceding, 0)
+    steps = (
+        return_steps(features)
         .join(members, "symbol")
-        .select("sector", "on")
-        .distinct()
+        .groupBy("sector", "on")
+        .agg(F.sum("change").alias("change"), F.sum("count").alias("count"))
     )
-    panel = asof_join(
-        members.join(dates, "sector"),
-        bar_features(bars).select("symbol", "d", "last_5"),
-        event_ts="on",
-    ).where(F.col("last_5").isNotNull())
-    sector = panel.groupBy("sector", "on").agg(
-        F.sum("last_5").alias("total"), F.count(F.lit(1)).alias("n")
+    sector = (
+        steps.withColumn("asked", F.lit(0))
+        .unionByName(
+            asked.select("sector", "on").distinct().withColumn("asked", F.lit(1)),
+            allowMissingColumns=True,
+        )
+        .withColumns({"total": F.sum("change").over(upto), "n": F.sum("count").over(upto)})
+        .where("asked = 1 AND n > 0")
+        .select("sector", "on", F.col("total").cast("double").alias("total"), "n")
     )
-    own = panel.select("symbol", "on", F.col("last_5").alias("own"))
+    own = asof_join(
+        dated.select("symbol", "on").distinct(), features, event_ts="on"
+    ).select("symbol", "on", F.col("last_5").alias("own"))
     rows = (
-        events.withColumn("on", F.to_date("t_event"))
-        .join(members, "symbol", "left")
+        dated.join(members, "symbol", "left")
         .join(sector, ["sector", "on"], "left")
         .join(own, ["symbol", "on"], "left")
     )
