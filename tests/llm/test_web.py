@@ -3,6 +3,7 @@
 import html
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -200,13 +201,44 @@ def test_declared_pages_are_aligned_too(spark, monkeypatch):
     assert texts == {0: "own 0", 1: "own 1", 2: "own 2", 3: "own 3" * 20}
     met = []
     monkeypatch.setattr(web_text, "shared_lines", lambda a, b: met.append((a, b)) or [0])
-    other = {"far": 0, "k": 1, "keys": [7, 8], "total": 9}
+    keys = [web_text._line_key(k) for k in "abcd"]
+    other = {"far": 0, "k": 1, "keys": b"".join(keys[2:]), "total": 9}
     batch = pa.RecordBatch.from_arrays(
-        [pa.array([0]), pa.array([[5, 6]]), pa.array([[4, 4]]), pa.array([[other]])],
+        [pa.array([0]), pa.array([b"".join(keys[:2])]), pa.array([[4, 4]]), pa.array([[other]])],
         ["row", "keys", "sizes", "others"],
     )
     assert next(web_text._first_shared([batch], 0.8))["gone"].to_pylist() == [[0]]
-    assert met == [([5, 6], [7, 8])]
+    assert met == [(keys[:2], keys[2:])]
+
+
+def _words_against(spark, change, sf="/root/testdata/sf0.01"):
+    """Precision and recall of words, against the query's texts, of pages changed in their markup."""
+    pages = queries.table(spark, sf, "pages")
+    want = {r.page_id: r.text for r in web_text.main_text(pages).collect()}
+    rows = [(r.page_id, r.url, change(r.html or "")) for r in pages.collect()]
+    changed = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r.page_id: r.text for r in web_text.main_text(changed).collect()}
+    hits = sum((Counter(got[k].split()) & Counter(want[k].split())).total() for k in want)
+    found, there = (sum(len(t.split()) for t in x.values()) for x in (got, want))
+    return hits / found, hits / there
+
+
+def test_differencing_where_no_element_declares_the_text(spark):
+    precision, recall = _words_against(
+        spark, lambda page: re.sub(r"(</?)(article|main)\b", r"\1div", page, flags=re.I)
+    )
+    assert precision >= 0.99 and recall >= 0.99
+
+
+def test_differencing_alone(spark):
+    """Without the elements, classes, ids and roles that name menus and text."""
+
+    def bare(page):
+        page = re.sub(r"(</?)(article|main|nav|header|footer|aside|form)\b", r"\1div", page, flags=re.I)
+        return re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page, flags=re.I)
+
+    precision, recall = _words_against(spark, bare)
+    assert precision >= 0.93 and recall >= 0.99
 
 
 def test_runs_of_copies(spark):

@@ -289,18 +289,30 @@ def shared_lines(a: list, b: list, small: int = 256) -> list[int]:
     return sorted(found)
 
 
-def _line_key(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
+#: Bytes of a line's key: lines are told apart within the few pages they are compared with.
+KEY = 6
 
 
-OUTLINES = "url string, outline binary, keys array<bigint>, sizes array<int>"
-PAGES = "page_id bigint, url string, outline binary, lines binary, declared array<boolean>"
+def _line_key(line: str) -> bytes:
+    return hashlib.blake2b(line.encode(), digest_size=KEY).digest()
+
+
+def _split_keys(keys: bytes) -> list[bytes]:
+    return [keys[i : i + KEY] for i in range(0, len(keys), KEY)]
+
+
+OUTLINES = "url string, outline binary, keys binary, sizes array<int>"
+PAGES = "page_id bigint, url string, outline binary, lines binary, declared boolean"
 TEXTS = "page_id bigint, url string, text string"
 SEPARATOR = "\n"
 
 
-def _outline(keys: list[int]) -> bytes:
-    return hashlib.blake2b(np.array(keys, "<i8").tobytes(), digest_size=16).digest()
+def _outline(lines: list[tuple[str, bool]]) -> bytes:
+    """A digest of all lines of a page, whole."""
+    digest = hashlib.blake2b(digest_size=16)
+    for line, _ in lines:
+        digest.update(line.encode() + b"\n")
+    return digest.digest()
 
 
 def _outlines(batches):
@@ -308,12 +320,12 @@ def _outlines(batches):
     for batch in slices(batches):
         _, urls, pages = batch.columns
         parsed = [page_lines(p) for p in pages.to_pylist()]
-        keys = [[_line_key(t) for t, _ in p] for p in parsed]
+        keys = [b"".join(_line_key(t) for t, _ in p) for p in parsed]
         rows = pa.RecordBatch.from_arrays(
             [
                 urls,
-                pa.array([_outline(k) for k in keys], pa.binary()),
-                pa.array(keys, pa.list_(pa.int64())),
+                pa.array([_outline(p) for p in parsed], pa.binary()),
+                pa.array(keys, pa.binary()),
                 pa.array([[len(t) for t, _ in p] for p in parsed], pa.list_(pa.int32())),
             ],
             ["url", "outline", "keys", "sizes"],
@@ -322,18 +334,22 @@ def _outlines(batches):
 
 
 def _packed_lines(batches):
-    """Lines of every page, packed, as they are shuffled."""
+    """Lines of every page, packed, as they are shuffled; where some are declared, only those."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in slices(batches):
         ids, urls, pages = batch.columns
         parsed = [page_lines(p) for p in pages.to_pylist()]
+        declared = [any(d for _, d in p) for p in parsed]
+        texts = [
+            SEPARATOR.join(t for t, own in p if own or not some) for p, some in zip(parsed, declared)
+        ]
         yield pa.RecordBatch.from_arrays(
             [
                 ids,
                 urls,
-                pa.array([_outline([_line_key(t) for t, _ in p]) for p in parsed], pa.binary()),
-                pa.array([pack(SEPARATOR.join(t for t, _ in p).encode()) for p in parsed], pa.binary()),
-                pa.array([[d for _, d in p] for p in parsed], pa.list_(pa.bool_())),
+                pa.array([_outline(p) for p in parsed], pa.binary()),
+                pa.array([pack(t.encode()) for t in texts], pa.binary()),
+                pa.array(declared, pa.bool_()),
             ],
             ["page_id", "url", "outline", "lines", "declared"],
         )
@@ -443,14 +459,17 @@ def _past_copies(placed: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _met(near: DataFrame, outlines: DataFrame) -> DataFrame:
-    """Own keys and sizes of each row of ``near``, and those of its near pages in order."""
+    """Own keys and sizes of each row of ``near``, and those of its near pages in order.
+
+    Both sides grow with the pages, so they are merged, whatever their size.
+    """
     others = (
-        near.join(outlines.select(F.col("row").alias("near"), "keys", "total"), "near")
+        near.join(outlines.select(F.col("row").alias("near"), "keys", "total").hint("merge"), "near")
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("far", -F.col("steps"), "k", "near", "keys", "total"))).alias("o"))
         .select("row", F.transform("o", lambda o: F.struct(*(o[c].alias(c) for c in ("far", "k", "keys", "total")))).alias("others"))
     )
-    return outlines.join(others, "row").select("row", "keys", "sizes", "others")
+    return outlines.join(others.hint("merge"), "row").select("row", "keys", "sizes", "others")
 
 
 MET = "row bigint, gone array<int>, copied boolean"
@@ -462,9 +481,9 @@ def _first_shared(batches, copy_share):
         rows, *columns = batch.columns
         found, copied = [], []
         for own, sizes, others in zip(*(c.to_pylist() for c in columns)):
-            total, gone, copy = sum(sizes), None, False
+            own, total, gone, copy = _split_keys(own), sum(sizes), None, False
             for other in others:
-                shared = shared_lines(own, other["keys"])
+                shared = shared_lines(own, _split_keys(other["keys"]))
                 size = sum(sizes[i] for i in shared)
                 if other["k"] == 1:
                     copy = size > copy_share * max(total, other["total"])
@@ -484,9 +503,10 @@ def _later_shared(batches, copy_share):
         rows, *columns = batch.columns
         found = []
         for own, sizes, others in zip(*(c.to_pylist() for c in columns)):
-            total, gone, seen = sum(sizes), None, [0] * len(own)
+            own, total, gone = _split_keys(own), sum(sizes), None
+            seen = [0] * len(own)
             for other in others:
-                shared = shared_lines(own, other["keys"])
+                shared = shared_lines(own, _split_keys(other["keys"]))
                 size = sum(sizes[i] for i in shared)
                 if other["far"] == 0 and shared and size <= copy_share * total:
                     gone = shared
@@ -510,12 +530,11 @@ def _texts(batches):
     for batch in slices(batches):
         *keep, lines, declared, gone = batch.columns
         texts = []
-        for packed, marks, out in zip(*(c.to_pylist() for c in (lines, declared, gone))):
-            text = unpack(packed).decode().split(SEPARATOR) if marks else []
-            out = set(out or ())
+        for packed, some, out in zip(*(c.to_pylist() for c in (lines, declared, gone))):
+            text = unpack(packed).decode().split(SEPARATOR)
             # Markup has the last word on a line: declared ones stay, and the others go beside them.
-            kept = marks if any(marks) else [i not in out for i in range(len(text))]
-            texts.append(" ".join(t for t, k in zip(text, kept) if k))
+            out = set() if some else set(out or ())
+            texts.append(" ".join(t for i, t in enumerate(text) if i not in out))
         yield pa.RecordBatch.from_arrays(
             [*keep, pa.array(texts, pa.string())], ["page_id", "url", "text"]
         )
@@ -569,12 +588,13 @@ def main_text(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
     )
     open_rows = first.where("gone IS NULL").select("row")
     copies = (
-        near.where("k = 1").join(first.where("copied"), "row").select(F.col("near").alias("row"))
+        near.where("k = 1").join(first.where("copied").hint("merge"), "row").select(F.col("near").alias("row"))
     )
+    open_rows = open_rows.hint("merge")
     past = _past_copies(placed, copies).join(open_rows, "row", "left_semi").withColumn("far", F.lit(0))
     beside = near.join(open_rows, "row", "left_semi").withColumn("far", F.lit(1))
     beyond = beside.select("row", F.col("near").alias("mid"), "k").join(
-        near.select(F.col("row").alias("mid"), "near", "steps", "k"), ["mid", "k"]
+        near.select(F.col("row").alias("mid"), "near", "steps", "k").hint("merge"), ["mid", "k"]
     ).select("row", "near", "steps", "k", F.lit(2).alias("far"))
     candidates = (
         past.unionByName(beside).unionByName(beyond)
@@ -585,11 +605,11 @@ def main_text(pages: DataFrame, copy_share: float = 0.8) -> DataFrame:
         lambda batches: _later_shared(batches, copy_share), MET
     )
     gone = first.unionByName(later).where("size(gone) > 0").select("row", "gone")
-    template = outlines.select("row", "host", "outline").join(gone, "row").drop("row")
+    template = outlines.select("row", "host", "outline").join(gone.hint("merge"), "row").drop("row")
     return (
         source.mapInArrow(_packed_lines, PAGES)
         .withColumn("host", host)
-        .join(template, ["host", "outline"], "left")
+        .join(template.hint("merge"), ["host", "outline"], "left")
         .select("page_id", "url", "lines", "declared", "gone")
         .mapInArrow(_texts, TEXTS)
     )
