@@ -243,7 +243,7 @@ def frame(spark, n=80):
 def test_walk_forward_fits_equal_one_fit_per_fold(spark):
     df = frame(spark)
     folded = fd.walk_forward_folds(df, 48, 12).cache()
-    models = wf.fit_folds(folded, ["a", "b"], min_train=48, chunk=12)
+    models = wf.fit_folds(folded, ["a", "b"])
     got = {
         (r["symbol"], r["t_event"]): r["proba"] for r in wf.score_folds(folded, models).collect()
     }
@@ -269,7 +269,7 @@ def test_walk_forward_fits_equal_one_fit_per_fold(spark):
 def test_one_class_falls_back_to_momentum(spark):
     df = frame(spark, 60).withColumns({"label": F.lit(1), "labels": F.array(F.lit(1.0))})
     folded = fd.walk_forward_folds(df, 48, 12).cache()
-    models = wf.fit_folds(folded, ["a"], min_train=48, chunk=12)
+    models = wf.fit_folds(folded, ["a"])
     rows = wf.score_folds(folded, models).collect()
     assert len(rows) == 12
     for r in rows:
