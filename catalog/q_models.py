@@ -7,7 +7,7 @@ from catalog import views as v
 from catalog.ctes import shortest
 from catalog.q_market import enriched_sql
 from catalog.q_news import FEATURES, HEURISTIC, named
-from catalog.q_trades import metrics_sql, signalled
+from catalog.q_trades import DRAWN, metrics_sql, signalled, with_digits
 from tidemark import fixed_values as fx
 from tidemark.core import exact_median
 from tidemark.operators import evaluation as ev
@@ -182,7 +182,7 @@ def holdout_lanes(spark, sf):
 
 @query(
     "holdout_metrics",
-    f"""SELECT lane, trades, skipped, hit_rate, mean_trade_return_pct, median_trade_return_pct
+    f"""SELECT lane, {DRAWN}
         FROM ({metrics_sql(f"(SELECT *, 1.0 AS position_weight FROM ({_HOLDOUT}))", "lane", order="t_event, symbol")})""",
 )
 def holdout_metrics(spark, sf):
@@ -192,9 +192,7 @@ def holdout_metrics(spark, sf):
     marked = cut_lineage(marked)
     lanes = fd.holdout_lanes(marked.where(~F.col("holdout")), marked.where("holdout"))
     metrics = strategy_metrics(cut_lineage(lanes), ["lane"], fd.event_order(), fd.event_chunks())
-    return metrics.select(
-        "lane", "trades", "skipped", "hit_rate", "mean_trade_return_pct", "median_trade_return_pct"
-    )
+    return with_digits(metrics)
 
 
 @query(

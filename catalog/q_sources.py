@@ -229,7 +229,7 @@ def intraday_payloads(spark, sf):
     f"""SELECT symbol, t_event FROM earnings
         WHERE t_event >= TIMESTAMP '{v.AS_OF} 00:00:00' - INTERVAL 1095 DAYS
           AND t_event < TIMESTAMP '{v.AS_OF} 00:00:00'
-        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t_event DESC) <= 8""",
+        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t_event DESC) <= 24""",
 )
 def calendar_payloads(spark, sf):
     text = F.date_format("t_event", "yyyy-MM-dd")
@@ -241,7 +241,7 @@ def calendar_payloads(spark, sf):
     )
     # The same rows a second time: provider pages overlap.
     calendar = cl.calendar_rows(raw.unionByName(raw))
-    return cl.past_earnings(calendar, v.AS_OF, 1095, 8)
+    return cl.past_earnings(calendar, v.AS_OF, 1095, 24)
 
 
 @query(

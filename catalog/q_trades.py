@@ -128,6 +128,28 @@ def metrics_sql(rows: str, by: str, ret: str = "net_return_pct * position_weight
         GROUP BY {by}) d ON d.{by} = a.{by}"""
 
 
+def digits(value):
+    """Signed digits of a number, to compare growth and drawdown of many large moves."""
+    return F.round(F.signum(value) * F.log10(1 + F.abs(value)), 6)
+
+
+def digits_sql(value: str) -> str:
+    return f"round(sign({value}) * log10(1 + abs({value})), 6)"
+
+
+# These bars move by hundreds of percent, so growth and drawdown are compared by their digits.
+DRAWN = f"""trades, skipped, hit_rate, mean_trade_return_pct, median_trade_return_pct, sharpe_ratio,
+    total_wins, total_losses, {digits_sql("cumulative_return_pct")} AS growth_digits,
+    {digits_sql("max_drawdown_pct")} AS drawdown_digits"""
+
+
+def with_digits(metrics):
+    """Growth and drawdown as digits, in place of the numbers."""
+    return metrics.withColumns(
+        {"growth_digits": digits("cumulative_return_pct"), "drawdown_digits": digits("max_drawdown_pct")}
+    ).drop("cumulative_return_pct", "max_drawdown_pct")
+
+
 @query("strategy_metrics", metrics_sql(f"({_SIM})", "strategy"))
 def strategy_metrics(spark, sf):
     rows = tr.simulate_signal(v.trades(spark, sf), "sign", "conf")

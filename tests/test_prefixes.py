@@ -116,3 +116,32 @@ def test_no_row_of_the_cohort_is_a_member_at_a_date(spark):
     assert steps.count() == bars.count() + 5
     total = steps.groupBy("symbol").agg(F.sum("change").alias("c"), F.sum("count").alias("n")).collect()
     assert all(r.c == 0 and r.n == 0 for r in total)
+
+
+def test_drawdown_of_an_account_that_sinks_below_zero(spark):
+    """Returns below -100 percent turn the level over; peak and drawdown follow it row by row."""
+    from tidemark.core.ordering import growth_summary, running_growth
+
+    draw = random.Random(2)
+    for scale in (3, 180, 400):
+        rows = [
+            (g, k, dt.date(2020, 1, 1) + dt.timedelta(days=k // 3), draw.uniform(-scale, scale))
+            for g in "ab"
+            for k in range(40)
+        ]
+        df = spark.createDataFrame(rows, "g string, k int, d date, r double")
+        end = {r.g: r for r in growth_summary(df, "r", [F.col("k")], [F.col("d")], ["g"]).collect()}
+        each = {
+            (r.g, r.k): r
+            for r in running_growth(df, "r", [F.col("k")], [F.col("d")], ["g"]).collect()
+        }
+        for g in "ab":
+            level, peak, worst = 1.0, 1.0, 0.0
+            for _, k, _, r in (x for x in rows if x[0] == g):
+                level *= 1 + r / 100
+                peak = max(peak, level)
+                worst = min(worst, (level - peak) / peak * 100)
+                assert math.isclose(each[g, k].equity, level, rel_tol=1e-9)
+                assert math.isclose(each[g, k].drawdown_pct, (level - peak) / peak * 100, rel_tol=1e-9, abs_tol=1e-9)
+            assert math.isclose(end[g].growth, level, rel_tol=1e-9)
+            assert math.isclose(end[g].worst_drawdown_pct, worst, rel_tol=1e-9, abs_tol=1e-9)

@@ -70,11 +70,17 @@ def _growth_inside(
     upto = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return df.withColumn("__g", F.product(1 + ret / 100.0).over(upto)).withColumn(
-        "__gmax", F.max("__g").over(upto)
+    return df.withColumn("__g", F.product(1 + ret / 100.0).over(upto)).withColumns(
+        {"__gmax": F.max("__g").over(upto), "__gmin": F.min("__g").over(upto)}
     )
 
 
+def _peak() -> Column:
+    """Highest level up to a row; what is carried in may be below zero, after a loss of more than all."""
+    carry = F.col("__carry")
+    return F.greatest(F.col("__peak"), carry * F.col("__gmax"), carry * F.col("__gmin"))
+
+
 def _growth_chunks(inside: DataFrame, by: list[str], keys: list[str], levels: list[str],
                    ret: Column, seeded: bool) -> DataFrame:
     """Per chunk: growth carried in, and the highest level reached before it."""
@@ -91,7 +97,7 @@ def _growth_chunks(inside: DataFrame, by: list[str], keys: list[str], levels: li
             F.min(F.when(F.col("__gmax") > 0, F.col("__g") / F.col("__gmax"))).alias("__dip"),
         )
         .withColumn("__carry", F.coalesce(F.product("__total").over(before), F.lit(1.0)))
-        .withColumn("__level", F.col("__carry") * F.col("__top"))
+        .withColumn("__level", F.greatest(F.col("__carry") * F.col("__top"), F.col("__carry") * F.col("__low")))
         .withColumn("__peak", F.greatest(start, F.max("__level").over(before)))
     )
 
@@ -116,7 +122,7 @@ def running_growth(
     carried = _growth_chunks(inside, by, keys, levels, rate, seeded).select(
         *keys, "__carry", "__peak"
     )
-    peak = F.greatest(F.col("__peak"), F.col("__carry") * F.col("__gmax"))
+    peak = _peak()
     return (
         inside.join(carried, keys)
         .withColumn("equity", F.col("__carry") * F.col("__g"))
@@ -124,7 +130,7 @@ def running_growth(
             "drawdown_pct",
             F.when(peak > 0, (F.col("equity") - peak) / peak * 100.0).otherwise(F.lit(0.0)),
         )
-        .drop("__g", "__gmax", "__carry", "__peak", *levels)
+        .drop("__g", "__gmax", "__gmin", "__carry", "__peak", *levels)
     )
 
 
@@ -138,8 +144,9 @@ def growth_summary(
 ) -> DataFrame:
     """One row per group: ``growth`` (end level) and ``worst_drawdown_pct`` (<= 0).
 
-    Needs no join back to the rows: the worst dip inside a chunk and the dip
-    from an earlier peak to the chunk's low are enough.
+    The worst dip inside a chunk and the dip from an earlier peak to the chunk's
+    low are enough, without a join back to the rows. Only chunks that are below
+    zero somewhere (a short can lose more than all) are looked at row by row.
     """
     by = list(by)
     cut, levels = _chunked(df, chunks)
@@ -150,12 +157,15 @@ def growth_summary(
     from_earlier = F.when(
         F.col("__peak") > 0, F.col("__carry") * F.col("__low") / F.col("__peak")
     )
-    return chunk_rows.groupBy(*by).agg(
+    sunk = (F.col("__carry") < 0) | (F.col("__low") < 0)
+    rows = inside.join(chunk_rows.where(sunk).select(*keys, "__carry", "__peak"), keys)
+    each = F.when(_peak() > 0, F.col("__carry") * F.col("__g") / _peak())
+    dips = chunk_rows.select(
+        *by, "__total", F.when(~sunk, F.least(F.col("__dip"), from_earlier)).alias("__ratio")
+    ).unionByName(rows.select(*by, F.lit(1.0).alias("__total"), each.alias("__ratio")))
+    return dips.groupBy(*by).agg(
         F.product("__total").alias("growth"),
-        F.least(
-            F.lit(0.0),
-            (F.min(F.least(F.col("__dip"), from_earlier)) - 1.0) * 100.0,
-        ).alias("worst_drawdown_pct"),
+        F.least(F.lit(0.0), (F.min("__ratio") - 1.0) * 100.0).alias("worst_drawdown_pct"),
     )
 
 
