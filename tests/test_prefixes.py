@@ -145,3 +145,42 @@ def test_drawdown_of_an_account_that_sinks_below_zero(spark):
                 assert math.isclose(each[g, k].drawdown_pct, (level - peak) / peak * 100, rel_tol=1e-9, abs_tol=1e-9)
             assert math.isclose(end[g].growth, level, rel_tol=1e-9)
             assert math.isclose(end[g].worst_drawdown_pct, worst, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_quantiles_of_any_group_size(spark):
+    from tidemark.core.ordering import exact_quantiles
+
+    draw = random.Random(5)
+    groups = {"one": [3.5], "two": [1.0, 2.0], "ties": [7.0] * 50 + [8.0], "wide": [draw.uniform(-1e6, 1e6) for _ in range(500)],
+              "small": [draw.gauss(0, 1e-4) for _ in range(333)], "zeros": [0.0, -0.0, 0.0], None: [1.0, 5.0, 9.0]}
+    rows = [(g, v) for g, values in groups.items() for v in [*values, None]] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    qs = (0.0, 0.05, 0.25, 0.5, 0.95, 1.0)
+    got = {r.g: r.q for r in exact_quantiles(df.where("g IS NOT NULL"), "v", qs, ["g"], name="q").collect()}
+    for g, values in groups.items():
+        if g is not None:
+            assert got[g] == pytest.approx([float(np.quantile(values, q)) for q in qs], rel=1e-12, abs=1e-18)
+    assert "empty" not in got
+    every = [v for values in groups.values() for v in values]
+    assert exact_quantiles(df, "v", qs, name="q").first().q == pytest.approx([float(np.quantile(every, q)) for q in qs])
+
+
+def test_summaries_of_groups_and_of_nothing(spark):
+    from tidemark.operators.resample import distribution_summary
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 2.0)], "g string, v double")
+    got = {r.g: tuple(r)[1:] for r in distribution_summary(df, "v", ["g"]).collect()}
+    assert got == {"a": (2.0, 1.4142, 1.1, 2.0, 2.9), "b": (None,) * 5, None: (2.0, 0.0, 2.0, 2.0, 2.0)}
+
+
+def test_stored_lexicon_scores_stand(spark):
+    from tidemark.operators.news import document_facts
+
+    docs = spark.createDataFrame(
+        [("a", None, "gain", "gain", 1.0), ("b", None, "loss", "gain loss", 1.0), ("c", None, "", "", 1.0)],
+        "doc_id string, doc_ts timestamp_ntz, title string, body string, relevance_score double",
+    )
+    stored = spark.createDataFrame([("a", -0.25), ("c", None), ("z", 1.0)], "doc_id string, score double")
+    plain = {r.doc_id: r.lex for r in document_facts(docs, ["gain"], ["loss"]).collect()}
+    got = {r.doc_id: r.lex for r in document_facts(docs, ["gain"], ["loss"], lexicon_scores=stored).collect()}
+    assert plain["a"] == 1.0 and got == {**plain, "a": -0.25}

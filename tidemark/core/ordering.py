@@ -219,6 +219,73 @@ def exact_median(
     return placed.groupBy(*by).agg(((at("__lo") + at("__hi")) / 2.0).alias(name))
 
 
+def exact_quantiles(
+    df: DataFrame, value: str, quantiles: Sequence[float], by: Sequence[str] = (),
+    width: float = 0.01, name: str = "quantiles",
+) -> DataFrame:
+    """Exact quantiles per group, interpolated between ranks, as one array.
+
+    Like ``exact_median`` for several ranks at once: equal values are counted
+    before any shuffle, counts of value ranges find the ranges that hold a
+    rank, and only those are ranked value by value, so no group is collected.
+    Nulls drop out; a group without values has no row.
+    """
+    named, by = list(by), ["__key"]  # a struct, in which nulls are equal
+    df = df.withColumn("__key", F.struct(*named) if named else F.lit(0))
+    v = F.col("__v")
+    bin_of = F.floor(F.signum(v) * F.log1p(F.abs(v) / F.lit(width)) * 256)
+    values = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).cast("double").alias("__v"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__bin", bin_of)
+    )
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    places = [F.lit(float(q)) * (F.col("__all") - 1) for q in quantiles]
+    ranks = F.array_distinct(
+        F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in places]))
+    )
+    bins = (
+        values.groupBy(*by, "__bin")
+        .agg(F.sum("__n").alias("__size"))
+        .withColumn("__start", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+        .withColumn("__all", F.sum("__size").over(whole))
+        .withColumn(
+            "__ranks",
+            F.filter(
+                ranks,
+                lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__size")),
+            ),
+        )
+        .where(F.size("__ranks") > 0)
+        .drop("__size")
+    )
+    in_bin = (
+        Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    first = F.col("__start") + F.coalesce(F.sum("__n").over(in_bin), F.lit(0))
+    held = F.filter("__ranks", lambda r: (r >= F.col("__first")) & (r < F.col("__first") + F.col("__n")))
+    found = (
+        values.join(bins, by + ["__bin"])
+        .withColumn("__first", first)
+        .select(*by, "__all", "__v", F.explode(held).alias("__rank"))
+        .groupBy(*by)
+        .agg(
+            F.max("__all").alias("__all"),
+            F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"),
+        )
+    )
+
+    def one(place: Column) -> Column:
+        low, high = (F.element_at("__at", r) for r in (F.floor(place), F.ceil(place)))
+        share = place - F.floor(place)
+        return F.when(share > 0, (1 - share) * low + share * high).otherwise(low)
+
+    columns = [F.col("__key")[c].alias(c) for c in named]
+    return found.select(*columns, F.array(*[one(p) for p in places]).alias(name))
+
+
 def top_by(
     df: DataFrame,
     by: Sequence[str],

@@ -95,10 +95,17 @@ def anchor_news(
         ),
         "pre_window_start",
     )
+    newest = [F.col("doc_ts").desc(), F.col("doc_id")]
+    # Windows are whole days, so no day gives an event more than its newest ``most``.
+    daily = top_by(
+        scored.where(F.col("doc_ts").isNotNull()).withColumn("__on", F.to_date("doc_ts")),
+        ["symbol", "__on"],
+        newest,
+        most,
+    ).drop("rank", "__on")
     pairs = interval_join(
-        closing, scored, fact_ts="doc_ts", days=pre_days + 1, by=["symbol"]
+        closing, daily, fact_ts="doc_ts", days=pre_days + 1, by=["symbol"]
     ).where(F.to_date("doc_ts") >= F.col("pre_window_start"))
-    newest = [F.col("doc_ts").desc(), F.col("doc_id")]
     return top_by(pairs, ["event_id"], newest, most).select(
         "event_id", "symbol", "doc_id", "doc_ts", "sentiment_score", "ai_term_hits"
     )

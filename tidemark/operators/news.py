@@ -23,9 +23,19 @@ def document_facts(
     negative: Sequence[str] = fx.LEXICON_NEGATIVE,
     outcome_positive: Sequence[str] = fx.OUTCOME_POSITIVE_PATTERNS,
     outcome_negative: Sequence[str] = fx.OUTCOME_NEGATIVE_PATTERNS,
+    lexicon_scores: DataFrame | None = None,
 ) -> DataFrame:
-    """Documents with the numbers that features need from their text."""
+    """Documents with the numbers that features need from their text.
+
+    Where ``lexicon_scores`` (``doc_id``, ``score``) holds a document's lexicon
+    score, the stored one stands and the text is not scored again.
+    """
     text = tx.headline_and_body(F.col("title"), F.col("body"))
+    lex = tx.lexicon_score(text, positive, negative)
+    if lexicon_scores is not None:
+        known = lexicon_scores.select("doc_id", F.col("score").cast("double").alias("__stored"))
+        docs = docs.join(known, "doc_id", "left")
+        lex = F.coalesce(F.col("__stored"), lex)
     return docs.select(
         "doc_id",
         "doc_ts",
@@ -33,7 +43,7 @@ def document_facts(
         "body",
         F.trim("title").alias("headline"),
         "relevance_score",
-        tx.lexicon_score(text, positive, negative).alias("lex"),
+        lex.alias("lex"),
         tx.pattern_hits(text, outcome_positive).alias("pos_hits"),
         tx.pattern_hits(text, outcome_negative).alias("neg_hits"),
     )
