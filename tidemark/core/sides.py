@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+def small_side(df: DataFrame, most: int = 100_000, counted: DataFrame | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is.
 
     For narrow rows of short values, such as dictionaries. Counting stops past
-    ``most``; a larger side is joined by a shuffle.
+    ``most``; a larger side is joined by a shuffle. ``counted`` is counted
+    instead where ``df`` gathers its rows into lists.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    held = (df if counted is None else counted).limit(most + 1).count()
+    return F.broadcast(df) if held <= most else df

@@ -389,11 +389,10 @@ def mentions(docs: DataFrame, aliases: DataFrame, keep: Sequence[str] = ()) -> D
     held = found.join(small_side(rarest_words(terms, found)), ["word", "by_ticker"])
     text = tx.headline_and_body(F.col("title"), F.col("body"))
     read = F.when(F.col("by_ticker") == 1, F.col("__text")).otherwise(F.lower("__text"))
+    unsure = held.where(~F.col("plain")).select("doc_id", "alias", "by_ticker", "term").distinct()
     searched = (
-        held.where(~F.col("plain"))
-        .select("doc_id", "alias", "by_ticker", "term")
-        .distinct()
-        .join(docs.select("doc_id", text.alias("__text")), "doc_id")
+        docs.select("doc_id", text.alias("__text"))
+        .join(small_side(unsure), "doc_id")
         .where(F.contains(read, F.col("term")))
         .where(F.regexp_like(read, tx.whole_term(F.col("term"))))
     )

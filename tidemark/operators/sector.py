@@ -99,14 +99,11 @@ def substring_mentions(docs: DataFrame, terms: DataFrame) -> DataFrame:
         .where("n > 0")
         .select("term", "gram")
     )
-    held = (
-        found.join(small_side(anchors), "gram")
-        .groupBy("doc_id")
-        .agg(F.collect_set("term").alias("terms"))
-    )
+    pairs = cut_lineage(found.join(small_side(anchors), "gram").select("doc_id", "term"))
+    held = pairs.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     return (
         docs.select("doc_id", "doc_ts", low.alias("__low"))
-        .join(held, "doc_id")
+        .join(small_side(held, counted=pairs), "doc_id")
         .select(
             "doc_id",
             "doc_ts",
