@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -94,6 +95,48 @@ def test_any_text(text):
     assert np.frombuffer(dropped.encode([text])[0], "<u4").tolist() == dropped_plain(text)
 
 
+class CountedTokenizer:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_share_calls():
+    plain = library("word_bpe_49k.json")
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in ("on", "ti", "é", "ß") for c in "stuvwxyz"]
+    texts = [" ".join(words[at : at + 8]) + ", 12! Don't" for at in range(0, len(words), 8)]
+    coder = ChunkEncoder(P.path("word_bpe_49k.json"), "dropped")
+    coder.tokenizer = CountedTokenizer(coder.tokenizer)
+    ids, sizes = coder.encode_flat(pa.array([*texts, None, "", *texts]))
+    want = [plain(t) for t in [*texts, None, "", *texts]]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert ids.tolist() == sum(want, [])
+    assert coder.tokenizer.texts <= 8
+
+
+def test_words_not_told_apart_go_one_by_one():
+    plain = library("word_bpe_49k.json")
+    texts = ["One two, three; two\tone", None, " \n", "a\u0301b!? c1d22", "x\x0by\x1cz\u2003w"]
+    for closes in (np.zeros(0, bool), np.zeros(60_000, bool)):
+        coder = ChunkEncoder(P.path("word_bpe_49k.json"), "dropped")
+        coder.closes = closes
+        ids, sizes = coder.encode_flat(pa.array(["", *texts]).slice(1))
+        assert ids.tolist() == sum(map(plain, texts), [])
+        assert sizes.tolist() == [len(plain(t)) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["\u0130! abc", "x\u0130.", "\u01301 \u0130stanbul, \u0130-x"])
+def test_letter_that_is_two_signs_in_lower_case(text):
+    coder = ChunkEncoder(P.path("word_bpe_49k.json"), "dropped")
+    ids, _ = coder.encode_flat(pa.array([text]))
+    assert ids.tolist() == library("word_bpe_49k.json")(text)
+
+
 @pytest.fixture(scope="module", autouse=True)
 def coders(reference):
     global CODERS

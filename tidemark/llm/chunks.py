@@ -6,6 +6,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,17 @@ import pyarrow.compute as pc
 CUTS = {"kept": re.compile(r"[ \n]*[^ \n]+|[ \n]+"), "dropped": re.compile(r"[^ \n]+")}
 CACHE_CHARS = {"kept": 14_000_000, "dropped": 9_000_000}
 #: Where a tokenizer that lower-cases and splits runs of letters, digits and other signs
-#: always cuts a chunk, by signs that every version of Unicode classes alike.
-_LETTER, _SIGN = "a-zß-öø-ɏÀ-ÖØ-Þ", r"!-/:-@\[-`{-~"
+#: always cuts a chunk, by signs that every version of Unicode classes alike (and that stay one letter
+#: in lower case, so no U+0130). One chunk a line; ends of lines are matches of their own.
+_LETTER, _SIGN = "a-zß-öø-įı-ɏÀ-ÖØ-Þ", r"!-/:-@\[-`{-~"
+_LETTERS, _SIGNS = f"[{_LETTER}]+", r"[!-&(-/:-@\[-`{-~]+"
 FINE = re.compile(
-    rf"[{_LETTER}]+(?=[0-9{_SIGN}]|\Z)|[0-9]+(?=[a-z{_SIGN}]|\Z)|[!-&(-/:-@\[-`{{-~]+(?=[a-z0-9]|\Z)|.+",
-    re.S,
+    rf"{_LETTERS}(?=[0-9{_SIGN}\n]|\Z)|[0-9]+(?=[a-z{_SIGN}\n]|\Z)|{_SIGNS}(?=[a-z0-9\n]|\Z)|[^\n]+|\n"
 )
+#: Pieces that are one word each to such a tokenizer.
+WORD = re.compile(f"{_LETTERS}|{_SIGNS}")
+#: Words that go through the tokenizer as one text.
+LINE_WORDS = 256
 #: White space besides blank and line feed, by any version of Unicode; a text with it goes through whole.
 RARE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
 
@@ -33,7 +39,8 @@ class ChunkEncoder:
     A text is cut where the tokenizer itself always cuts, and each distinct
     chunk is encoded once while it stays in the cache. Where blanks are dropped
     (and case with them), a new chunk is put together from its words and signs,
-    which more chunks share. The cache is emptied when its keys exceed
+    which more chunks share; chunks are then numbered, and their ids lie one
+    after another in ``codes``. The cache is emptied when its keys exceed
     ``cache_chars`` characters; this bounds memory and changes no result.
     """
 
@@ -44,25 +51,72 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut, self.guard = CUTS[blanks].findall, blanks == "kept"
-        self.cache_chars, self.held, self.known = cache_chars or CACHE_CHARS[blanks], 0, {}
-
-    def _encode(self, chunks: list[str]) -> None:
+        self.cache_chars = cache_chars or CACHE_CHARS[blanks]
+        self._empty()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab() if suffix and not self.guard else {}
+        self.closes = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+        self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+
+    def _empty(self) -> None:
+        self.held, self.known = 0, {}
+        if not self.guard:
+            self.known["\n"], self.codes, self.ends = 0, array("I"), array("q", [0, 0])
+
+    def _ids(self, texts: list[str]) -> list[array]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", code.ids) for code in encoded]
+
+    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Number new ``chunks``, whose ids lie one after another in ``ids``."""
+        at = len(self.ends) - 1
+        self.known.update(zip(chunks, range(at, at + len(chunks))))
         self.held += sum(map(len, chunks))
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        for chunk, code in zip(chunks, encoded):
-            self.known[chunk] = array("I", code.ids).tobytes()
+        self.ends.frombytes((self.ends[-1] + np.cumsum(sizes, dtype=np.int64)).tobytes())
+        self.codes.frombytes(ids.astype(np.uint32, copy=False).tobytes())
+
+    def _add_pieces(self, pieces: list[str]) -> None:
+        """Number new pieces: words many at a time, told apart by the tokens that end a word."""
+        words = [p for p in pieces if WORD.fullmatch(p)] if len(self.closes) else []
+        if words:
+            lines = [words[at : at + LINE_WORDS] for at in range(0, len(words), LINE_WORDS)]
+            ids = np.concatenate(self._ids([" ".join(line) for line in lines]))
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                self._add(words, ids, np.diff(ends, prepend=0))
+        rest = [p for p in pieces if p not in self.known]
+        if rest:
+            ids = self._ids(rest)
+            self._add(rest, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _spans(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of numbered chunks begin in ``codes``, and how many there are."""
+        ends = np.frombuffer(self.ends, np.int64)
+        first = ends[numbers]
+        return first, ends[numbers + 1] - first
+
+    def _gather(self, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of such spans in a row."""
+        place = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        place += np.arange(len(place))
+        return np.frombuffer(self.codes, np.uint32)[place]
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
 
     def _learn(self, chunks: list[str]) -> None:
-        if self.guard:
-            return self._encode(chunks)
-        split = FINE.findall
-        pieces = [split(c.encode().lower().decode()) for c in chunks]
-        self._encode(list(set().union(*pieces).difference(self.known)))
-        find = self.known.__getitem__
-        for chunk, parts in zip(chunks, pieces):
-            if chunk not in self.known:
-                self.known[chunk] = b"".join(map(find, parts))
-                self.held += len(chunk)
+        """Number new chunks in lower case, by the ids of their pieces."""
+        pieces = FINE.findall("\n".join(chunks))
+        self._add_pieces(list(set(pieces).difference(self.known)))
+        numbers = self._numbers(pieces)
+        first, sizes = self._spans(numbers)
+        # A chunk that is one piece is numbered by now.
+        new = self._numbers(chunks) < 0
+        chunk = np.cumsum(numbers == 0)
+        kept = new[chunk]
+        totals = np.bincount(chunk, sizes, len(chunks)).astype(np.int64)
+        ids = self._gather(first[kept], sizes[kept])
+        self._add([chunks[i] for i in np.flatnonzero(new).tolist()], ids, totals[new])
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -70,44 +124,46 @@ class ChunkEncoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         texts = [t or "" for t in texts]
+        if not self.guard:
+            ids, sizes = self.encode_flat(pa.array(texts, pa.string()))
+            return [part.tobytes() for part in np.split(ids, np.cumsum(sizes))[:-1]]
         cut = [self.cut(t) for t in texts]
         if self.held > self.cache_chars:
-            self.known, self.held = {}, 0
+            self._empty()
         fresh = set().union(*cut).difference(self.known)
-        odd = {c for c in fresh if RARE.search(c)} if self.guard else set()
-        self._learn(list(fresh - odd))
+        odd = {c for c in fresh if RARE.search(c)}
+        new = list(fresh - odd)
+        self.held += sum(map(len, new))
+        self.known.update(zip(new, (code.tobytes() for code in self._ids(new))))
         find = self.known.__getitem__
         return [
             self._whole(t) if odd and not odd.isdisjoint(c) else b"".join(map(find, c))
             for t, c in zip(texts, cut)
         ]
 
-
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has; null counts as empty."""
         if self.guard:
             codes = self.encode(texts.to_pylist())
             return np.frombuffer(b"".join(codes), "<u4"), np.array([len(c) // 4 for c in codes])
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
         found = split.flatten().dictionary_encode()
         words, at = found.dictionary, found.indices.to_numpy()
         every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
         chunks = pc.binary_join(every, "\n")[0].as_py().split("\n")[: len(words)]
         if self.held > self.cache_chars:
-            self.known, self.held = {}, 0
-        codes = list(map(self.known.get, chunks))
-        new = [i for i, c in enumerate(codes) if c is None]
-        self._learn([chunks[i] for i in new])
-        for i in new:
-            codes[i] = self.known[chunks[i]]
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        first = np.cumsum(sizes) - sizes
-        n = sizes[at]
-        ends = np.cumsum(n)
-        place = np.repeat(first[at] - (ends - n), n) + np.arange(int(n.sum()))
-        ids = np.frombuffer(b"".join(codes), "<u4")[place]
-        upto = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return ids, np.diff(upto)
+            self._empty()
+        numbers = self._numbers(chunks)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            fresh = [chunks[i] for i in new.tolist()]
+            self._learn(fresh)
+            numbers[new] = self._numbers(fresh)
+        first, sizes = self._spans(numbers)
+        sizes = sizes[at]
+        ids = self._gather(first[at], sizes)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, np.diff(upto[split.offsets.to_numpy() - split.offsets[0].as_py()])
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
