@@ -2,10 +2,12 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,35 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language.predict_languages(docs, one).collect()} == {"und", "de"}
 
 
+def test_long_texts_are_counted_a_few_at_a_time():
+    draw = np.random.default_rng(3)
+    letters = np.array(list("aeinrstuéß   .1"))
+    texts = ["".join(draw.choice(letters, 9000)) for _ in range(900)] + ["", None, "1"]
+    langs = [["de", "fr", "es"][i % 3] for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "lang": pa.array(langs)})
+    few = batch.slice(0, 3)
+    prototypes = np.array(next(iter(language._profiles([few], 64, 9))).column(1).to_pylist())
+    names = ["de", "fr", "es"]
+    tracemalloc.start()
+    try:
+        (sums,) = language._profiles([batch], 64, 9)
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), batch.column(0)], ["row", "text"])
+        found = list(language._predict([rows], names, prototypes, 9, 10.0))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120e6
+    for lang, profile in zip(*(c.to_pylist() for c in sums.columns)):
+        own = [t for t, name in zip(texts, langs) if name == lang]
+        parts = [language.bundle(*language.trigram_counts([t]), 1, 64, 9)[0] for t in own]
+        assert np.array_equal(profile, np.sum(parts, axis=0, dtype=float))
+    got = [tuple(r.values()) for part in found for r in part.to_pylist()]
+    assert [r[0] for r in got] == list(range(len(texts)))
+    for k in (0, 400, 899, 900, 901, 902):
+        pred, score = language.predict_texts([texts[k]], names, prototypes, 9, 10.0)
+        assert got[k][1] == pred[0] and got[k][2] == pytest.approx(score[0])
+
+
 def plain_base(texts, folds=10):
     """doc -> (held out, tokens, known, base score), and the number of training tokens."""
 

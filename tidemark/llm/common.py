@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,18 @@ def slices(batches: Iterable, rows: int = 256) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def text_slices(batches: Iterable, column: int, rows: int, size: int) -> Iterator:
+    """Arrow batches of at most ``rows`` rows and ``size`` bytes of text in ``column``, or one row."""
+    for batch in slices(batches, rows):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            until = max(until, at + 1)
+            yield batch.slice(at, until - at)
+            at = until
+
+
 def blocked(rows: DataFrame, keys: Sequence[str], ident: str, most: int) -> DataFrame:
     """Deal the members of every key out to tasks of at most about ``2 * most`` rows.
 

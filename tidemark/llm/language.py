@@ -10,17 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import text_slices
 
 #: Letter codes; code 0 is the gap between words. Letters beyond them share codes.
 CODES = 1024
 UNKNOWN = "und"
+#: Rows and bytes of text that are counted at once, and trigrams whose vectors are held at
+#: once. They bound memory and change no result.
+ROWS, TEXT_BYTES, BLOCK = 1024, 1 << 19, 4096
 
 
 @functools.cache
 def _letter_codes() -> np.ndarray:
     """Code of every code point: 0 for what is no letter, lower and upper case alike."""
-    codes = np.zeros(0x110000, np.int64)
+    codes = np.zeros(0x110000, np.int32)
     for point in range(0x110000):
         char = chr(point)
         if char.isalpha():
@@ -58,14 +61,14 @@ def trigram_counts(
     keep[1:] |= letter[:-1]
     at = np.flatnonzero(keep)
     code = code[at]
-    first = np.concatenate(([0], code))  # the very first text may start with a letter
+    first = np.concatenate(([0], code), dtype=code.dtype)  # the very first text may start with a letter
     at = np.concatenate(([0], at))
     doubled = np.concatenate(([False], (first[1:] == 0) & (first[:-1] == 0)))
     first, at = first[~doubled], at[~doubled]
     grams = (first[:-2] * CODES + first[1:-1]) * CODES + first[2:]
     owner = group[np.minimum(np.searchsorted(ends, at[1:-1], "right"), len(texts) - 1)]
     inner = first[1:-1] != 0
-    key, count = np.unique(owner[inner] * CODES**3 + grams[inner], return_counts=True)
+    key, count = np.unique(owner[inner].astype(np.int64) * CODES**3 + grams[inner], return_counts=True)
     return key // CODES**3, key % CODES**3, count
 
 
@@ -80,13 +83,13 @@ def bind(grams: np.ndarray, dims: int, seed: int) -> np.ndarray:
 def bundle(
     group: np.ndarray, gram: np.ndarray, count: np.ndarray, groups: int, dims: int, seed: int
 ) -> np.ndarray:
-    """Sum of the trigram vectors of each group, ``block`` distinct trigrams at a time."""
-    block, sums = 32768, np.zeros((groups, dims), np.float32)
+    """Sum of the trigram vectors of each group, ``BLOCK`` distinct trigrams at a time."""
+    sums = np.zeros((groups, dims), np.float32)
     distinct, place = np.unique(gram, return_inverse=True)
     weight = count.astype(np.float32)
-    for at in range(0, len(distinct), block):
-        bound = bind(distinct[at : at + block], dims, seed)
-        part = np.flatnonzero((place >= at) & (place < at + block))
+    for at in range(0, len(distinct), BLOCK):
+        bound = bind(distinct[at : at + BLOCK], dims, seed)
+        part = np.flatnonzero((place >= at) & (place < at + BLOCK))
         own = group[part]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
@@ -98,7 +101,7 @@ def bundle(
 def _profiles(batches, dims, seed):
     """Bundle of all trigrams of each language in this task."""
     sums: dict[str, np.ndarray] = {}
-    for batch in slices(batches, 1024):
+    for batch in text_slices(batches, 0, ROWS, TEXT_BYTES):
         texts, langs = (c.to_pylist() for c in batch.columns)
         names, lang = np.unique(np.array(langs, object).astype(str), return_inverse=True)
         total = bundle(*trigram_counts(texts, lang), len(names), dims, seed)
@@ -172,7 +175,7 @@ def predict_texts(
 
 
 def _predict(batches, names, prototypes, seed, sharpness):
-    for batch in slices(batches, 1024):
+    for batch in text_slices(batches, -1, ROWS, TEXT_BYTES):
         *keep, texts = batch.columns
         preds, scores = predict_texts(texts.to_pylist(), names, prototypes, seed, sharpness)
         yield pa.RecordBatch.from_arrays(
@@ -210,10 +213,11 @@ def keep_known(
     Where nothing was learned, rows whose text has a letter stay.
     """
     names, prototypes = _prototypes(profiles)
+    column = docs.columns.index("text")
 
     def kept(batches):
-        for batch in slices(batches, 1024):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        for batch in text_slices(batches, column, ROWS, TEXT_BYTES):
+            texts = batch.column(column).to_pylist()
             if names:
                 preds, _ = predict_texts(texts, names, prototypes, seed, sharpness)
                 keep = [p != UNKNOWN for p in preds]
