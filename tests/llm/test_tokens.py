@@ -130,6 +130,44 @@ def test_words_not_told_apart_go_one_by_one():
         assert sizes.tolist() == [len(plain(t)) for t in texts]
 
 
+def test_new_words_with_blanks_share_calls():
+    plain = library("byte_bpe_50k.json")
+    words = [f"{a}{b}{c}" for a in "ABcdefgh" for b in ("on", "ti", "é", "ß") for c in "stuvwxyz"]
+    texts = [" ".join(words[at : at + 8]) + ", 12!\nDon't" for at in range(0, len(words), 8)]
+    texts += [w + "," for w in words] + [None, "", *texts]
+    coder = ChunkEncoder(P.path("byte_bpe_50k.json"), "kept")
+    coder.tokenizer = CountedTokenizer(coder.tokenizer)
+    ids, sizes = coder.encode_flat(pa.array(["x", *texts]).slice(1))
+    want = [plain(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert ids.tolist() == sum(want, [])
+    assert coder.tokenizer.texts <= 64
+
+
+ODD_PARTS = ["a", "The", "é", "e\u0301", "ß", "\u0130", "日本", "12", "²", "!", "_-", "'", "'s", "n't", "I'll"]
+ODD_PARTS += [" ", " ", "  ", "   ", "\n", "\n\n", "\n ", "\r", "\r\n", "\t", "\x85", "\xa0", "\u200b", "\x00"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(ODD_PARTS)).map("".join))))
+def test_kept_blanks_in_odd_texts(texts):
+    ids, sizes = CODERS[1].encode_flat(pa.array(["x ", *texts, " y"], pa.string()).slice(1, len(texts)))
+    want = [CODERS[4](t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert ids.tolist() == sum(want, [])
+
+
+@pytest.mark.parametrize("feed", [None, 0])
+def test_words_with_blanks_not_told_apart_go_one_by_one(feed):
+    plain = library("byte_bpe_50k.json")
+    texts = ["One two, three; two\tone", None, " \n", "a\u0301b!? c1d22  \n\nx", "\r"]
+    coder = ChunkEncoder(P.path("byte_bpe_50k.json"), "kept")
+    coder.feed = feed
+    ids, sizes = coder.encode_flat(pa.array(texts))
+    assert ids.tolist() == sum(map(plain, texts), [])
+    assert sizes.tolist() == [len(plain(t)) for t in texts]
+
+
 @pytest.mark.parametrize("text", ["\u0130! abc", "x\u0130.", "\u01301 \u0130stanbul, \u0130-x"])
 def test_letter_that_is_two_signs_in_lower_case(text):
     coder = ChunkEncoder(P.path("word_bpe_49k.json"), "dropped")

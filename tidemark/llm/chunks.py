@@ -16,19 +16,32 @@ import pyarrow.compute as pc
 #: Byte-level patterns break before a blank that follows a word; patterns that
 #: drop white space break at every blank.
 CUTS = {"kept": re.compile(r"[ \n]*[^ \n]+|[ \n]+"), "dropped": re.compile(r"[^ \n]+")}
-CACHE_CHARS = {"kept": 14_000_000, "dropped": 9_000_000}
-#: Where a tokenizer that lower-cases and splits runs of letters, digits and other signs
-#: always cuts a chunk, by signs that every version of Unicode classes alike (and that stay one letter
-#: in lower case, so no U+0130). One chunk a line; ends of lines are matches of their own.
+CACHE_CHARS = {"kept": 9_000_000, "dropped": 9_000_000}
+#: Where a tokenizer that splits runs of letters, digits and other signs always cuts a
+#: chunk, by signs that every version of Unicode classes alike (and that stay one letter in lower case,
+#: so no U+0130). Chunks are joined by a mark that none of them holds; marks are matches of their own.
+#: A byte-level pattern takes a blank with what follows it, and the other white space before by itself;
+#: what begins with an apostrophe is left whole.
 _LETTER, _SIGN = "a-zß-öø-įı-ɏÀ-ÖØ-Þ", r"!-/:-@\[-`{-~"
 _LETTERS, _SIGNS = f"[{_LETTER}]+", r"[!-&(-/:-@\[-`{-~]+"
-FINE = re.compile(
-    rf"{_LETTERS}(?=[0-9{_SIGN}\n]|\Z)|[0-9]+(?=[a-z{_SIGN}\n]|\Z)|{_SIGNS}(?=[a-z0-9\n]|\Z)|[^\n]+|\n"
-)
+_CASED = f"[A-Z{_LETTER}]+"
+MARK = {"kept": "\r", "dropped": "\n"}
+FINE = {
+    "kept": re.compile(
+        rf"[ \n]+(?=\r|\Z)|[ \n]+(?=[ \n])|\n| ?{_CASED}(?=[0-9{_SIGN}\r]|\Z)"
+        rf"| ?[0-9]+(?=[A-Za-z{_SIGN}\r]|\Z)| ?{_SIGNS}(?=[A-Za-z0-9\r]|\Z)|[^\r]+|\r"
+    ),
+    "dropped": re.compile(
+        rf"{_LETTERS}(?=[0-9{_SIGN}\n]|\Z)|[0-9]+(?=[a-z{_SIGN}\n]|\Z)|{_SIGNS}(?=[a-z0-9\n]|\Z)|[^\n]+|\n"
+    ),
+}
 #: Pieces that are one word each to such a tokenizer.
-WORD = re.compile(f"{_LETTERS}|{_SIGNS}")
+WORD = {
+    "kept": re.compile(f" ?(?:{_CASED}|[0-9]+|{_SIGNS})"),
+    "dropped": re.compile(f"{_LETTERS}|{_SIGNS}"),
+}
 #: Words that go through the tokenizer as one text.
-LINE_WORDS = 256
+LINE_WORDS = {"kept": 16, "dropped": 256}
 #: White space besides blank and line feed, by any version of Unicode; a text with it goes through whole.
 RARE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
 
@@ -37,11 +50,11 @@ class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     A text is cut where the tokenizer itself always cuts, and each distinct
-    chunk is encoded once while it stays in the cache. Where blanks are dropped
-    (and case with them), a new chunk is put together from its words and signs,
-    which more chunks share; chunks are then numbered, and their ids lie one
-    after another in ``codes``. The cache is emptied when its keys exceed
-    ``cache_chars`` characters; this bounds memory and changes no result.
+    chunk is encoded once while it stays in the cache. A new chunk is put
+    together from its words and signs, which more chunks share; chunks are
+    numbered, and their ids lie one after another in ``codes``. The cache is
+    emptied when its keys exceed ``cache_chars`` characters; this bounds memory
+    and changes no result.
     """
 
     def __init__(self, path: str, blanks: str, cache_chars: int | None = None):
@@ -50,18 +63,20 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.guard = CUTS[blanks].findall, blanks == "kept"
+        self.guard, self.mark = blanks == "kept", MARK[blanks]
+        self.fine, self.word, self.line = FINE[blanks].findall, WORD[blanks].fullmatch, LINE_WORDS[blanks]
         self.cache_chars = cache_chars or CACHE_CHARS[blanks]
         self._empty()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocab = self.tokenizer.get_vocab() if suffix and not self.guard else {}
         self.closes = np.zeros(max(vocab.values(), default=-1) + 1, bool)
         self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if self.guard and len(feed) == 1 else None
 
     def _empty(self) -> None:
-        self.held, self.known = 0, {}
-        if not self.guard:
-            self.known["\n"], self.codes, self.ends = 0, array("I"), array("q", [0, 0])
+        self.held, self.known = 0, {self.mark: 0}
+        self.codes, self.ends = array("I"), array("q", [0, 0])
 
     def _ids(self, texts: list[str]) -> list[array]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -76,12 +91,19 @@ class ChunkEncoder:
         self.codes.frombytes(ids.astype(np.uint32, copy=False).tobytes())
 
     def _add_pieces(self, pieces: list[str]) -> None:
-        """Number new pieces: words many at a time, told apart by the tokens that end a word."""
-        words = [p for p in pieces if WORD.fullmatch(p)] if len(self.closes) else []
+        """Number new pieces: words many at a time, told apart by line feeds or the tokens that end a word."""
+        many = self.feed is not None or len(self.closes)
+        words = [p for p in pieces if self.word(p)] if many else []
         if words:
-            lines = [words[at : at + LINE_WORDS] for at in range(0, len(words), LINE_WORDS)]
-            ids = np.concatenate(self._ids([" ".join(line) for line in lines]))
-            ends = np.flatnonzero(self.closes[ids]) + 1
+            lines = [words[at : at + self.line] for at in range(0, len(words), self.line)]
+            if self.guard:
+                ids = np.concatenate(self._ids(["\n".join(line) + "\n" for line in lines]))
+                last = ids == self.feed
+                ends = np.cumsum(~last)[last]
+                ids = ids[~last]
+            else:
+                ids = np.concatenate(self._ids([" ".join(line) for line in lines]))
+                ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(words) and ends[-1] == len(ids):
                 self._add(words, ids, np.diff(ends, prepend=0))
         rest = [p for p in pieces if p not in self.known]
@@ -105,8 +127,8 @@ class ChunkEncoder:
         return np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
 
     def _learn(self, chunks: list[str]) -> None:
-        """Number new chunks in lower case, by the ids of their pieces."""
-        pieces = FINE.findall("\n".join(chunks))
+        """Number new chunks (where case is dropped, in lower case) by the ids of their pieces."""
+        pieces = self.fine(self.mark.join(chunks))
         self._add_pieces(list(set(pieces).difference(self.known)))
         numbers = self._numbers(pieces)
         first, sizes = self._spans(numbers)
@@ -118,52 +140,72 @@ class ChunkEncoder:
         ids = self._gather(first[kept], sizes[kept])
         self._add([chunks[i] for i in np.flatnonzero(new).tolist()], ids, totals[new])
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _distinct(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct chunks of all texts, which of them lies where, and the places between texts."""
+        if not self.guard:
+            split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            found = split.flatten().dictionary_encode()
+            words, at = found.dictionary, found.indices.to_numpy()
+            every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            chunks = pc.binary_join(every, "\n")[0].as_py().split("\n")[: len(words)]
+            return chunks, at, split.offsets.to_numpy() - split.offsets[0].as_py()
+        # The chunks lie one after another in the texts' own bytes: only where they begin is worked out.
+        texts = pa.concat_arrays([texts.cast(pa.large_string())])
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if ends[0] == ends[-1]:
+            return [], np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
+        byte = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+        begins = (byte == 32) | (byte == 10)
+        begins[1:] &= ~begins[:-1]
+        begins[ends[:-1][ends[1:] > ends[:-1]] - ends[0]] = True
+        first = np.flatnonzero(begins) + ends[0]
+        bounds = pa.py_buffer(np.append(first, ends[-1]))
+        found = pa.LargeStringArray.from_buffers(len(first), bounds, data).dictionary_encode()
+        chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return chunks, found.indices.to_numpy(), np.searchsorted(first, ends)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        texts = [t or "" for t in texts]
-        if not self.guard:
-            ids, sizes = self.encode_flat(pa.array(texts, pa.string()))
-            return [part.tobytes() for part in np.split(ids, np.cumsum(sizes))[:-1]]
-        cut = [self.cut(t) for t in texts]
-        if self.held > self.cache_chars:
-            self._empty()
-        fresh = set().union(*cut).difference(self.known)
-        odd = {c for c in fresh if RARE.search(c)}
-        new = list(fresh - odd)
-        self.held += sum(map(len, new))
-        self.known.update(zip(new, (code.tobytes() for code in self._ids(new))))
-        find = self.known.__getitem__
-        return [
-            self._whole(t) if odd and not odd.isdisjoint(c) else b"".join(map(find, c))
-            for t, c in zip(texts, cut)
-        ]
+        ids, sizes = self.encode_flat(pa.array(list(texts), pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(sizes))[:-1]]
 
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has; null counts as empty."""
-        if self.guard:
-            codes = self.encode(texts.to_pylist())
-            return np.frombuffer(b"".join(codes), "<u4"), np.array([len(c) // 4 for c in codes])
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
-        found = split.flatten().dictionary_encode()
-        words, at = found.dictionary, found.indices.to_numpy()
-        every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-        chunks = pc.binary_join(every, "\n")[0].as_py().split("\n")[: len(words)]
+        texts = texts.fill_null("")
+        chunks, at, upto = self._distinct(texts)
         if self.held > self.cache_chars:
             self._empty()
         numbers = self._numbers(chunks)
+        odd = np.zeros(len(chunks), bool)
+        if self.guard:
+            numbers[numbers == 0] = -1  # the mark is no chunk
         new = np.flatnonzero(numbers < 0)
         if len(new):
             fresh = [chunks[i] for i in new.tolist()]
+            if self.guard and RARE.search("\n".join(fresh)):
+                odd[new] = [bool(RARE.search(c)) for c in fresh]
+                new = new[~odd[new]]
+                fresh = [chunks[i] for i in new.tolist()]
             self._learn(fresh)
             numbers[new] = self._numbers(fresh)
+            numbers[odd] = 0
         first, sizes = self._spans(numbers)
         sizes = sizes[at]
         ids = self._gather(first[at], sizes)
-        upto = np.concatenate(([0], np.cumsum(sizes)))
-        return ids, np.diff(upto[split.offsets.to_numpy() - split.offsets[0].as_py()])
+        ends = np.concatenate(([0], np.cumsum(sizes)))[upto]
+        sizes = np.diff(ends)
+        if odd.any():
+            parts = np.split(ids, ends[1:-1])
+            whole = np.unique(np.searchsorted(upto, np.flatnonzero(odd[at]), "right") - 1)
+            for k in whole.tolist():
+                parts[k] = self._whole(texts[k].as_py())
+                sizes[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, sizes
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}

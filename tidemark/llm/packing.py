@@ -14,29 +14,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import encoder
-from tidemark.llm.common import slices, stored
+from tidemark.llm.common import stored, text_slices
 
+#: Fixed value: bytes of text that are encoded at once.
+TEXT_BYTES = 2 << 20
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 def _pieces(batches, path, blanks, end_id, window, keep_ids):
-    end = np.array([end_id], "<u4").tobytes()
-    for batch in slices(batches):
+    for batch in text_slices(batches, 1, 2048, TEXT_BYTES):
         ids, texts = batch.columns
-        rows = []
-        for doc_id, code in zip(ids.to_pylist(), encoder(path, blanks).encode(texts.to_pylist())):
-            code += end
-            n = len(code) // 4
-            for at in range(0, n, window):
-                piece = code[4 * at : 4 * (at + window)]
-                row = (doc_id, at, len(piece) // 4, zlib.crc32(piece), n)
-                rows.append(row + (np.frombuffer(piece, "<i4"),) if keep_ids else row)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + keep_ids]
-        types = [pa.int64()] * 5 + [pa.list_(pa.int32())] * keep_ids
-        columns = zip(*rows) if rows else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(columns, types)], names
-        )
+        codes, sizes = encoder(path, blanks).encode_flat(texts)
+        codes = np.insert(codes.astype("<u4", copy=False), np.cumsum(sizes), end_id)
+        sizes = sizes + 1
+        parts = -(-sizes // window)
+        doc = np.repeat(np.arange(len(sizes)), parts)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * window
+        length = np.minimum(sizes[doc] - start, window)
+        ends = np.concatenate(([0], np.cumsum(length)))
+        crcs = [zlib.crc32(codes[a:b].data) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        columns = {
+            "doc_id": ids.cast(pa.int64()).take(pa.array(doc)),
+            "start": pa.array(start),
+            "length": pa.array(length),
+            "ids_crc32": pa.array(crcs, pa.int64()),
+            "doc_tokens": pa.array(sizes[doc]),
+        }
+        if keep_ids:
+            offsets = pa.array(ends.astype(np.int32))
+            columns["ids"] = pa.ListArray.from_arrays(offsets, pa.array(codes.astype(np.int32)))
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def pieces(

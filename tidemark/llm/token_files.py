@@ -8,12 +8,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import encoder
-from tidemark.llm.common import slices
+from tidemark.llm.common import text_slices
 from tidemark.session import shared_dir
 
 _PIECE = 2 << 20
@@ -29,23 +28,11 @@ def id_list(encoded: list[bytes]) -> pa.Array:
     )
 
 
-def _pieces(batches):
-    """Batches of some megabytes of text, or one row."""
-    for batch in slices(batches, 2048):
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
-        at = 0
-        while at < batch.num_rows:
-            until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PIECE, "right"))
-            until = max(until, at + 1)
-            yield batch.slice(at, until - at)
-            at = until
-
-
 def _encode(batches, path, blanks, end_id):
     from pyspark import TaskContext
 
     part, pos = TaskContext.get().partitionId(), 0
-    for batch in _pieces(batches):
+    for batch in text_slices(batches, 1, 2048, _PIECE):
         ids, texts = batch.columns
         codes, sizes = encoder(path, blanks).encode_flat(texts)
         ends = np.cumsum(sizes)
