@@ -5,6 +5,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import SF, no_docs, odd_docs
+from helpers import words as some_words
 from tidemark.llm import language, language_model, queries
 
 LARGE = "/root/testdata/sf0.01"
@@ -187,3 +189,78 @@ def test_model_is_a_distribution(spark):
     for word, k in zip(words, classes):
         inside[k] += (known[word] + 0.1) / room[k]
     assert all(inside[k] + 0.1 / room[k] == pytest.approx(1) for k in inside)
+
+
+def block_of(monkeypatch, texts, folds=10):
+    """The block of some texts and the lengths of all counts made for it."""
+    made, count = [], np.bincount
+
+    def counted(*args, **more):
+        made.append(len(found := count(*args, **more)))
+        return found
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(np, "bincount", counted)
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    (block,) = language_model._blocks([docs], folds, 1 << 30)
+    return block, made
+
+
+def test_a_block_counts_its_words_once(monkeypatch):
+    """Not once for each of its documents, which took documents times distinct words."""
+    texts = [None, "", *(f"w{k} w{k + 1} the THE x{k}" for k in range(1000))]
+    block, made = block_of(monkeypatch, texts)
+    words = language_model._unpack(block.column(5)[0].as_py()).split(language_model.SEPARATOR)
+    want = Counter()
+    for k, text in enumerate(texts):
+        if not language_model.is_held(k, 10):
+            want.update([*language_model.words_of(text), language_model.END])
+    assert dict(zip(words, block.column(6)[0].as_py())) == {w: want[w] for w in words}
+    assert sum(made) == len(words)
+
+
+def plain_training(model, row, rate, step):
+    """Adagrad as in ``_train``, with rows of classes and unbuffered sums."""
+    weights, buckets, width = model.weights.copy(), model.weights.shape[1], language_model.WIDTH
+    squares = np.full((2, buckets), 1e-2, np.float32)
+    groups, inside = model.priors()
+    classes, hashes, ids, sizes, first = language_model._block_arrays(row, model)
+    mark = np.zeros(len(ids), bool)
+    mark[first] = True
+    use = np.repeat(~row["held"], sizes)
+    features, target = language_model._features(hashes[ids], mark)[:, use], classes[ids][use]
+    for at in range(0, len(target), step):
+        k, f = target[at : at + step], features[:, at : at + step]
+        g = k // width
+        for level, group, prior, truth in ((0, None, groups, g), (1, g, inside[g], k % width)):
+            rows = language_model._rows(f, buckets, group)
+            share = np.exp(prior + weights[level][rows].sum(axis=0))
+            share /= share.sum(axis=1, keepdims=True)
+            total = np.zeros((buckets, width))
+            for own in rows:
+                np.add.at(total, own, np.eye(width)[truth] - share)
+            squares[level] += (total**2).sum(axis=1)
+            weights[level] += rate * total / np.sqrt(squares[level])[:, None]
+    return weights
+
+
+def test_training_takes_plain_steps_one_class_at_a_time(monkeypatch):
+    texts = [" ".join(some_words(k, 40)) for k in range(60)]
+    block, made = block_of(monkeypatch, texts)
+    block = block.select(["held", "sizes", "ids", "words", "n"])
+    (row,) = language_model._block_rows(block)
+    count = dict(zip(row["words"], block.column(4)[0].as_py()))
+    singles = {w: k for k, w in enumerate(sorted(count, key=count.get)[-language_model.SINGLES :])}
+    model = language_model.Model(singles, np.zeros(256), np.zeros(256), np.zeros((2, 64, 16), np.float32))
+    for k, w in zip(model.classes(row["words"]), row["words"]):
+        model.class_counts[k] += count[w]
+        model.class_words[k] += count[w] > 0
+    model.weights += np.random.default_rng(1).normal(0, 0.1, model.weights.shape).astype(np.float32)
+    before = model.weights.copy()
+    made.clear()
+    (change,) = language_model._train([block], model, 0.3, 512)
+    got = np.concatenate([np.frombuffer(c, "<f2") for c in change.column(3).to_pylist()])
+    want = (plain_training(model, row, 0.3, 512) - before).ravel()
+    assert np.allclose(got, want, rtol=2e-3, atol=1e-4) and np.abs(want).max() > 0.1
+    assert np.array_equal(model.weights, before)
+    assert max(made) == 64

@@ -60,16 +60,16 @@ def _blocks(batches, folds, block_bytes):
 
     def flush():
         nonlocal docs, size, number
-        counts = np.zeros(len(lexicon), np.int64)
-        for _, held, ids in docs:
-            if not held:
-                counts += np.bincount(ids, minlength=len(lexicon))
+        sizes = [len(i) for _, _, i in docs]
+        ids = np.concatenate([i for _, _, i in docs])
+        learn = np.repeat([not h for _, h, _ in docs], sizes)
+        counts = np.bincount(ids[learn], minlength=len(lexicon))
         row = [
             [number],
             [[d for d, _, _ in docs]],
             [[h for _, h, _ in docs]],
-            [[len(i) for _, _, i in docs]],
-            [_pack(np.concatenate([i for _, _, i in docs]).astype("<i4").tobytes())],
+            [sizes],
+            [_pack(ids.astype("<i4").tobytes())],
             [_pack(SEPARATOR.join(lexicon))],
             [counts],
         ]
@@ -199,9 +199,37 @@ def _rows(features: np.ndarray, buckets: int, group: np.ndarray | None = None) -
     return ((mixed ^ (mixed >> np.uint32(13))) & np.uint32(buckets - 1)).astype(np.int64)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _logits(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Logits (``WIDTH``, n) of weights that lie class by class, with the largest of a token at zero."""
+    logits = weights.take(rows[0], axis=1)
+    for row in rows[1:]:
+        logits += weights.take(row, axis=1)
+    logits += prior
+    logits -= logits.max(axis=0)
+    return logits
+
+
+def _log_total(logits: np.ndarray) -> np.ndarray:
+    """Log of the sum over the classes of each token, by halves."""
+    total = np.exp(logits)
+    total = total[: WIDTH // 2] + total[WIDTH // 2 :]
+    while len(total) > 1:
+        total = total[::2] + total[1::2]
+    return np.log(total[0])
+
+
+def _bucket_sums(rows: np.ndarray, slope: np.ndarray, buckets: int) -> np.ndarray:
+    """Sums (``WIDTH``, buckets) of the slopes (``WIDTH``, n) over the tokens of each weight row.
+
+    Class by class: the sums of one class stay in the processor's cache.
+    """
+    flat = rows.ravel()
+    repeated = np.empty((len(slope), *rows.shape))
+    repeated[:] = slope[:, None]
+    total = np.empty((len(slope), buckets))
+    for out, weights in zip(total, repeated):
+        out[:] = np.bincount(flat, weights.ravel(), buckets)
+    return total
 
 
 def _block_arrays(row: dict, model: Model):
@@ -213,17 +241,24 @@ def _block_arrays(row: dict, model: Model):
     return model.classes(words), hashes, ids, sizes, first
 
 
+def _class_major(arrays) -> tuple[np.ndarray, np.ndarray]:
+    """Copies of the group's and the inner class's numbers, in one row per class."""
+    return tuple(np.array(np.atleast_2d(a).T, order="C") for a in arrays)
+
+
 def class_log_probs(model: Model, classes: np.ndarray, features: np.ndarray, step: int = 32768):
     """Natural log probability of each token's class after its history."""
-    groups, inside = model.priors()
+    groups, inside = _class_major(model.priors())
+    weights = _class_major(model.weights)
     buckets, out = model.weights.shape[1], np.empty(len(classes))
     for at in range(0, len(classes), step):
         k, f = classes[at : at + step], features[:, at : at + step]
         g = k // WIDTH
         n = np.arange(len(k))
-        upper = groups + model.weights[0][_rows(f, buckets)].sum(axis=0)
-        lower = inside[g] + model.weights[1][_rows(f, buckets, g)].sum(axis=0)
-        out[at : at + step] = _log_softmax(upper)[n, g] + _log_softmax(lower)[n, k % WIDTH]
+        upper = _logits(weights[0], _rows(f, buckets), groups)
+        lower = _logits(weights[1], _rows(f, buckets, g), inside.take(g, axis=1))
+        upper, lower = upper[g, n] - _log_total(upper), lower[k % WIDTH, n] - _log_total(lower)
+        out[at : at + step] = upper + lower
     return out
 
 
@@ -231,20 +266,18 @@ def _train(batches, model, rate, step):
     """One pass of Adagrad over the blocks of a task; gives the change of the weights."""
     from pyspark import TaskContext
 
-    weights = model.weights.copy()
-    trained = Model(model.singles, model.class_counts, model.class_words, weights)
-    groups, inside = trained.priors()
-    buckets = weights.shape[1]
+    groups, inside = _class_major(model.priors())
+    weights = _class_major(model.weights)
+    buckets = model.weights.shape[1]
     squares = np.full((2, buckets), 1e-2, np.float32)
     seen = 0
 
     def descend(level: int, rows: np.ndarray, slope: np.ndarray) -> None:
-        flat = (rows[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
-        total = np.bincount(
-            flat, np.broadcast_to(slope, (len(rows), *slope.shape)).ravel(), buckets * WIDTH
-        ).reshape(buckets, WIDTH)
-        squares[level] += np.einsum("ij,ij->i", total, total)
-        weights[level] += rate * total / np.sqrt(squares[level])[:, None]
+        total = _bucket_sums(rows, slope, buckets)
+        squares[level] += np.einsum("ij,ij->j", total, total)
+        total *= rate
+        total /= np.sqrt(squares[level])
+        np.add(weights[level], total, out=weights[level], casting="same_kind")
 
     for batch in batches:
         for row in _block_rows(batch):
@@ -260,12 +293,14 @@ def _train(batches, model, rate, step):
                 g, n = k // WIDTH, np.arange(len(k))
                 for level, rows, prior, truth in (
                     (0, _rows(f, buckets), groups, g),
-                    (1, _rows(f, buckets, g), inside[g], k % WIDTH),
+                    (1, _rows(f, buckets, g), inside.take(g, axis=1), k % WIDTH),
                 ):
-                    slope = -np.exp(_log_softmax(prior + weights[level][rows].sum(axis=0)))
-                    slope[n, truth] += 1
+                    slope = _logits(weights[level], rows, prior)
+                    slope -= _log_total(slope)
+                    np.negative(np.exp(slope, out=slope), out=slope)
+                    slope[truth, n] += 1
                     descend(level, rows, slope)
-    change = (weights - model.weights).reshape(WIDTH, -1)
+    change = (np.stack([w.T for w in weights]) - model.weights).reshape(WIDTH, -1)
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(WIDTH, TaskContext.get().partitionId()), pa.int64()),
