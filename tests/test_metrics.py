@@ -1,14 +1,16 @@
 """Metrics, selection, resampling and walk-forward fits against brute force."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.core import exact_median, ordinal
+from tidemark.core import exact_median, ordinal, shuffles
 from tidemark.core.ordering import growth_summary, running_growth
 from tidemark.operators import folds as fd
 from tidemark.operators import resample as rs
@@ -191,6 +193,59 @@ def test_permutation_keeps_outcomes_per_block(spark, method):
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, out.select(*same.columns).collect()))
 
 
+def _shuffled_by_hand(rows, n_perm, seed, block_of):
+    """Rows (symbol, t_event, outcome): the copies that ``permute_outcomes`` must make."""
+    out, blocks = [], {}
+    for row in rows:
+        if block_of(row) is not None:
+            blocks.setdefault(block_of(row), []).append(row)
+    for own in blocks.values():
+        placed = sorted((r for r in own if r[1]), key=lambda r: (r[1], r[0] is not None, r[0]))
+        placed = [None] * (len(own) - len(placed)) + placed  # a row without a time takes a place, the first
+        for p in range(1, n_perm + 1):
+            def key(r):
+                text = "|".join(str(x) for x in (seed, p, r[0], r[1]) if x is not None)
+                return hashlib.md5(text.encode()).hexdigest()
+            out += [(p, a[0], a[1], b[2]) for a, b in zip(placed, sorted(own, key=key)) if a]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_rows", [3_000_000, 30, 0])
+@pytest.mark.parametrize("method", rs.BLOCKS)
+def test_copies_are_made_where_the_block_lies(spark, method, block_rows):
+    rng = random.Random(3)
+    rows = [
+        (f"S{i % 7}" if i % 23 else None, dt.datetime(2024, 1, 1) + dt.timedelta(hours=9 * i) if i % 29 else None, i)
+        for i in range(150)
+    ]
+    rows += [("HOT", dt.datetime(2024, 1, 5, 0, 0, 1) + dt.timedelta(hours=i), 1000 + i) for i in range(100)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "symbol string, t_event timestamp_ntz, o int").repartition(3)
+    out = rs.permute_outcomes(df, 20, method, 7, ["o"], block_rows)
+    block_of = {
+        "symbol_block": lambda r: r[0], "month_block": lambda r: r[1] and r[1].strftime("%Y-%m"), "global": lambda r: 1,
+    }[method]
+    got = sorted((tuple(r[c] for c in ("perm_id", "symbol", "t_event", "o")) for r in out.collect()), key=str)
+    assert got == _shuffled_by_hand(rows, 20, 7, block_of)
+    if block_rows > len(rows):  # nothing that was copied is sent on
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_equal_keys_are_told_apart_by_the_rest_of_the_hash(spark, monkeypatch):
+    rows = [(f"S{i % 5}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), i) for i in range(40)]
+    table = pa.table(
+        {
+            "symbol": [r[0] for r in rows], "t_event": [r[1] for r in rows], "o": [r[2] for r in rows],
+            "__block": ["all"] * 40, "__group": [0] * 40, "__groups": [1] * 40,
+            "__s": [f"|{r[0]}" for r in rows], "__t": [f"|{r[1]}" for r in rows],
+        }
+    )
+    (unit,) = shuffles.read_units(table.to_batches(), 2, 42)
+    want = [(p, s.tolist()) for p, s in unit.sources()]
+    assert [(p, unit._sorted(p, np.zeros(40, np.uint64)).tolist()) for p in (1, 2)] == want
+
+
 def test_a_block_of_one_stays(spark):
     df = events(spark, 5, symbols=5)
     out = rs.permute_outcomes(df, 2, "symbol_block")
