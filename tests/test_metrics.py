@@ -16,6 +16,8 @@ from tidemark.operators import folds as fd
 from tidemark.operators import resample as rs
 from tidemark.operators import sessions as ss
 from tidemark.operators import trades as tr
+from tidemark.plans import draws
+from tidemark.plans import permutation as pm
 from tidemark.plans import walkforward as wf
 
 # Published sessions (date, direction, session return) and their metrics.
@@ -346,3 +348,45 @@ def test_planted_signal_and_saved_model(spark, tmp_path):
     assert right / len(first) > 0.6
     with pytest.raises(ValueError):
         md.fit_classifier(df.where("label = 1"), ["a"], "logistic")
+
+
+def _signalled(spark, n=180):
+    rng = random.Random(11)
+    rows = []
+    for i in range(n):
+        symbol = "HOT" if i % 3 == 0 else f"S{i % 9}"
+        # Losses of more than all, so that levels sink below zero; one event returns nothing known.
+        ret = None if i == 50 else round(rng.gauss(0, 90), 4)
+        at = dt.datetime(2024, 1, 1, 12) + dt.timedelta(days=i // 6)
+        rows.append((symbol, at, rng.choice([-1, 1]), ret, rng.random(), rng.choice([-1, 0, 1]), rng.choice([-1, 1])))
+    return spark.createDataFrame(
+        rows,
+        "symbol string, t_event timestamp_ntz, actual_sign int, actual_5d_return_pct double, "
+        "enhanced_confidence double, a int, b int",
+    )
+
+
+@pytest.mark.parametrize("method", rs.BLOCKS)
+def test_packed_draws_are_the_metrics_of_all_copies(spark, method):
+    df = _signalled(spark).dropDuplicates(["symbol", "t_event"]).cache()
+    lanes = [("a", "one"), ("b", "two")]
+    want = pm.heuristic_draws(df, lanes, 30, method, 5, 0.3, block_rows=0)
+    got = pm.heuristic_draws(df, lanes, 30, method, 5, 0.3)
+
+    def rows(frame):
+        return {(r["strategy"], r["perm_id"]): r.asDict() for r in frame.select(*want.columns).collect()}
+
+    want, got = rows(want), rows(got)
+    assert len(want) == 2 * 31 and want.keys() == got.keys()
+    for key, row in want.items():
+        assert got[key] == {c: pytest.approx(x, rel=1e-9, abs=2e-4) if isinstance(x, float) else x for c, x in row.items()}
+    assert any(r["max_drawdown_pct"] > 100 for r in want.values())
+
+
+def test_draws_are_not_stored_event_by_event(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(draws, "cut_lineage", lambda df: (stored.append(df.count()), df)[1])
+    df = _signalled(spark).dropDuplicates(["symbol", "t_event"]).coalesce(1).cache()
+    out = pm.heuristic_draws(df, [("a", "one")], 200, "global", 5)
+    assert out.count() == 201
+    assert stored and max(stored) < 200 * df.count() / 4
