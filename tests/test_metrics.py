@@ -323,6 +323,43 @@ def test_walk_forward_fits_equal_one_fit_per_fold(spark):
     assert levels == {k: pytest.approx(v, abs=1e-6) for k, v in cuts.items()}
 
 
+def test_chains_of_folds_fit_every_permutation_in_few_jobs(spark):
+    rng = np.random.default_rng(3)
+    df = frame(spark, 240)
+    draws = [[float(v) for v in rng.permutation(np.arange(240) % 3 == 0)] for _ in range(240)]
+    labels = {r["t_event"]: [float(r["label"]), *d[:4]] for r, d in zip(df.collect(), draws)}
+    # Under the last permutation, labels have one class in the first folds.
+    late = sorted(labels)[100:]
+    for t in labels:
+        labels[t][4] = float(t in late)
+    table = spark.createDataFrame(list(labels.items()), "t_event timestamp_ntz, labels array<double>")
+    folded = fd.walk_forward_folds(df.drop("labels").join(table, "t_event"), 48, 12).cache()
+    folded.count()
+
+    def jobs():
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+    before = jobs()
+    models = wf.fit_folds(folded, ["a", "b"], n_perm=5, perms=2, chain=5, keep=0)
+    assert jobs() - before < 40
+    got = {(r["fold_id"], r["pb"]): r.asDict() for r in models.table.collect()}
+    rows = df.orderBy("t_event").collect()
+    x = np.array([[r["a"], r["b"]] for r in rows])
+    scaled = (x - models.means) / models.stds
+    assert len(got) == 16 * 3
+    for fold, start in enumerate(range(48, 240, 12)):
+        for perm in range(5):
+            m = got[fold, perm // 2]
+            theta = np.reshape(m["theta"], (-1, 3))[perm % 2]
+            y = np.array([labels[r["t_event"]][perm] for r in rows[:start]])
+            if y.min() == y.max():
+                assert m["up"][perm % 2] == 0 and not theta.any()
+                continue
+            want, mean, std = _newton(x[:start], y)
+            z = theta[0] + (scaled[:start] - m["mean"]) / m["std"] @ theta[1:]
+            assert z == pytest.approx(want[0] + (x[:start] - mean) / std @ want[1:], abs=1e-4)
+
+
 def test_one_class_falls_back_to_momentum(spark):
     df = frame(spark, 60).withColumns({"label": F.lit(1), "labels": F.array(F.lit(1.0))})
     folded = fd.walk_forward_folds(df, 48, 12).cache()
