@@ -360,6 +360,21 @@ def test_chains_of_folds_fit_every_permutation_in_few_jobs(spark):
             assert z == pytest.approx(want[0] + (x[:start] - mean) / std @ want[1:], abs=1e-4)
 
 
+def test_scores_of_permutations_hold_outcomes_but_no_features(spark):
+    sign = F.col("label") * 2 - 1
+    df = frame(spark).drop("labels").withColumns(
+        {"actual_sign": sign, "actual_5d_return_pct": sign * 1.5}
+    )
+    scored = pm.walk_forward_scores(df, ["a", "b"], 3, "global", 7)
+    assert not {"a", "b", "baseline_pre_7d_return_pct"} & set(scored.columns)
+    rows = scored.collect()
+    assert sorted({r["perm_id"] for r in rows}) == [0, 1, 2, 3] and len(rows) == 4 * 32
+    truth = {r["t_event"]: r["label"] for r in df.collect()}
+    assert all(r["label"] == truth[r["t_event"]] for r in rows if r["perm_id"] == 0)
+    metrics = pm.walk_forward_draws(scored, "lane", 0.0).collect()
+    assert len(metrics) == 4 and all(r["trades"] == 32 for r in metrics)
+
+
 def test_one_class_falls_back_to_momentum(spark):
     df = frame(spark, 60).withColumns({"label": F.lit(1), "labels": F.array(F.lit(1.0))})
     folded = fd.walk_forward_folds(df, 48, 12).cache()
